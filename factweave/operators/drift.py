@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.session import checkpoint
+
 #: The sections of the payloads.
 SECTIONS = ("source_sites", "confirmed_sources", "sink_startpoints", "confirmed_sink_calls")
 
@@ -169,7 +171,8 @@ def changes(files: DataFrame) -> DataFrame:
     without a version number are left out; repeated files change nothing; ids that repeat within a version
     must agree in all their values. An empty table gives an empty result. Other columns are not looked at.
     """
-    placed = _placed(files)
+    # small (a row per field and version) and used many times: without it every use would parse the files again
+    placed = checkpoint(_placed(files))
     lives = _lives(placed)
     w = Window.partitionBy(*_PRODUCER, "field_name").orderBy("version_at")
     earlier = lives.withColumn("prev_at", F.lag("version_at").over(w)).withColumn("prev_types", F.lag("types").over(w))
