@@ -10,11 +10,15 @@ test items are few, and broadcast when their count is checked to be so.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import without_format_characters, words
-from factweave.llm.common import bounded_broadcast, shingles
+from factweave.llm.common import bounded_broadcast
 
 #: Words that a leaked passage shares at least, and words of a k-gram.
 SPAN = 13
@@ -23,19 +27,46 @@ GRAM = 8
 BROADCAST = 200_000
 
 
-def fingerprints(texts: DataFrame, id_col: str, words_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, h, at) of the distinct winnowed k-grams of each text; at is the place of the first word, from 1."""
+def winnow(flat: np.ndarray, lengths: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, place of the first word from 1) of the fingerprints of texts laid end to end as word hashes."""
     window = span - gram + 1
-    hashed = texts.select(id_col, shingles(F.col(words_col), gram).alias("hashes"))
-    places = F.sequence(F.lit(1), F.size("hashes") - (window - 1))
+    if len(flat) < span:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    hashes = flat.astype(np.uint64)
+    count = len(flat) - gram + 1
+    grams = np.zeros(count, dtype=np.uint64)
+    for i in range(gram):
+        grams = (grams ^ hashes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+    signed = grams.view(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(lengths)), lengths)[: count - window + 1]
+    place = np.arange(count - window + 1)
+    whole = place + span <= (starts + lengths)[row]
+    kept = place + np.lib.stride_tricks.sliding_window_view(signed, window).argmin(axis=1)
+    row, kept = row[whole], kept[whole]
+    # the place of the first least hash never moves back, so repeats lie side by side
+    new = np.ones(len(kept), dtype=bool)
+    new[1:] = (kept[1:] != kept[:-1]) | (row[1:] != row[:-1])
+    row, kept = row[new], kept[new]
+    return row, signed[kept], kept - starts[row] + 1
+
+
+def _winnower(span: int, gram: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            held = batch.column(1)
+            row, h, at = winnow(held.flatten().to_numpy(zero_copy_only=False), np.diff(held.offsets.to_numpy()).astype(np.int64), span, gram)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at.astype(np.int32))], names=[batch.schema.names[0], "h", "at"])
+
+    return run
 
-    def least(i: Column) -> Column:
-        part = F.slice("hashes", i, window)
-        return F.struct(F.array_min(part).alias("h"), (i + F.array_position(part, F.array_min(part)).cast("int") - 1).alias("at"))
 
-    # no filter on a computed array, and an outer generator: either would be pushed down, array and all
-    kept = hashed.select(id_col, F.when(F.size("hashes") >= window, F.array_distinct(F.transform(places, least))).alias("kept"))
-    return kept.select(id_col, F.inline_outer("kept")).filter("h IS NOT NULL")
+def fingerprints(texts: DataFrame, id_col: str, words_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(id, h, at) of the winnowed k-grams of each text; at is the place of the first word, from 1."""
+    hashed = texts.select(id_col, F.transform(words_col, lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.mapInArrow(_winnower(span, gram), f"{id_col} {dict(texts.dtypes)[id_col]}, h bigint, at int")
 
 
 def passages_found(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", span: int = SPAN, gram: int = GRAM) -> DataFrame:
