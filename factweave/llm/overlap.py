@@ -79,11 +79,12 @@ def text_classes(views: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = split.select("view_id", "side", F.array_sort(F.array_distinct(shingles(F.col("w"), SHINGLE))).alias("tokens"))
     name = F.concat_ws("-", F.hex(F.xxhash64("tokens")), F.hex(F.hash("tokens")), F.size("tokens").cast("string"))
     named = held.withColumn("class", name)
-    # texts of too few words are one class, which is dropped afterwards: a filter before would be pushed down
     classes = named.groupBy("class").agg(
         F.any_value("tokens").alias("tokens"), F.bool_or(F.col("side") == "evaluation").alias("evaluation"), F.bool_or(F.col("side") == "training").alias("training")
     )
-    classes = checkpoint(classes.filter(~F.col("class").endswith("-0")))
+    # texts of too few words are one class, dropped only here: earlier, the filter would be pushed below the grouping
+    # and make every token again inside it
+    classes = checkpoint(classes).filter(F.size("tokens") > 0)
     sketch = classes.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(SKETCH - 1).alias("at")).count()
     counted = sketch.toArrow()  # at most SKETCH rows, whatever the input
     counts = np.zeros(SKETCH, dtype=np.int64)
