@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.ids import hex_address, page
-from factweave.functions.text import key
+from factweave.functions.text import WHITE_SPACE, key
 from factweave.operators import cfg, match, rank, trace
 from factweave.plans.fact_queries import _D, _KEY, delivered
 from factweave.plans.graph_queries import op_values
@@ -37,7 +37,7 @@ def s6_functions(spark: SparkSession, d: str) -> DataFrame:
 def s7_call_sites(spark, d):
     """Call sites in the corpus' bodies; tests hold the scanner against texts written for it."""
     return ctext.scan_calls(table(spark, d, "function_corpus"), "function_row_id", "body").withColumn("arguments", F.array_join("arguments", ","))
-
+n AS (SELECT doc_id, line_no, trim(raw, '§§') AS line FROM l),
 
 _LINES = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\r$', '')) AS line FROM l),
@@ -46,7 +46,7 @@ k AS (SELECT *, CASE WHEN regexp_matches(line, '^[0-9a-fA-F]+:\s+(0x)?[0-9a-fA-F
   WHEN regexp_matches(line, '^[0-9a-fA-F]+\s+(0x)?[0-9a-fA-F]+\s+[0-9]+$') THEN 'bb' END AS kind FROM n WHERE line <> ''),
 e AS (SELECT doc_id, line_no, kind, ('0x' || regexp_extract(line, '^([0-9a-fA-F]+)', 1))::BIGINT AS event_id, ('0x' || regexp_extract(line, '^[0-9a-fA-F]+:?\s+(?:0x)?([0-9a-fA-F]+)', 1))::BIGINT AS pc,
   CASE WHEN kind <> 'bb' THEN regexp_extract(line, '\s([rw])\s', 1) END AS mode, CASE WHEN kind <> 'bb' THEN ('0x' || regexp_extract(line, '0x([0-9a-fA-F]+):', 1))::BIGINT END AS address,
-  CASE WHEN kind <> 'bb' THEN ('0x' || regexp_extract(line, '0x[0-9a-fA-F]+:(?:0x)?([0-9a-fA-F]+)', 1))::BIGINT END AS value FROM k WHERE kind IS NOT NULL)"""
+  CASE WHEN kind <> 'bb' THEN ('0x' || regexp_extract(line, '0x[0-9a-fA-F]+:(?:0x)?([0-9a-fA-F]+)', 1))::BIGINT END AS value FROM k WHERE kind IS NOT NULL)""".replace("§§", WHITE_SPACE)
 
 
 def _events(spark, d):
