@@ -37,7 +37,7 @@ def s6_functions(spark: SparkSession, d: str) -> DataFrame:
 def s7_call_sites(spark, d):
     """Call sites in the corpus' bodies; tests hold the scanner against texts written for it."""
     return ctext.scan_calls(table(spark, d, "function_corpus"), "function_row_id", "body").withColumn("arguments", F.array_join("arguments", ","))
-    return ctext.scan_calls(table(spark, d, "function_corpus"), "function_row_id", "body").withColumn("arguments", F.array_join("arguments", ","))
+
 
 _LINES = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, line_no, trim(raw, '§§') AS line FROM l),
