@@ -1,0 +1,154 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from factweave.operators import agg, joins, rank, rejects, shared
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def test_unanimity(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", 1), ("b", 2), ("c", None)], "k string, v int")
+    assert rows(df.groupBy("k").agg(agg.unique_or_null("v").alias("u"), agg.unanimous("v").alias("w")), "k", "u", "w") == [("a", 1, None), ("b", None, None), ("c", None, None)]
+
+
+def test_first_wins_does_not_depend_on_order(spark):
+    data = [("a", i, f"v{i}") for i in range(20)]
+    for seed in range(3):
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, "k string, n int, v string")
+        assert rows(agg.keep_first(df, ["k"], ["n"]), "v") == rows(agg.keep_by(df, ["k"], F.col("n")), "v") == [("v0",)]
+
+
+def test_rejects_name_every_failing_reason(spark):
+    df = spark.createDataFrame([(1, None, "STACK"), (2, "s", "RAM"), (3, None, None)], "id int, site string, kind string")
+    good, bad = rejects.admit(df, [("no_site", F.col("site").isNull()), ("stack", F.col("kind") == "STACK")])
+    assert rows(good, "id") == [(2,)] and rows(bad, "id", "reason") == [(1, "no_site"), (1, "stack"), (3, "no_site")]
+    assert rows(rejects.first_reason(df, [("stack", F.col("kind") == "STACK"), ("no_site", F.col("site").isNull())]), "id", "reason") == [(1, "stack"), (2, None), (3, "no_site")]
+
+
+def test_interval_overlaps_against_all_pairs(spark):
+    rng = random.Random(5)
+    side = lambda: [(rng.choice("ab"), s := rng.choice([None, *range(60)]), None if s is None else s + rng.randint(-1, 30)) for _ in range(60)]
+    left, right = side(), side()
+    shape = "k string, s bigint, e bigint"
+    got = joins.interval_overlaps(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), ["k"], "s", "e", 8)
+    valid = lambda x: x[1] is not None and x[2] > x[1]
+    want = {(k, s, e, s2, e2, max(s, s2), min(e, e2)) for k, s, e in filter(valid, left) for k2, s2, e2 in filter(valid, right) if k == k2 and max(s, s2) < min(e, e2)}
+    assert rows(got, "k", "start_l", "end_l", "start_r", "end_r", "shared_start", "shared_end") == sorted(want, key=str)
+    assert sum(r.rows_l * r.rows_r for r in got.collect()) == sum(a[0] == b[0] and max(a[1], b[1]) < min(a[2], b[2]) for a in filter(valid, left) for b in filter(valid, right))
+
+
+def test_tightest_container(spark):
+    p = spark.createDataFrame([("a", 5), ("a", 5), ("a", 50), ("b", 5), (None, 5)], "k string, x bigint")
+    i = spark.createDataFrame([("a", 0, 100, "wide"), ("a", 4, 8, "t2"), ("a", 2, 6, "t1"), ("a", 9, 9, "none")], "k string, s bigint, e bigint, n string")
+    assert rows(joins.tightest_container(p, i, ["k"], "x", "s", "e", "n", 10), "k", "x", "container") == sorted([("a", 5, "t1"), ("a", 5, "t1"), ("a", 50, "wide"), ("b", 5, None), (None, 5, None)], key=str)
+
+
+def test_definitions_are_killed(spark):
+    df = spark.createDataFrame([("u", 1, "def"), ("u", 2, "use"), ("u", 3, "kill"), ("u", 4, "use"), ("u", 5, "def"), ("u", 6, "use"), ("v", 1, "use")], "k string, n int, e string")
+    got = joins.reaching_definitions(df, ["k"], ["n"], "e", "def", "use", "kill")
+    assert rows(got, "k", "n", "def_at.n") == [("u", 2, 1), ("u", 6, 5)]
+
+
+def test_arguments_and_returns(spark):
+    calls = spark.createDataFrame([("s1", "f", ["x", "y", "z"]), ("s2", "g", [])], "site string, callee string, args array<string>")
+    formals = spark.createDataFrame([("f", 0, "p0"), ("f", 1, "p1")], "callee string, slot int, formal string")
+    assert rows(joins.bind_arguments(calls, formals, "callee", "args", "site"), "site", "slot", "actual", "formal") == [("s1", 0, "x", "p0"), ("s1", 1, "y", "p1")]
+    targets = spark.createDataFrame([("s1", "f", "o1"), ("s2", "f", "o2"), ("s2", "g", "o2")], "site string, target string, output string")
+    returns = spark.createDataFrame([("f", "r1"), ("f", "r2")], "function string, value string")
+    assert rows(joins.bind_returns(targets, returns, "site", "target", "function"), "site", "output", "value") == [("s1", "o1", "r1"), ("s1", "o1", "r2")]
+
+
+def test_tiers_and_ambiguity(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "z"), (4, "d", "q")], "id int, p string, q string")
+    one = spark.createDataFrame([("a", "A"), ("b", "B1"), ("b", "B2")], "p string, role string")
+    two = spark.createDataFrame([("x", "X"), ("z", "Z")], "q string, role string")
+    assert rows(joins.tiered(df, "id", [(one, ["p"]), (two, ["q"])], "role"), "id", "tier", "role") == [(1, 0, "A"), (2, 0, None), (3, 1, "Z"), (4, None, None)]
+
+
+def test_reconciliation(spark):
+    want = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")
+    have = spark.createDataFrame([("b", 1), ("c", 1), ("c", 1), ("d", 1), ("d", 2), ("e", 1)], "k string, v int")
+    assert rows(joins.reconcile(want, have, ["k"], F.col("v")), "k", "state") == [("a", "missing"), ("b", "ok"), ("c", "duplicate"), ("d", "conflict"), ("e", "unexpected")]
+
+
+def test_replacements_must_be_exact(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 9)], "k string, v int")
+    assert rows(joins.replace_by_key(base, new, ["k"], base.filter("v = 2")), "k", "v") == [("a", 1), ("b", 9)]
+    with pytest.raises(ValueError):
+        joins.replace_by_key(base, new, ["k"], base)
+
+
+def test_blocks_cover_points(spark):
+    p = spark.createDataFrame([(5,), (10,), (70_000,), (None,)], "x bigint")
+    b = spark.createDataFrame([(0, 10, "a"), (60_000, 140_000, "b")], "s bigint, e bigint, n string")
+    assert rows(joins.covering_blocks(p, b, "x", "s", "e"), "x", "n") == sorted([(5, "a"), (10, None), (70_000, "b"), (None, None)], key=str)
+
+
+def test_merged_lists_keep_the_later_entry(spark):
+    df = spark.createDataFrame([("k", [("e1", 1, "old"), ("e2", 1, "x")], ["b", "a"]), ("k", [("e1", 2, "new")], None)], "k string, l array<struct<id:string,v:int,t:string>>, u array<string>")
+    r = agg.merge_lists(df, ["k"], {"l": ("id", "v")}, ["u"]).first()
+    assert [(x.id, x.t) for x in r.l] == [("e1", "new"), ("e2", "x")] and r.u == ["a", "b"]
+
+
+def test_subsumption_fixture_and_brute_force(spark):
+    weight = {"S_NET": 0.6, "S_FILE": 0.5, "S_MMIO": 0.0}
+    data = [("e1", "A", ["S_NET"]), ("e1", "B", ["S_NET", "S_FILE"]), ("e1", "C", ["S_FILE"]), ("e2", "D", ["S_MMIO"])]
+    df = spark.createDataFrame([(g, i, s, max(weight[x] for x in s)) for g, i, s in data], "g string, id string, s array<string>, w double")
+    assert rows(rank.subsumption(df, ["g"], "id", "s", F.col("w")), "id", "parent") == [("A", None), ("B", "A"), ("C", None), ("D", None)]
+    rng = random.Random(9)
+    for _ in range(4):
+        data = [(rng.choice("xy"), i, rng.sample("abcde", rng.randint(0, 4)), rng.randint(0, 2)) for i in range(40)]
+        got = {(r.g, r.id): r.parent for r in rank.subsumption(spark.createDataFrame(data, "g string, id int, s array<string>, w int"), ["g"], "id", "s", F.col("w")).collect()}
+        for g in "xy":
+            heads = []
+            for i, s, w in sorted(((i, set(s), w) for k, i, s, w in data if k == g), key=lambda x: (len(x[1]), -x[2], x[0])):
+                parent = next((h for h, hs in heads if hs <= s), None)
+                assert got[g, i] == parent
+                if parent is None:
+                    heads.append((i, s))
+
+
+def test_diverse_selection_fixtures(spark):
+    shape = "g string, id string, sites array<string>, rank int"
+    df = spark.createDataFrame([("q", "A1", ["one"], 1), ("q", "A2", ["one"], 2), ("q", "A3", ["two"], 20)], shape)
+    got = rank.diverse_sets(df, ["g"], "id", "sites", "rank", 2).collect()
+    assert sorted((r.place, r.id, r.selected_for) for r in got) == [(1, "A1", "DISTINCT_SINK_CALLSITE"), (2, "A3", "DISTINCT_SINK_CALLSITE")]
+    df = spark.createDataFrame([("q", "A1", ["one"], 1), ("q", "A2", ["one"], 2), ("q", "A3", ["two"], 3)], shape)
+    got = rank.diverse_sets(df, ["g"], "id", "sites", "rank", 3).collect()
+    assert [x[1:] for x in sorted((r.place, r.id, r.selected_for) for r in got)] == [("A1", "DISTINCT_SINK_CALLSITE"), ("A3", "DISTINCT_SINK_CALLSITE"), ("A2", "ADDITIONAL_SOURCE_LINEAGE")]
+    one = spark.createDataFrame([("q", "A1", "one", 1), ("q", "A2", "one", 2), ("q", "A3", "two", 20), ("q", "A4", None, 0)], "g string, id string, b string, r int")
+    assert rows(rank.diverse_top_k(one, ["g"], "b", [F.asc("r")], 3), "place", "id") == [(1, "A1"), (2, "A3"), (3, "A4")]
+
+
+def test_global_rank_and_exact_duplicates(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(500)], "id int, s int")
+    got = rank.global_rank(df, [F.desc("s"), F.asc("id")], parts=8)
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.rank)] == want
+    assert rank.global_rank(df.filter("false"), [F.asc("id")]).count() == 0
+    canonical, merged = rank.exact_dedup(spark.createDataFrame([("g", "B", 1), ("g", "A", 2), ("h", "C", 1)], "k string, id string, r int"), ["k"], ["r", "id"], "id")
+    assert rows(canonical, "id", "represented_ids") == [("B", ["A", "B"]), ("C", ["C"])] and rows(merged, "canonical_id", "duplicate_id") == [("B", "A")]
+
+
+ACCESS = "object string, edge_kind string, function_id string, region_offset bigint, region_extent bigint, selector_terms array<string>, deterministic_context_ids array<string>"
+
+
+def test_shared_regions_of_the_fixture(spark):
+    w, r = ("o", "WRITE", "fn:writer", 0, 1, None, ["ctx:isr"]), ("o", "READ", "fn:reader", 0, 1, None, ["ctx:task"])
+
+    def run(*data):
+        return [(x.admitted, x.relation, x.reason) for x in shared.shared_regions(spark.createDataFrame(list(data), ACCESS), ["object"]).collect()]
+
+    assert run(w, r) == [(True, "DISTINCT_DETERMINISTIC_CONTEXT", None)]
+    assert run(w, (*r[:2], "fn:writer", *r[3:])) == [(False, None, "only_same_function_reads")]
+    assert run(w, (*r[:3], 16, *r[4:])) == [(False, None, "only_disjoint_reads")]
+    assert run(w) == [(False, None, "object_has_no_read")]
+    assert run((*w[:6], None), (*r[:6], None)) == [(True, "DISTINCT_FUNCTION_HEURISTIC_CONTEXT", None)]
+    assert run(w, (*r[:6], ["ctx:isr"])) == [(True, "DISTINCT_FUNCTION_HEURISTIC_CONTEXT", None)]
+    assert run() == []
