@@ -31,7 +31,7 @@ def sink_registry(raw: DataFrame) -> DataFrame:
     """
     known = raw.filter(F.col("version").isin(*REGISTRY_VERSIONS)).select("version", F.posexplode("patterns").alias("n", "p"))
     names = F.array_distinct(F.array_compact(F.concat(F.array(F.col("p.name")), F.coalesce("p.names", F.array().cast("array<string>")))))
-    rows = known.filter(F.coalesce(F.col("p.enabled"), F.lit(True))).select(F.explode(F.transform(names, F.trim)).alias("name"), "n", F.col("p.kind").alias("kind"), F.col("p.label").alias("label"), F.col("p.roles").alias("roles"), "version")
+    rows = known.filter(F.coalesce(F.col("p.enabled"), F.lit(True))).select(F.explode(F.transform(names, lambda x: F.trim(x))).alias("name"), "n", F.col("p.kind").alias("kind"), F.col("p.label").alias("label"), F.col("p.roles").alias("roles"), "version")
     rest = ["kind", "label", "roles", "version"]
     return rows.filter("name <> ''").groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("n", "version")).alias("r")).select("name", "r.*")
 
