@@ -1,10 +1,11 @@
-"""Control-flow operators. A function's graph is small and its work sequential, so each is one group of one task."""
+"""Control-flow operators. A function's graph is small and its work sequential, so each
+is solved as one row; graphs never meet, and a batch holds many of them."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,28 +64,73 @@ def immediate_dominators(edges: Sequence[tuple[str, str]], entry: str) -> dict[s
     return {b: None if b == entry else up[b] for b in order}
 
 
-def _groups(df: DataFrame, keys: Sequence[str], fn, shape: str) -> DataFrame:
-    keyed = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
-    return df.groupBy(*keys).applyInPandas(fn, f"{keyed}, {shape}")
+def _per_graph(edges: DataFrame, keys: Sequence[str], entry: str, solve: Callable, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """solve(edge pairs, entry) -> rows, for each group of edges; many groups share an Arrow batch."""
+    pair = F.struct(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    graphs = edges.groupBy(*keys).agg(F.collect_set(pair).alias("edges"), F.min(F.col(entry).cast("string")).alias("entry"))
+    at = len(keys)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            index, rows = [], []
+            for n, (pairs, start) in enumerate(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())):
+                found = solve(sorted((p["src"], p["dst"]) for p in pairs if p["dst"] is not None), start)
+                index += [n] * len(found)
+                rows += found
+            columns = [batch.column(i).take(pa.array(index, pa.int64())) for i in range(at)]
+            columns += [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *(name for name, _, _ in fields)])
+
+    keyed = [f"{k} {t}" for k, t in edges.select(*keys).dtypes]
+    return graphs.mapInArrow(run, ", ".join([*keyed, *(f"{name} {sql}" for name, _, sql in fields)]))
+
+
+def _dominator_rows(pairs: list[tuple[str, str]], entry: str) -> list[tuple]:
+    up = immediate_dominators(pairs, entry)
+    rows = []
+    for block in up:
+        at: str | None = block
+        while at is not None:
+            rows.append((block, at))
+            at = up[at]
+    return rows
 
 
 def dominators(edges: DataFrame, keys: Sequence[str], entry: str) -> DataFrame:
     """(keys, block, dominator) of every reachable block, itself included.
 
-    edges: keys, src, dst (NULL dst for a block without successor) and a column with the group's entry.
+    edges: keys, src, dst (NULL dst for a block without successor) and a column with the group's entry, the
+    least of which counts. Repeated edges change nothing; an empty table gives an empty one.
     """
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        up = immediate_dominators([(a, b) for a, b in zip(g["src"], g["dst"]) if b is not None and b == b], g[entry].iloc[0])
-        rows = []
-        for block in up:
-            at: str | None = block
-            while at is not None:
-                rows.append((*key, block, at))
-                at = up[at]
-        return pd.DataFrame(rows, columns=[*keys, "block", "dominator"])
-
-    return _groups(edges.select(*keys, F.col("src").cast("string"), F.col("dst").cast("string"), F.col(entry).cast("string")), keys, run, "block string, dominator string")
+    return _per_graph(edges, keys, entry, _dominator_rows, [("block", pa.string(), "string"), ("dominator", pa.string(), "string")])
+
+
+def _loop_rows(pairs: list[tuple[str, str]], entry: str) -> list[tuple]:
+    up = immediate_dominators(pairs, entry)
+    pred: dict[str, set[str]] = {}
+    for a, b in pairs:
+        pred.setdefault(b, set()).add(a)
+
+    def dominates(d: str, b: str | None) -> bool:
+        while b is not None:
+            if b == d:
+                return True
+            b = up[b]
+        return False
+
+    loops: dict[str, tuple[set[str], set[str]]] = {}
+    for tail, head in pairs:
+        if tail not in up or not dominates(head, tail):
+            continue
+        tails, body = loops.setdefault(head, (set(), {head}))
+        tails.add(tail)
+        todo = [tail]
+        while todo:
+            b = todo.pop()
+            if b not in body:
+                body.add(b)
+                todo.extend(pred.get(b, ()))
+    return [(h, sorted(t), sorted(body), sorted(f"{a}>{b}" for a, b in pairs if a in body and b not in body)) for h, (t, body) in sorted(loops.items())]
 
 
 def natural_loops(edges: DataFrame, keys: Sequence[str], entry: str) -> DataFrame:
@@ -93,40 +139,8 @@ def natural_loops(edges: DataFrame, keys: Sequence[str], entry: str) -> DataFram
     A back edge runs to a dominator of its start; the body is what reaches the start without the header.
     exits are 'source>target'.
     """
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted({(a, b) for a, b in zip(g["src"], g["dst"]) if b is not None and b == b})
-        up = immediate_dominators(pairs, g[entry].iloc[0])
-        pred: dict[str, set[str]] = {}
-        for a, b in pairs:
-            pred.setdefault(b, set()).add(a)
-
-        def dominates(d: str, b: str | None) -> bool:
-            while b is not None:
-                if b == d:
-                    return True
-                b = up[b]
-            return False
-
-        loops: dict[str, tuple[set[str], set[str]]] = {}
-        for tail, head in pairs:
-            if tail not in up or not dominates(head, tail):
-                continue
-            tails, body = loops.setdefault(head, (set(), {head}))
-            tails.add(tail)
-            todo = [tail]
-            while todo:
-                b = todo.pop()
-                if b not in body:
-                    body.add(b)
-                    todo.extend(pred.get(b, ()))
-        rows = [
-            (*key, h, sorted(t), sorted(body), sorted(f"{a}>{b}" for a, b in pairs if a in body and b not in body)) for h, (t, body) in sorted(loops.items())
-        ]
-        return pd.DataFrame(rows, columns=[*keys, "header", "tails", "blocks", "exits"])
-
-    slim = edges.select(*keys, F.col("src").cast("string"), F.col("dst").cast("string"), F.col(entry).cast("string"))
-    return _groups(slim, keys, run, "header string, tails array<string>, blocks array<string>, exits array<string>")
+    lists = [(n, pa.list_(pa.string()), "array<string>") for n in ("tails", "blocks", "exits")]
+    return _per_graph(edges, keys, entry, _loop_rows, [("header", pa.string(), "string"), *lists])
 
 
 def recurrences(inputs: DataFrame, keys: Sequence[str]) -> DataFrame:
