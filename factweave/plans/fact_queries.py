@@ -185,7 +185,7 @@ def a5_decision_rates(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT sink_form, count(*) FILTER (WHERE review_status = 'TRUPOC_RETAINED' AND NOT ev) AS tp, count(*) FILTER (WHERE review_status = 'REJECTED' AND NOT ev) AS fp,
+    """WITH c AS (SELECT sink_form, count(*) FILTER (WHERE review_status LIKE '%RETAINED' AND NOT ev) AS tp, count(*) FILTER (WHERE review_status = 'REJECTED' AND NOT ev) AS fp,
   count(*) FILTER (WHERE review_status = 'NOT_STATICALLY_REFOUND' AND NOT ev) AS fn FROM (SELECT *, starts_with(lower(trim(coalesce(corpus, ''))), 'evaluation') AS ev FROM cve_views) GROUP BY 1)
 SELECT sink_form, tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c"""
 )
@@ -193,7 +193,7 @@ def a6_precision_recall(spark, d):
     training = ~F.startswith(F.lower(F.trim(F.coalesce("corpus", F.lit("")))), F.lit("evaluation"))
     s = F.col("review_status")
     c = table(spark, d, "cve_views").groupBy("sink_form").agg(
-        F.count_if((s == "TRUPOC_RETAINED") & training).alias("tp"), F.count_if((s == "REJECTED") & training).alias("fp"), F.count_if((s == "NOT_STATICALLY_REFOUND") & training).alias("fn")
+        F.count_if(s.like("%RETAINED") & training).alias("tp"), F.count_if((s == "REJECTED") & training).alias("fp"), F.count_if((s == "NOT_STATICALLY_REFOUND") & training).alias("fn")
     )
     return c.select("sink_form", "tp", "fp", "fn", *(v.alias(k) for k, v in agg.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).items()))
 
