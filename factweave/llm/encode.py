@@ -12,12 +12,15 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import batches
+from factweave.functions.text import WHITE_SPACE
 
 #: The folder of the tokenizers' vocabulary files; pass another where they lie elsewhere.
 FOLDER = "/opt/tokenizers"
@@ -25,7 +28,7 @@ VOCABULARY = "byte_bpe_50k"
 
 #: The pattern that splits text before the merges, with Unicode's white space written out,
 #: as Java's \s is only ASCII's.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE if c not in "\x1c\x1d\x1e\x1f")
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 #: Characters of text of one bucket, and words of one chunk.
@@ -33,14 +36,24 @@ BUCKET_CHARS = 4_000_000
 CHUNK_WORDS = 4_096
 
 
-def word_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, chunk, chunks, words) of df; a NULL or empty text has one chunk without words."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))
-    split = df.select(F.col(id_col).alias("doc_id"), found.alias("words"))
+def word_chunks(texts: DataFrame) -> DataFrame:
+    """(bucket, doc_id, chunk, chunks, words) of (bucket, doc_id, text); a NULL or empty text has one chunk without words."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
+    split = texts.select("bucket", "doc_id", found.alias("words"))
     chunks = F.greatest(F.lit(1), F.ceil(F.size("words") / F.lit(CHUNK_WORDS)).cast("int"))
     numbered = split.withColumn("chunks", chunks).withColumn("chunk", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.when(F.col("chunks") == 1, F.col("words")).otherwise(F.slice("words", F.col("chunk") * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)))
-    return numbered.select("doc_id", "chunk", "chunks", part.alias("words"))
+    return numbered.select("bucket", "doc_id", "chunk", "chunks", part.alias("words"))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    """The tokenizer of a file, loaded once per Python worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 def _encoder(path: str):
@@ -48,27 +61,25 @@ def _encoder(path: str):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         for batch in source:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            ids = [e.ids for e in _tokenizer(path).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, schema.field(1).type)], schema=schema)
 
     return run
 
 
 def _assembled(texts: pa.Table, entries: pa.Table) -> pa.Table:
-    ids_of = dict(zip(entries.column("word").to_pylist(), entries.column("ids").to_pylist()))
-    out = []
-    for words in texts.column("words"):
-        ids: list[int] = []
-        for w in words.as_py():
-            ids += ids_of[w]
-        out.append(ids)
-    return pa.table([texts.column("doc_id"), texts.column("chunk"), texts.column("chunks"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "chunk", "chunks", "ids"])
+    """The ids of each chunk, put together by the positions of its words in the bucket's entries."""
+    words = texts.column("words").combine_chunks()
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.index_in(words.flatten(), value_set=entries.column("word").combine_chunks())
+    if at.null_count:
+        raise ValueError("a word has no entry")
+    pieces = entries.column("ids").combine_chunks().take(at)
+    sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))])
+    offsets = sizes[np.concatenate([[0], np.cumsum(counts)])]
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces.flatten())
+    return pa.table([texts.column("doc_id"), texts.column("chunk"), texts.column("chunks"), ids], names=["doc_id", "chunk", "chunks", "ids"])
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -82,13 +93,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(1, -(-chars // BUCKET_CHARS))
     parts = max(buckets, df.sparkSession.sparkContext.defaultParallelism)
-    chunked = word_chunks(df, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(buckets)).cast("int"))
-    placed = chunked.repartition(parts, "bucket")
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # the texts themselves are spread: their words take five times the room
+    placed = word_chunks(slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition(parts, "bucket"))
     # an outer generator, as the filter that an inner one implies would split every text again
     asked = placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct()
     table = asked.select("word").distinct().mapInArrow(_encoder(os.path.join(folder, f"{vocabulary}.json")), "word string, ids array<int>")
     entries = asked.join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
-    done = placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(chunked.dtypes)['doc_id']}, chunk int, chunks int, ids array<int>")
+    done = placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, chunk int, chunks int, ids array<int>")
     single = done.filter("chunks = 1").select("doc_id", "ids")
     several = done.filter("chunks > 1").groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"))
     return single.unionByName(several)
