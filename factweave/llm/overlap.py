@@ -55,16 +55,16 @@ def least_overlap(a: Column | str, b: Column | str, share: tuple[int, int] = SHA
 
 
 def _ordered(counts: np.ndarray):
-    """Rows (key, tokens, evaluation, training) with tokens sorted rare first."""
+    """Rows (name, class, tokens, evaluation, training) with tokens sorted rare first."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            tokens = batch.column(1)
+            tokens = batch.column(2)
             flat, offsets = tokens.flatten().to_numpy(zero_copy_only=False), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
             row = np.repeat(np.arange(len(tokens)), np.diff(offsets))
             order = np.lexsort((flat, counts[flat & (len(counts) - 1)], row))
             again = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[order]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), again, *batch.columns[2:]], names=["class", "tokens", "evaluation", "training"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], again, *batch.columns[3:]], names=["name", "class", "tokens", "evaluation", "training"])
 
     return run
 
@@ -72,15 +72,16 @@ def _ordered(counts: np.ndarray):
 def text_classes(views: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, members) of views(view_id, side, text).
 
-    classes: class, tokens (ordered), evaluation, training (whether it has such views). members: class,
-    view_id, side. Texts of fewer than three words have no trigram and belong to no class.
+    classes: name, class (a number: the least view of it), tokens (ordered), evaluation, training (whether it
+    has such views). members: name, view_id, side. Texts of fewer than three words have no trigram and
+    belong to no class.
     """
     split = views.filter("side IS NOT NULL").select("view_id", "side", words(F.col("text")).alias("w"))
     held = split.select("view_id", "side", F.array_sort(F.array_distinct(shingles(F.col("w"), SHINGLE))).alias("tokens"))
     name = F.concat_ws("-", F.hex(F.xxhash64("tokens")), F.hex(F.hash("tokens")), F.size("tokens").cast("string"))
-    named = held.withColumn("class", name)
-    classes = named.groupBy("class").agg(
-        F.any_value("tokens").alias("tokens"), F.bool_or(F.col("side") == "evaluation").alias("evaluation"), F.bool_or(F.col("side") == "training").alias("training")
+    named = held.withColumn("name", name)
+    classes = named.groupBy("name").agg(
+        F.min("view_id").cast("bigint").alias("class"), F.any_value("tokens").alias("tokens"), F.bool_or(F.col("side") == "evaluation").alias("evaluation"), F.bool_or(F.col("side") == "training").alias("training")
     )
     # texts of too few words are one class, dropped only here: earlier, the filter would be pushed below the grouping
     # and make every token again inside it
@@ -89,8 +90,8 @@ def text_classes(views: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = sketch.toArrow()  # at most SKETCH rows, whatever the input
     counts = np.zeros(SKETCH, dtype=np.int64)
     counts[counted.column("at").to_numpy()] = counted.column("count").to_numpy()
-    ordered = classes.mapInArrow(_ordered(counts), "class string, tokens array<bigint>, evaluation boolean, training boolean")
-    return checkpoint(ordered), named.select("class", "view_id", "side")
+    ordered = classes.mapInArrow(_ordered(counts), "name string, class bigint, tokens array<bigint>, evaluation boolean, training boolean")
+    return checkpoint(ordered), named.select("name", "view_id", "side")
 
 
 def indel_within(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def indel_within(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.
 
 def _verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p, q = SHARE
-    schema = pa.schema([("class_e", pa.string()), ("class_t", pa.string())])
+    schema = pa.schema([("class_e", pa.int64()), ("class_t", pa.int64())])
 
     def rows() -> Iterator[tuple]:
         for batch in source:
@@ -161,7 +162,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
     left = classes.select(F.col("class").alias("class_e"), F.col("tokens").alias("tokens_e"))
     right = classes.select(F.col("class").alias("class_t"), F.col("tokens").alias("tokens_t"))
     both = candidates.join(left, "class_e").join(right, "class_t").select("class_e", "class_t", "tokens_e", "tokens_t")
-    return both.mapInArrow(_verified, "class_e string, class_t string")
+    return both.mapInArrow(_verified, "class_e bigint, class_t bigint")
 
 
 def cross_split_pairs(views: DataFrame, id_col: str = "view_id", split_col: str = "corpus", digest_col: str = "binary_sha256", text_col: str = "profile_text") -> DataFrame:
@@ -180,9 +181,11 @@ def cross_split_pairs(views: DataFrame, id_col: str = "view_id", split_col: str
     ).select("evaluation_id", "training_id", F.lit(True).alias("same_digest"), F.lit(False).alias("near_text"))
     classes, members = text_classes(v)
     near = near_classes(classes)
-    e = near.join(members.filter("side = 'evaluation'").select(F.col("class").alias("class_e"), F.col("view_id").alias("evaluation_id")), "class_e").drop("class_e")
-    t = members.filter("side = 'training'").select(F.col("class").alias("class_t"), F.col("view_id").alias("training_id"))
-    by_text = paired(e, t, "class_t", "training_id").select("evaluation_id", "training_id", F.lit(False).alias("same_digest"), F.lit(True).alias("near_text"))
+    names = lambda c: classes.select(F.col("class").alias(f"class_{c}"), F.col("name").alias(f"name_{c}"))
+    of = near.join(names("e"), "class_e").join(names("t"), "class_t").select("name_e", "name_t")
+    e = of.join(members.filter("side = 'evaluation'").select(F.col("name").alias("name_e"), F.col("view_id").alias("evaluation_id")), "name_e").drop("name_e")
+    t = members.filter("side = 'training'").select(F.col("name").alias("name_t"), F.col("view_id").alias("training_id"))
+    by_text = paired(e, t, "name_t", "training_id").select("evaluation_id", "training_id", F.lit(False).alias("same_digest"), F.lit(True).alias("near_text"))
     return by_digest.unionByName(by_text).groupBy("evaluation_id", "training_id").agg(F.bool_or("same_digest").alias("same_digest"), F.bool_or("near_text").alias("near_text"))
 
 
