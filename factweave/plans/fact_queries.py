@@ -65,7 +65,7 @@ def u3_latest_delivery(spark, d):
     WHEN 'STATIC_WRITABLE_DATA' THEN NULL WHEN 'ABSOLUTE_SRAM' THEN NULL ELSE 'unresolved_memory_object' END], lambda x: x IS NOT NULL)) AS reason FROM d)
 SELECT reason, count(*) AS rejects, count(DISTINCT edge_id) AS edges FROM r GROUP BY reason"""
 )
-def p2_admission_rejects(spark, d):
+def sel_admission_rejects(spark, d):
     k = F.col("storage_kind")
     empty = lambda c: ids.known(c).isNull()
     rules = [
@@ -507,7 +507,7 @@ def u9_content_classes(spark, d):
     """SELECT plan_field_id, list_contains(['uint_le', 'uint_be'], encoding) AND field_size <= 8 AS numeric, coalesce(field_role, '') IN ('', 'other') AS unknown_role, count(*) AS n FROM plan_fields
 WHERE regexp_matches(coalesce(field_name, ''), '^[a-z]+$') AND len(list_filter(coalesce(candidates, []), lambda c: c = '256')) > 0 GROUP BY ALL"""
 )
-def p7_predicates(spark, d):
+def sel_predicates(spark, d):
     p = table(spark, d, "plan_fields")
     held = p.filter(F.coalesce("field_name", F.lit("")).rlike("^[a-z]+$") & F.exists(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: c == "256"))
     return held.select("plan_field_id", (F.col("encoding").isin("uint_le", "uint_be") & (F.col("field_size") <= 8)).alias("numeric"), F.coalesce("field_role", F.lit("")).isin("", "other").alias("unknown_role")).groupBy("plan_field_id", "numeric", "unknown_role").agg(F.count("*").alias("n"))

@@ -207,7 +207,7 @@ def j14_expected_matches(spark, d):
 @query(
     """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) AS token FROM documents) SELECT doc_id, token FROM t WHERE token IN (SELECT func_name FROM function_corpus WHERE func_name IS NOT NULL)"""
 )
-def p14_token_audit(spark, d):
+def sel_token_audit(spark, d):
     return match.token_hits(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "function_corpus"), "func_name")
 
 
@@ -215,7 +215,7 @@ def p14_token_audit(spark, d):
     """SELECT function_row_id, len(list_distinct(regexp_extract_all(coalesce(body, ''), '[A-Za-z_][A-Za-z0-9_]*')))::BIGINT AS identifiers, regexp_matches(coalesce(body, ''), 'memcpy|memset|strcpy|printf') AS primitive,
   length(trim(regexp_replace(coalesce(signature, ''), '[ \t\n\r\f\v]+', ' ', 'g'))) AS signature_length FROM function_corpus"""
 )
-def p10_token_tests(spark, d):
+def sel_token_tests(spark, d):
     f = table(spark, d, "function_corpus")
     return f.select(
         "function_row_id", F.size(ctext.identifiers("body")).cast("bigint").alias("identifiers"), F.coalesce("body", F.lit("")).rlike("memcpy|memset|strcpy|printf").alias("primitive"),
