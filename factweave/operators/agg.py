@@ -122,9 +122,12 @@ def threshold_gate(df: DataFrame, keys: Sequence[str], implementation: str, labe
 
 def strongest(df: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:
     """The rows of the strongest evidence per key, distinct; rows that conflict at that rank are all kept."""
-    w = Window.partitionBy(*keys)
     ranked = df.distinct().withColumn("__rank", rank)
-    return ranked.withColumn("__best", F.min("__rank").over(w)).filter(F.col("__rank") == F.col("__best")).drop("__rank", "__best")
+    best = ranked.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min("__rank").alias("__best"))
+    same = F.col("__rank") == F.col("__best")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ranked.join(best, same, "left_semi").drop("__rank")
 
 
 def classes(df: DataFrame, fingerprint: Column, id_col: str) -> tuple[DataFrame, DataFrame]:

@@ -31,14 +31,17 @@ _TRIM = "trim({0}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')"
 _KEY = f"nullif(lower({_TRIM}), '')"
 
 _LATEST = """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at DESC, exported_at DESC, site_id, function_id, object_id) AS n
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at DESC NULLS LAST, exported_at DESC NULLS LAST, site_id DESC NULLS LAST, function_id DESC NULLS LAST, object_id DESC NULLS LAST) AS n
 FROM accesses WHERE edge_id IS NOT NULL) WHERE n = 1"""
 
 
 def delivered(spark: SparkSession, d: str) -> DataFrame:
-    """Accesses with repeated deliveries removed, the latest kept, and keys normalised."""
+    """Accesses with repeated deliveries removed, the latest kept, and keys normalised.
+
+    The latest row is a maximum that combines map-side, so an id with very many deliveries is no single task's.
+    """
     a = table(spark, d, "accesses").filter("edge_id IS NOT NULL")
-    last = agg.keep_first(a, ["edge_id"], [F.desc("ingested_at"), F.desc("exported_at"), "site_id", "function_id", "object_id"])
+    last = agg.keep_by(a, ["edge_id"], F.struct("ingested_at", "exported_at", "site_id", "function_id", "object_id"), last=True)
     return last.withColumn("function_id", key(F.col("function_id"))).withColumn("binary_sha256", key(F.col("binary_sha256"))).withColumn("base_object_id", ids.known("base_object_id"))
 
 

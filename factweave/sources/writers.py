@@ -50,8 +50,8 @@ def graph_artifact(nodes: DataFrame, edges: DataFrame, rejects: DataFrame, path:
     spark = nodes.sparkSession
     for name, df in (("nodes", nodes), ("edges", edges), ("rejects", rejects)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    counts = [spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias(n)) for n in ("nodes", "edges", "rejects")]
-    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+    counts = {n: spark.read.parquet(f"{path}/{n}").count() for n in ("nodes", "edges", "rejects")}
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} bigint" for n in counts))
 
 
 def percent(part, whole, missing: str = "N/A"):
