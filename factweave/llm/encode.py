@@ -37,13 +37,13 @@ CHUNK_WORDS = 4_096
 
 
 def word_chunks(texts: DataFrame) -> DataFrame:
-    """(bucket, doc_id, chunk, chunks, words) of (bucket, doc_id, text); a NULL or empty text has one chunk without words."""
+    """(bucket, doc_id, mark, chunk, chunks, words) of (bucket, doc_id, text); a NULL or empty text has one chunk without words."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    split = texts.select("bucket", "doc_id", found.alias("words"))
+    split = texts.select("bucket", "doc_id", F.xxhash64("text").alias("mark"), found.alias("words"))
     chunks = F.greatest(F.lit(1), F.ceil(F.size("words") / F.lit(CHUNK_WORDS)).cast("int"))
     numbered = split.withColumn("chunks", chunks).withColumn("chunk", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.when(F.col("chunks") == 1, F.col("words")).otherwise(F.slice("words", F.col("chunk") * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)))
-    return numbered.select("bucket", "doc_id", "chunk", "chunks", part.alias("words"))
+    return numbered.select("bucket", "doc_id", "mark", "chunk", "chunks", part.alias("words"))
 
 
 @lru_cache(maxsize=4)
@@ -79,16 +79,16 @@ def _assembled(texts: pa.Table, entries: pa.Table) -> pa.Table:
     sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))])
     offsets = sizes[np.concatenate([[0], np.cumsum(counts)])]
     ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces.flatten())
-    return pa.table([texts.column("doc_id"), texts.column("chunk"), texts.column("chunks"), ids], names=["doc_id", "chunk", "chunks", "ids"])
+    kept = ["doc_id", "mark", "chunk", "chunks"]
+    return pa.table([*(texts.column(c) for c in kept), ids], names=[*kept, "ids"])
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every row of df: the token ids of its text, without special tokens.
 
     Strings that spell a special token are ordinary text. NULL and empty texts have the empty list; blank
-    texts are encoded like others. Repeated rows of one id, as ids are taken to be unique, give one list
-    each only while their text fits one chunk. An empty table gives an empty table; other columns, whatever their names,
-    are not looked at.
+    texts are encoded like others. Repeated rows and NULL ids give a row each. An empty table gives an empty
+    table; other columns, whatever their names, are not looked at.
     """
     chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(1, -(-chars // BUCKET_CHARS))
@@ -100,9 +100,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     asked = placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct()
     table = asked.select("word").distinct().mapInArrow(_encoder(os.path.join(folder, f"{vocabulary}.json")), "word string, ids array<int>")
     entries = asked.join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
-    done = placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, chunk int, chunks int, ids array<int>")
+    done = placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, mark bigint, chunk int, chunks int, ids array<int>")
     single = done.filter("chunks = 1").select("doc_id", "ids")
-    several = done.filter("chunks > 1").groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"))
+    # a repeated row of several chunks has each of them as often as it occurs
+    once = done.filter("chunks > 1").groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
+    joined = once.groupBy("doc_id", "mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"), F.min("times").cast("int").alias("times"))
+    several = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
     return single.unionByName(several)
 
 

@@ -74,7 +74,7 @@ def passages_found(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
     Characters of category Cf are removed first; words are lower-cased runs of letters and digits. NULL,
     empty and shorter texts hold nothing; repeated words, ties of hashes and repeated rows change nothing;
-    very long texts are searched whole. Empty tables give an empty result; other columns are not looked at.
+    very long texts are searched whole; rows without an id are left out. Empty tables give an empty result; other columns are not looked at.
     """
     if not 1 <= gram <= span:
         raise ValueError("a k-gram must lie within the span")

@@ -169,11 +169,11 @@ def cross_split_pairs(views: DataFrame, id_col: str = "view_id", split_col: str
     """Pairs (evaluation_id, training_id, same_digest, near_text) that overlap across the splits, each once.
 
     Two views overlap if they name the same digest or share at least 0.7 of their distinct word trigrams.
-    A NULL split is neither side; a missing or placeholder digest and a text of under three words (NULL,
+    A NULL split is neither side, a row without an id no view; a missing or placeholder digest and a text of under three words (NULL,
     empty, blank) match nothing; repeated texts and digests give all their pairs, as the result asks for,
     spread in blocks. Empty tables give an empty result; other columns are not looked at.
     """
-    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), F.col(text_col).alias("text"))
+    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), F.col(text_col).alias("text")).filter("view_id IS NOT NULL")
     named = v.filter("digest IS NOT NULL AND side IS NOT NULL").select("digest", "view_id", "side")
     by_digest = paired(
         named.filter("side = 'evaluation'").select("digest", F.col("view_id").alias("evaluation_id")),

@@ -49,6 +49,15 @@ def test_long_texts_are_cut_and_joined(spark, tokenizer, monkeypatch):
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(held)}
 
 
+def test_repeated_rows_and_missing_ids(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(encode, "CHUNK_WORDS", 5)
+    long = "the ring buffer of 12 bytes; " * 4
+    rows = [(1, long), (1, long), (1, long + "x"), (None, long), (None, "a"), (2, "b"), (2, "b")]
+    got = encode.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(i, tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows]
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_empty_table_and_unknown_id(spark, tokenizer):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode.encode(df).count() == 0

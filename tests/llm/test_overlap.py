@@ -73,6 +73,7 @@ def test_repeated_rows_hot_texts_and_empty_tables(spark):
     rows = [(i, "evaluation" if i % 3 == 0 else "train", "cd" * 32, text) for i in range(60)]
     assert pairs(spark, rows) == brute(rows)
     assert pairs(spark, []) == []
+    assert pairs(spark, [(None, "evaluation", "cd" * 32, text), (1, "train", "cd" * 32, text)]) == []
     assert pairs(spark, [(1, "evaluation", None, text)]) == []
 
 
