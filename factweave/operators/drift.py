@@ -122,7 +122,9 @@ def version_number(c: Column | str) -> Column:
 
 
 def _slim(files: DataFrame) -> DataFrame:
-    return files.select("campaign", "artifact", version_number("schema_version").alias("version_no"), "payload").filter("version_no IS NOT NULL")
+    return files.select("campaign", "artifact", version_number("schema_version").alias("version_no"), "payload").filter(
+        "version_no IS NOT NULL AND campaign IS NOT NULL AND artifact IS NOT NULL"
+    )
 
 
 def _placed(files: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def changes(files: DataFrame) -> DataFrame:
     new_name is new, and the rows with the same id and both values non-null, at least one, all have equal
     values); a renamed field is neither added nor removed. new_name is '' unless renamed.
     Unreadable, NULL and empty payloads, missing sections and rows that are no object tell nothing; files
-    without a version number are left out; repeated files change nothing; ids that repeat within a version
+    without a version number, campaign or artifact are left out; repeated files change nothing; ids that repeat within a version
     must agree in all their values. An empty table gives an empty result. Other columns are not looked at.
     """
     # small (a row per field and version) and used many times: without it every use would parse the files again

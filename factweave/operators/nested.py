@@ -166,7 +166,7 @@ def emit_tagged(df: DataFrame, record_col: str = "record_id", doc_col: str = "fa
     these. Null and empty elements are no nodes; an input's pos is its place in the list, so a null
     before it still counts. NULL, empty or unreadable documents and documents that are no object give
     no row; an empty table gives an empty table; a document delivered twice gives its rows under each
-    record id; other columns of df, whatever their names, are not looked at.
+    record id, and one without a record id under NULL; other columns of df, whatever their names, are not looked at.
     """
     slim = df.select(F.col(record_col).cast("bigint").alias("record_id"), F.col(doc_col).cast("string").alias("doc"))
     return slim.mapInArrow(_emitter(payload), TAGGED)
