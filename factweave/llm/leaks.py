@@ -50,6 +50,19 @@ def winnow(flat: np.ndarray, lengths: np.ndarray, span: int, gram: int) -> tuple
     new = np.ones(len(kept), dtype=bool)
     new[1:] = (kept[1:] != kept[:-1]) | (row[1:] != row[:-1])
     row, kept = row[new], kept[new]
+    # Places with the same words on both sides, as far as a run can reach, give the same answer: the first will
+    # do. So text that repeats itself costs no more than one period of it. A side that the text cuts short is like no other.
+    reach = span - gram
+    first, last = starts[row], (starts + lengths)[row] - gram
+    left = np.where(kept - reach >= first, signed[np.maximum(kept - reach, 0)], ~kept)
+    right = np.where(kept + reach <= last, signed[np.minimum(kept + reach, count - 1)], ~kept)
+    order = np.lexsort((kept, right, left, signed[kept], row))
+    same = np.zeros(len(kept), dtype=bool)
+    if len(kept):
+        cols = [x[order] for x in (row, signed[kept], left, right)]
+        same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+    chosen = np.sort(order[~same])
+    row, kept = row[chosen], kept[chosen]
     return row, signed[kept], kept - starts[row] + 1
 
 

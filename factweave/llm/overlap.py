@@ -32,6 +32,8 @@ SHARE = (7, 10)
 SHINGLE = 3
 #: Segments that must be found in both strings (c above).
 HITS = 3
+#: Tokens beyond which a pair's distance is counted from its common tokens, and cells of one table of programs.
+LONG, CELLS = 4_000, 1 << 20
 #: Counters of the sketch behind the global order.
 SKETCH = 1 << 18
 
@@ -135,13 +137,25 @@ def _verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple]:
         for batch in source:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                a, b = ([x.values.to_numpy(zero_copy_only=False) for x in part.column(i)] for i in (2, 3))
-                n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-                k = n + m - 2 * -(-p * (n + m) // (p + q))
-                good = indel_within(a, b, k) <= k
-                yield from ((e.as_py(), t.as_py()) for e, t, g in zip(part.column(0), part.column(1), good) if g)
+            a, b = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (2, 3))
+            n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+            k = n + m - 2 * -(-p * (n + m) // (p + q))
+            good = np.zeros(len(batch), dtype=bool)
+            size = np.maximum(n, m)
+            long = size > LONG
+            for i in np.flatnonzero(long):
+                # tokens of a string are distinct, so that its distance to another is what they don't share
+                good[i] = n[i] + m[i] - 2 * len(np.intersect1d(a[i], b[i], assume_unique=True)) <= k[i]
+            order = np.flatnonzero(~long)[np.argsort(size[~long], kind="stable")]
+            at = 0
+            while at < len(order):
+                # as many pairs of like size as fit a table of CELLS places
+                most = int(np.searchsorted(np.arange(1, len(order) - at + 1) * size[order[at:]], CELLS // 4, "right"))
+                part = order[at : at + max(1, most)]
+                good[part] = indel_within([a[i] for i in part], [b[i] for i in part], k[part]) <= k[part]
+                at += len(part)
+            e, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield from ((e[i], t[i]) for i in np.flatnonzero(good))
 
     return batches(rows(), schema)
 

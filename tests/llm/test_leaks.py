@@ -59,6 +59,27 @@ def test_a_very_long_text(spark):
     assert run(spark, docs, [(1, passage)]) == [(1, 1)]
 
 
+def test_text_that_repeats_itself(spark):
+    rng = random.Random(3)
+    docs, items = [], []
+    for n in range(40):
+        period = [f"p{rng.randint(0, 3)}" for _ in range(rng.randint(1, 9))]
+        body = (period * 400)[: rng.randint(5, 900)]
+        for _ in range(rng.randint(0, 3)):
+            body[rng.randrange(len(body))] = "odd"
+        docs.append((n, " ".join(body)))
+        items.append((n, " ".join((period * 9)[rng.randint(0, 5) :][: rng.randint(10, 30)])))
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_fingerprints_of_repeats_are_few():
+    import numpy as np
+
+    flat = np.tile(np.arange(5), 100_000)
+    row, h, at = leaks.winnow(flat, np.array([len(flat)]), 13, 8)
+    assert 0 < len(at) < 40
+
+
 def test_report(spark):
     items = spark.createDataFrame([(1, "s", "test"), (2, "s", "test")], "item_id bigint, suite string, eval_split string")
     found = spark.createDataFrame([(10, 1), (11, 1)], "doc_id bigint, item_id bigint")

@@ -77,6 +77,20 @@ def test_repeated_rows_hot_texts_and_empty_tables(spark):
     assert pairs(spark, [(1, "evaluation", None, text)]) == []
 
 
+def test_very_long_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for n, size in enumerate((30, 3_000, 9_000, 40_000)):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(size)]
+        rows.append((10 * n, "train", None, " ".join(words)))
+        for i, share in enumerate((0.02, 0.12, 0.3)):
+            rows.append((10 * n + 1 + i, "evaluation", None, " ".join("new" if rng.random() < share / 3 else w for w in words)))
+    want = brute(rows)
+    assert len(want) > 4 and pairs(spark, rows) == want
+    monkeypatch.setattr(overlap, "CELLS", 64)
+    assert pairs(spark, rows[:4]) == brute(rows[:4])
+
+
 def test_paired_cuts_hot_keys_and_loses_nothing(spark):
     left = spark.createDataFrame([(k, i) for k in "ab" for i in range(5)], "k string, l int")
     right = spark.createDataFrame([("a", i) for i in range(97)] + [("b", 1), ("c", 2), (None, 3)], "k string, r int")
