@@ -35,14 +35,22 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ingest
 FROM accesses WHERE edge_id IS NOT NULL) WHERE n = 1"""
 
 
-def delivered(spark: SparkSession, d: str) -> DataFrame:
-    """Accesses with repeated deliveries removed, the latest kept, and keys normalised.
+_ORDER = ["ingested_at", "exported_at", "site_id", "function_id", "object_id"]
 
-    The latest row is a maximum that combines map-side, so an id with very many deliveries is no single task's.
+
+def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The named columns of accesses with repeated deliveries removed, the latest kept, and keys normalised.
+
+    The latest row is a maximum that combines map-side, so an id with very many deliveries is no single
+    task's. What isn't named isn't read, but for the columns of the order.
     """
-    a = table(spark, d, "accesses").filter("edge_id IS NOT NULL")
-    last = agg.keep_by(a, ["edge_id"], F.struct("ingested_at", "exported_at", "site_id", "function_id", "object_id"), last=True)
-    return last.withColumn("function_id", key(F.col("function_id"))).withColumn("binary_sha256", key(F.col("binary_sha256"))).withColumn("base_object_id", ids.known("base_object_id"))
+    wanted = list(dict.fromkeys(["edge_id", *_ORDER, *columns]))
+    a = table(spark, d, "accesses").select(*wanted).filter("edge_id IS NOT NULL")
+    last = agg.keep_by(a, ["edge_id"], F.struct(*_ORDER), last=True)
+    for c in ("function_id", "binary_sha256"):
+        if c in wanted:
+            last = last.withColumn(c, key(F.col(c)))
+    return last.withColumn("base_object_id", ids.known("base_object_id")) if "base_object_id" in wanted else last
 
 
 _D = f"""
@@ -54,7 +62,7 @@ _FIXED = "(coalesce(len(selector_terms), 0) = 0 AND region_offset >= 0 AND regio
 
 @query(f"WITH {_D} SELECT edge_id, site_id, function_id, object_id FROM d")
 def u3_latest_delivery(spark, d):
-    return delivered(spark, d).select("edge_id", "site_id", "function_id", "object_id")
+    return delivered(spark, d, "site_id", "function_id", "object_id").select("edge_id", "site_id", "function_id", "object_id")
 
 
 @query(
@@ -81,7 +89,7 @@ def sel_admission_rejects(spark, d):
         ("ineligible_call_result_object", k == "CALL_RESULT_OBJECT"),
         ("unresolved_memory_object", k.isNull() | ~k.isin("STACK_LOCAL", "CALL_RESULT_OBJECT", "STATIC_WRITABLE_DATA", "ABSOLUTE_SRAM")),
     ]
-    _, out = rejects.admit(delivered(spark, d), rules)
+    _, out = rejects.admit(delivered(spark, d, "site_id", "function_id", "object_id", "value_id", "selector_terms", "region_offset", "region_extent", "access_width", "storage_kind"), rules)
     return out.groupBy("reason").agg(F.count("*").alias("rejects"), F.count_distinct("edge_id").alias("edges"))
 
 
@@ -93,7 +101,7 @@ SELECT a.binary_sha256, a.base_object_id, a.s AS start_w, a.e AS end_w, a.n AS r
 FROM w a JOIN w b USING (binary_sha256, base_object_id) WHERE a.edge_kind = 'WRITE' AND b.edge_kind = 'READ' AND greatest(a.s, b.s) < least(a.e, b.e)"""
 )
 def j4_region_overlaps(spark, d):
-    return shared.overlapping_regions(delivered(spark, d), ["binary_sha256", "base_object_id"])
+    return shared.overlapping_regions(delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "region_offset", "region_extent", "selector_terms"), ["binary_sha256", "base_object_id"])
 
 
 @query(
@@ -116,7 +124,7 @@ SELECT binary_sha256, base_object_id, s AS start, e AS "end", writers, readers,
   reason IS NULL AS admitted, reason FROM f"""
 )
 def g26_shared_regions(spark, d):
-    return shared.shared_regions(delivered(spark, d), ["binary_sha256", "base_object_id"])
+    return shared.shared_regions(delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "function_id", "region_offset", "region_extent", "selector_terms", "deterministic_context_ids"), ["binary_sha256", "base_object_id"])
 
 
 @query(
@@ -125,7 +133,7 @@ def g26_shared_regions(spark, d):
 FROM d WHERE base_object_id IS NOT NULL GROUP BY 1"""
 )
 def g27_object_classes(spark, d):
-    return classify_objects(delivered(spark, d), "base_object_id", "edge_kind")
+    return classify_objects(delivered(spark, d, "base_object_id", "edge_kind", "function_id"), "base_object_id", "edge_kind")
 
 
 @query(
@@ -141,7 +149,7 @@ SELECT DISTINCT source_id, object_id FROM o JOIN t USING (alias) WHERE alias IS
 )
 def j3_source_object_aliases(spark, d):
     outputs = table(spark, d, "sources").select("source_id", F.explode("outputs").alias("o")).select("source_id", F.col("o.object_id").alias("out_object"))
-    objects = delivered(spark, d).select("object_id", F.col("object_id").alias("id")).distinct()
+    objects = delivered(spark, d, "object_id").select("object_id", F.col("object_id").alias("id")).distinct()
     pairs = joins.alias_join(outputs.filter(ids.known("out_object").isNotNull() & F.col("source_id").isNotNull()), objects.filter(ids.known("object_id").isNotNull()), "out_object", "object_id", "source_id", "id")
     return pairs.withColumnRenamed("id", "object_id")
 
@@ -152,19 +160,19 @@ def j3_source_object_aliases(spark, d):
 WHERE function_id IS NOT NULL AND binary_sha256 IS NOT NULL GROUP BY 1, 2"""
 )
 def a1_unanimous_storage(spark, d):
-    return delivered(spark, d).filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL").groupBy("binary_sha256", "function_id").agg(
+    return delivered(spark, d, "binary_sha256", "function_id", "storage_kind", "candidate_class").filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL").groupBy("binary_sha256", "function_id").agg(
         agg.unique_or_null("storage_kind").alias("storage_kind"), agg.unanimous("candidate_class").alias("candidate_class")
     )
 
 
 @query(f"WITH {_D} SELECT edge_kind, storage_kind, count(*) AS n FROM d GROUP BY ALL")
 def a2_kind_histogram(spark, d):
-    return delivered(spark, d).groupBy("edge_kind", "storage_kind").agg(F.count("*").alias("n"))
+    return delivered(spark, d, "edge_kind", "storage_kind").groupBy("edge_kind", "storage_kind").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_D} SELECT binary_sha256, coalesce(sum(coalesce(access_width, 0)), 0)::BIGINT AS total_access_width, coalesce(sum(coalesce(region_extent, 0)), 0)::BIGINT AS total_region_extent FROM d GROUP BY 1")
 def a3_prefixed_sums(spark, d):
-    a = delivered(spark, d).select("binary_sha256", F.col("access_width").cast("bigint").alias("access_width"), "region_extent")
+    a = delivered(spark, d, "binary_sha256", "access_width", "region_extent").select("binary_sha256", F.col("access_width").cast("bigint").alias("access_width"), "region_extent")
     return a.groupBy("binary_sha256").agg(*agg.prefixed_sums(["access_width", "region_extent"], "total_"))
 
 
@@ -220,7 +228,7 @@ def a8_crosstab(spark, d):
 
 @query(f"WITH {_D} SELECT base_object_id, array_to_string(list_sort(list(DISTINCT storage_kind)), ',') AS kinds FROM d WHERE base_object_id IS NOT NULL GROUP BY 1")
 def a9_sorted_sets(spark, d):
-    a = delivered(spark, d).filter("base_object_id IS NOT NULL")
+    a = delivered(spark, d, "base_object_id", "storage_kind").filter("base_object_id IS NOT NULL")
     return a.groupBy("base_object_id").agg(F.array_join(F.sort_array(F.collect_set("storage_kind")), ",").alias("kinds"))
 
 
@@ -252,7 +260,7 @@ u AS (SELECT binary_sha256, base_object_id, array_to_string(list_sort(list_disti
 SELECT binary_sha256, base_object_id, contexts, count(*) AS sites, min(edge_id) AS first_edge FROM e JOIN u USING (binary_sha256, base_object_id) GROUP BY ALL"""
 )
 def a12_merged_lists(spark, d):
-    a = delivered(spark, d).filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND site_id IS NOT NULL")
+    a = delivered(spark, d, "binary_sha256", "base_object_id", "site_id", "context_ids").filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND site_id IS NOT NULL")
     rows = a.select("binary_sha256", "base_object_id", "context_ids", F.array(F.struct("site_id", "ingested_at", "edge_id")).alias("accesses"))
     m = agg.merge_lists(rows, ["binary_sha256", "base_object_id"], {"accesses": ("site_id", "ingested_at")}, ["context_ids"])
     return m.select(
@@ -282,7 +290,7 @@ def a14_minimum_support(spark, d):
 )
 def a15_nested_counts(spark, d):
     terms, contexts = F.coalesce("selector_terms", F.array()), F.coalesce("context_ids", F.array())
-    return delivered(spark, d).select(
+    return delivered(spark, d, "selector_terms", "context_ids").select(
         "edge_id", F.coalesce(F.exists(F.col("selector_terms"), lambda t: t["stride"] > 4), F.lit(False)).alias("wide_stride"),
         F.forall(F.coalesce("context_ids", F.array().cast("array<string>")), lambda c: c.startswith("ctx:")).alias("all_contexts"),
         F.coalesce(F.aggregate("selector_terms", F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(t["stride"], F.lit(0))), F.lit(0)).cast("bigint").alias("strides"),
@@ -298,7 +306,7 @@ SELECT binary_sha256, bucket, stores, loads, functions, place FROM (SELECT *, ro
 )
 def a16_object_buckets(spark, d):
     h = ids.hex_address(F.nullif(F.regexp_extract("base_object_id", r"^obj:ram:([0-9a-f]{1,15})$", 1), F.lit("")))
-    a = delivered(spark, d).withColumn("bucket", ids.page(h, 8)).filter("bucket BETWEEN 536870912 AND 1073741823 AND binary_sha256 IS NOT NULL")
+    a = delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "function_id").withColumn("bucket", ids.page(h, 8)).filter("bucket BETWEEN 536870912 AND 1073741823 AND binary_sha256 IS NOT NULL")
     s = a.groupBy("binary_sha256", "bucket").agg(F.count_if(F.col("edge_kind") == "WRITE").alias("stores"), F.count_if(F.col("edge_kind") == "READ").alias("loads"), F.count_distinct("function_id").alias("functions"))
     return rank.top_k(s, ["binary_sha256"], [F.desc(F.least("stores", "loads")), F.desc("functions"), F.asc("bucket")], 5).filter("selected").drop("selected")
 
@@ -373,7 +381,7 @@ def j13_tiered_names(spark, d):
     both = f.filter("binary_sha256 IS NOT NULL AND function_id IS NOT NULL").groupBy("binary_sha256", "function_id").agg(F.collect_set("func_name").alias("names"))
     alone = f.filter("function_id IS NOT NULL").groupBy("function_id").agg(F.collect_set("func_name").alias("names"))
     names = lambda t, on: t.select(*on, F.explode("names").alias("func_name"))
-    a = delivered(spark, d).select("edge_id", "binary_sha256", "function_id")
+    a = delivered(spark, d, "binary_sha256", "function_id").select("edge_id", "binary_sha256", "function_id")
     return joins.tiered(a, "edge_id", [(names(both, ["binary_sha256", "function_id"]), ["binary_sha256", "function_id"]), (names(alone, ["function_id"]), ["function_id"])], "func_name")
 
 
@@ -435,7 +443,7 @@ def r5_diverse_top_k(spark, d):
 @query()
 def r6_diverse_sets(spark, d):
     """Greedy, so without SQL; tests hold it against a plain loop."""
-    a = delivered(spark, d).filter("binary_sha256 IS NOT NULL AND function_id IS NOT NULL")
+    a = delivered(spark, d, "binary_sha256", "function_id", "base_object_id").filter("binary_sha256 IS NOT NULL AND function_id IS NOT NULL")
     rows = a.groupBy("binary_sha256", "function_id").agg(F.collect_set("base_object_id").alias("sites"), F.count("*").alias("n")).withColumn("rank", -F.col("n"))
     return rank.diverse_sets(rows, ["binary_sha256"], "function_id", "sites", "rank", 20)
 
@@ -462,7 +470,7 @@ def r8_subsumption(spark, d):
 
 @query(f"WITH {_D} SELECT edge_id, array_to_string(list_slice(context_ids, greatest(1, len(context_ids)), len(context_ids)), ',') AS last_context FROM d WHERE context_ids IS NOT NULL")
 def r12_last_items(spark, d):
-    return delivered(spark, d).filter("context_ids IS NOT NULL").select("edge_id", F.array_join(rank.last_items("context_ids", 1), ",").alias("last_context"))
+    return delivered(spark, d, "context_ids").filter("context_ids IS NOT NULL").select("edge_id", F.array_join(rank.last_items("context_ids", 1), ",").alias("last_context"))
 
 
 @query("SELECT function_id, decision FROM sources WHERE decision LIKE 'ACCEPT%' UNION SELECT function_id, edge_kind FROM accesses")
@@ -522,7 +530,7 @@ def sel_predicates(spark, d):
   'region:' || base_object_id || ':offset:' || region_offset || ':extent:' || region_extent AS region_id FROM d"""
 )
 def f_ids_and_addresses(spark, d):
-    return delivered(spark, d).select(
+    return delivered(spark, d, "site_id", "object_id", "edge_kind", "base_object_id", "region_offset", "region_extent").select(
         "edge_id", ids.stable_id("access:", "site_id", "object_id", "edge_kind").alias("stable_id"),
         ids.hex_address(F.nullif(F.regexp_extract("base_object_id", r"^obj:ram:([0-9a-f]{1,15})$", 1), F.lit(""))).alias("address"),
         ids.region_id("base_object_id", "region_offset", "region_extent").alias("region_id"),
@@ -557,7 +565,7 @@ def f_region_relations(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("binary_sha256", "base_object_id").orderBy("edge_id")
-    a = delivered(spark, d).filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND function_id IS NOT NULL")
+    a = delivered(spark, d, "binary_sha256", "base_object_id", "function_id", "region_offset", "region_extent", "selector_terms", "deterministic_context_ids").filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND function_id IS NOT NULL")
     part = F.struct("edge_id", "function_id", "region_offset", "region_extent", "selector_terms", "deterministic_context_ids")
     n = a.select("binary_sha256", "base_object_id", "edge_id", part.alias("a"), F.lead(part).over(w).alias("b")).filter("b IS NOT NULL")
     g = lambda s: [F.col(f"{s}.{c}") for c in ("region_offset", "region_extent", "selector_terms")]

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 def access_graph(spark: SparkSession, d: str) -> DataFrame:
     """Distinct edges (src, dst, kind, cost): a write runs from function to object, a read from object to function."""
-    a = delivered(spark, d).filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL")
+    a = delivered(spark, d, "edge_kind", "binary_sha256", "function_id", "base_object_id").filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL")
     f, o = F.concat_ws("|", "binary_sha256", "function_id"), F.concat_ws("|", "binary_sha256", "base_object_id")
     write = F.col("edge_kind") == "WRITE"
     e = a.filter(F.col("edge_kind").isin("READ", "WRITE")).select(
@@ -107,7 +107,7 @@ q AS (SELECT DISTINCT source_label AS lineage, {_KEY.format("binary_sha256")} ||
 
 
 def _association_inputs(spark, d):
-    a = delivered(spark, d).filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND edge_kind IN ('READ', 'WRITE')")
+    a = delivered(spark, d, "edge_kind", "binary_sha256", "function_id", "base_object_id", "selector_terms").filter("function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND edge_kind IN ('READ', 'WRITE')")
     f, o = F.concat_ws("|", "binary_sha256", "function_id"), F.concat_ws("|", "binary_sha256", "base_object_id")
     write = F.col("edge_kind") == "WRITE"
     moves = a.select(
@@ -208,7 +208,7 @@ def g9_first_missing(spark, d):
             F.when(k == "UNRESOLVED", "unmodeled_origin"), F.when(k == "STACK_LOCAL", "ineligible_stack_object"),
         )
     )
-    return delivered(spark, d).select("edge_id", b.alias("bl")).select("edge_id", rejects.first_missing(F.col("bl"), BLOCKER_MARKS)["relation"].alias("relation"))
+    return delivered(spark, d, "region_offset", "function_id", "storage_kind").select("edge_id", b.alias("bl")).select("edge_id", rejects.first_missing(F.col("bl"), BLOCKER_MARKS)["relation"].alias("relation"))
 
 
 def op_values(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +269,7 @@ FROM i FULL OUTER JOIN r USING (binary_sha256, base_object_id, region_offset, re
 def g23_container_pairs(spark, d):
     from factweave.functions.region import fixed
 
-    a = delivered(spark, d).filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND site_id IS NOT NULL").filter(fixed(F.col("region_offset"), F.col("region_extent"), F.col("selector_terms")))
+    a = delivered(spark, d, "binary_sha256", "base_object_id", "site_id", "edge_kind", "region_offset", "region_extent", "selector_terms").filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND site_id IS NOT NULL").filter(fixed(F.col("region_offset"), F.col("region_extent"), F.col("selector_terms")))
     a = a.withColumnRenamed("site_id", "site")
     keys = ["binary_sha256", "base_object_id", "region_offset", "region_extent"]
     out = graph.container_pairs(a.filter("edge_kind = 'WRITE'"), a.filter("edge_kind = 'READ'"), keys)

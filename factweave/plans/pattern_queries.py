@@ -112,7 +112,7 @@ def d5_register_routes(spark, d):
   WHEN len(coalesce(selector_terms, [])) = 0 THEN 'offset_neither_formal_nor_source' WHEN value_id IS NULL OR trim(value_id) = '' THEN 'no_trackable_parameter' END AS reason FROM d WHERE edge_kind = 'WRITE'"""
 )
 def d11_variable_stores(spark, d):
-    w = delivered(spark, d).filter("edge_kind = 'WRITE'")
+    w = delivered(spark, d, "edge_kind", "region_offset", "selector_terms", "storage_kind", "value_id").filter("edge_kind = 'WRITE'")
     dynamic = F.size(F.coalesce("selector_terms", F.array())) > 0
     c = w.select("edge_id", (F.col("region_offset").isNotNull() | dynamic).alias("complete"), F.col("storage_kind").isin("STATIC_WRITABLE_DATA", "ABSOLUTE_SRAM").alias("writable"), F.when(dynamic, "source").alias("offset_kind"), known("value_id").isNotNull().alias("trackable"))
     return patterns.variable_stores(c).select("edge_id", "reason")

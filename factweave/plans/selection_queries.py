@@ -43,7 +43,7 @@ SELECT edge_id, site_id, object_id FROM (SELECT *, row_number() OVER (PARTITION
 )
 def sel_contract(spark, d):
     rules = [("no_identity", known("site_id").isNull() | F.col("function_id").isNull()), ("no_object", F.col("storage_kind").isNull() | ~F.col("storage_kind").isin("STATIC_WRITABLE_DATA", "ABSOLUTE_SRAM"))]
-    return selection.contract(delivered(spark, d), rules, ["site_id", "object_id"], ["edge_id"])[0].select("edge_id", "site_id", "object_id")
+    return selection.contract(delivered(spark, d, "site_id", "object_id", "function_id", "storage_kind"), rules, ["site_id", "object_id"], ["edge_id"])[0].select("edge_id", "site_id", "object_id")
 
 
 @query(
@@ -51,7 +51,7 @@ def sel_contract(spark, d):
 SELECT *, concat_ws(',', CASE WHEN object_id IS NULL THEN 'object_id_missing' END, CASE WHEN value_id IS NULL THEN 'value_id_missing' END) AS blockers, object_id IS NOT NULL AND value_id IS NOT NULL AS traversable FROM n"""
 )
 def sel_normalised_edges(spark, d):
-    e = selection.normalise_edges(delivered(spark, d).select("edge_id", "object_id", "base_object_id", "value_id"), ["object_id", "value_id"], {"object_id": ["base_object_id"]})
+    e = selection.normalise_edges(delivered(spark, d, "object_id", "base_object_id", "value_id").select("edge_id", "object_id", "base_object_id", "value_id"), ["object_id", "value_id"], {"object_id": ["base_object_id"]})
     return e.select("edge_id", "object_id", "value_id", F.array_join("blockers", ",").alias("blockers"), "traversable")
 
 
@@ -85,7 +85,7 @@ def sel_ablation(spark, d):
 )
 def sel_access_compatible(spark, d):
     c = selection.access_compatible(F.col("deterministic_context_ids"), F.array(F.lit("ctx:task")), F.col("context_ids"))
-    return delivered(spark, d).select("edge_id", c.alias("compatible"))
+    return delivered(spark, d, "deterministic_context_ids", "context_ids").select("edge_id", c.alias("compatible"))
 
 
 @query(

@@ -231,7 +231,7 @@ SELECT binary_sha256, base_object_id, src, dst, score, row_number() OVER (PARTIT
 )
 def d2_context_pairs(spark, d):
     """Producer and consumer contexts of an object, of which there are few, scored and cut to the best two."""
-    a = delivered(spark, d).filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL")
+    a = delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "context_ids").filter("binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL")
     ctx = F.when(F.size(F.coalesce("context_ids", F.array())) == 0, F.array(F.lit("UNKNOWN"))).otherwise(F.col("context_ids"))
     c = a.select("binary_sha256", "base_object_id", "edge_kind", F.explode(ctx).alias("ctx"))
     p = c.filter("edge_kind = 'WRITE'").groupBy("binary_sha256", "base_object_id", F.col("ctx").alias("src")).agg(F.count("*").alias("stores"))
