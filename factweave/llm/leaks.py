@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import without_format_characters, words
 from factweave.llm.common import bounded_broadcast
+from factweave.session import checkpoint
 
 #: Words that a leaked passage shares at least, and words of a k-gram.
 SPAN = 13
@@ -100,7 +101,10 @@ def passages_found(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id",
     marks = fingerprints(doc, "doc_id", "dw", span, gram).withColumnRenamed("at", "d_at")
     sought = fingerprints(item, "item_id", "iw", span, gram).withColumnRenamed("at", "i_at")
     hits = marks.join(bounded_broadcast(sought, BROADCAST), "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("d_at", "i_at")).alias("hits"))
-    both = hits.join(doc, "doc_id").join(item, "item_id")
+    # few pairs, used twice; only the texts of documents with a hit are split again
+    hits = checkpoint(hits)
+    near = corpus.join(hits.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    both = hits.join(split(near, id_col, text_col, ("doc_id", "dw")), "doc_id").join(item, "item_id")
 
     def agrees(hit: Column) -> Column:
         shift = hit["i_at"] - hit["d_at"]
