@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ VOCABULARY = "byte_bpe_50k"
 _WS = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE if c not in "\x1c\x1d\x1e\x1f")
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
+#: The most pieces of a vocabulary, which is broadcast.
+MOST_PIECES = 1_000_000
 #: Characters of text of one bucket, and words of one chunk.
 BUCKET_CHARS = 4_000_000
 CHUNK_WORDS = 4_096
@@ -121,15 +124,38 @@ def vocabulary_table(spark: SparkSession, folder: str = FOLDER, vocabulary: str
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(found, pa.binary())}))
 
 
+def _speller(pieces: Broadcast):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, spelt = (pa.ipc.open_stream(pieces.value).read_all().column(i).combine_chunks() for i in (0, 1))
+        for batch in source:
+            ids = batch.column(1)
+            flat = ids.flatten()
+            at = pc.index_in(flat, value_set=known)
+            if at.null_count:
+                raise ValueError(f"no such token: {flat.filter(at.is_null())[0]}")
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spelt.take(at)), b"")
+            try:
+                text = joined.cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[batch.schema.names[0], "text"])
+
+    return run
+
+
 def decode(encoded: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) of (doc_id, ids) by a join of ids with pieces; an empty list gives ''.
+    """(doc_id, text) of (doc_id, ids) by a map-side join of ids with pieces; an empty or NULL list gives ''.
 
-    An id that is no token raises an error, so that no text is silently shortened.
+    pieces (id, piece) is a vocabulary, so its size is fixed; it is counted and broadcast. The join keeps the
+    ids in their lists, in order, so nothing is shuffled. An id that is no token raises an error, so that no
+    text is silently shortened; bytes that are no text become replacement characters.
     """
-    # the bytes travel as hex digits, which keep their order when they are put together as text
-    spelled = encoded.select(id_col, F.posexplode_outer("ids").alias("pos", "id")).join(
-        F.broadcast(pieces.select("id", F.hex("piece").alias("piece"))), "id", "left"
-    )
-    checked = F.when(F.col("id").isNull(), "").when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.col("id").cast("string")))).otherwise(F.col("piece"))
-    joined = spelled.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", checked.alias("piece")))).getField("piece"), "").alias("spelt"))
-    return joined.select(id_col, F.decode(F.unhex("spelt"), "UTF-8").alias("text"))
+    held = pieces.select("id", "piece").limit(MOST_PIECES + 1).toArrow()
+    if held.num_rows > MOST_PIECES:
+        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    shared = encoded.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    return encoded.select(id_col, "ids").mapInArrow(_speller(shared), f"{id_col} {dict(encoded.dtypes)[id_col]}, text string")

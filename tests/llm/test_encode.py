@@ -61,6 +61,8 @@ def test_repeated_rows_and_missing_ids(spark, tokenizer, monkeypatch):
 def test_empty_table_and_unknown_id(spark, tokenizer):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode.encode(df).count() == 0
+    part = spark.createDataFrame([(1, [447]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in encode.decode(part, encode.vocabulary_table(spark)).collect()} == {1: "\ufffd", 2: "", 3: ""}
     bad = spark.createDataFrame([(1, [99_999_999])], "doc_id bigint, ids array<int>")
     with pytest.raises(Exception, match="no such token"):
         encode.decode(bad, encode.vocabulary_table(spark)).collect()
