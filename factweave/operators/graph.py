@@ -213,6 +213,23 @@ def bounded_lineage(inputs: DataFrame, starts: DataFrame, mnemonics: Sequence[st
     return numbered.filter(F.col("__n") <= max_values).drop("__n")
 
 
+def expand_lineage(seeds: DataFrame, calls: DataFrame, helpers: DataFrame, depth: int, rounds: int = 1000) -> Result:
+    """(lineage, node, helpers) reached along calls (caller, callee), and through helpers (function, helper) at most `depth` deep.
+
+    A node is kept with the fewest helpers that lead to it.
+    """
+    edges = calls.select(F.col("caller").alias("node"), F.col("callee").alias("next"), F.lit(0).alias("cost")).unionByName(
+        helpers.select(F.col("function").alias("node"), F.col("helper").alias("next"), F.lit(1).alias("cost"))
+    )
+    edges = checkpoint(edges.distinct())
+
+    def step(delta: DataFrame) -> DataFrame:
+        moved = delta.join(edges, "node").select("lineage", F.col("next").alias("node"), (F.col("helpers") + F.col("cost")).cast("int").alias("helpers"))
+        return moved.filter(F.col("helpers") <= depth)
+
+    return relaxation(seeds.select("lineage", "node", F.lit(0).alias("helpers")), step, ["lineage", "node"], ["helpers"], rounds)
+
+
 def wrapper_summaries(primitives: DataFrame, calls: DataFrame, max_depth: int = MAX_WRAPPER_DEPTH) -> DataFrame:
     """(function, label, depth, roles) of functions that pass their formals on to all roles of a summary.
 

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions.ids import known
-from factweave.operators import nested, selection
-from factweave.plans.fact_queries import _D, delivered
+from factweave.functions.text import key
+from factweave.operators import cfg, graph, joins, nested, rank, selection
+from factweave.plans.fact_queries import _D, _KEY, delivered
+from factweave.plans.text_queries import _DAYS, day_graphs
 from factweave.session import table
 from factweave.sources import ctext, detectors
 
@@ -126,3 +128,75 @@ def j12_registry_calls(spark, d):
 def s12_text_hints(spark, d):
     """Hints in the corpus' bodies; tests hold the detectors against texts."""
     return detectors.scan_hints(table(spark, d, "function_corpus"), "function_row_id", "body")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS site, o_orderpriority AS callee, l_partkey AS actual, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS slot FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT DISTINCT o_orderpriority AS callee, o_shippable AS slot, o_orderpriority || '#' || o_shippable AS formal FROM (SELECT o_orderpriority, unnest([0, 1, 3]) AS o_shippable FROM orders))
+SELECT site, callee, slot::INT AS slot, actual, formal FROM c JOIN f USING (callee, slot)"""
+)
+def j10_argument_binding(spark, d):
+    """Order lines as the arguments of a call by priority, bound to the slots that the callee declares."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")  # noqa: E741
+    rows = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_orderkey").alias("site"), F.col("o_orderpriority").alias("callee"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("a"))
+    calls = rows.groupBy("site", "callee").agg(F.array_sort(F.collect_list("a"))["l_partkey"].alias("arguments"))
+    formals = o.select(F.col("o_orderpriority").alias("callee")).distinct().select("callee", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("slot"))
+    return joins.bind_arguments(calls, formals.withColumn("formal", F.concat_ws("#", "callee", F.col("slot").cast("string"))), "callee", "arguments", "site")
+
+
+@query(
+    f"""WITH c AS (SELECT site_id, min({_KEY.format("function_id")}) AS t, max({_KEY.format("function_id")}) AS u, min(source_id) AS output FROM sources WHERE site_id IS NOT NULL AND {_KEY.format("function_id")} IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT {_KEY.format("function_id")} AS f, func_name AS value FROM function_corpus WHERE func_name IS NOT NULL) SELECT site_id, output, value FROM c JOIN r ON c.t = r.f WHERE t = u"""
+)
+def j11_return_binding(spark, d):
+    """Sites with one target function only, bound to the names that the function returns."""
+    calls = table(spark, d, "sources").select("site_id", key(F.col("function_id")).alias("target"), F.col("source_id").alias("output")).filter("site_id IS NOT NULL AND target IS NOT NULL")
+    returns = table(spark, d, "function_corpus").select(key(F.col("function_id")).alias("f"), F.col("func_name").alias("value")).filter("value IS NOT NULL").distinct()
+    return joins.bind_returns(calls, returns, "site_id", "target", "f")
+
+
+@query(
+    """WITH a AS (SELECT alert_id, count(*) FILTER (WHERE evidence_kind = 'CALL_PATH') AS sure, count(*) AS paths, count(*) FILTER (WHERE withdrawn_at IS NOT NULL) AS blockers FROM evidence_items WHERE alert_id IS NOT NULL GROUP BY 1),
+r AS (SELECT alert_id, row_number() OVER (ORDER BY sure DESC, paths DESC, blockers, alert_id) AS rank FROM a) SELECT alert_id, rank, CASE WHEN rank > 50 THEN 'EXECUTION_BUDGET' END AS deferred FROM r"""
+)
+def r3_validation_rank(spark, d):
+    """Alerts by certain evidence, evidence and withdrawals; those past the budget are named as deferred."""
+    e = table(spark, d, "evidence_items").filter("alert_id IS NOT NULL")
+    a = e.groupBy("alert_id").agg(F.count_if(F.col("evidence_kind") == "CALL_PATH").alias("sure"), F.count("*").alias("paths"), F.count_if(F.col("withdrawn_at").isNotNull()).alias("blockers"))
+    ranked = rank.global_rank(a, [F.desc("sure"), F.desc("paths"), F.asc("blockers"), F.asc("alert_id")])
+    return ranked.select("alert_id", "rank", F.when(F.col("rank") > 50, "EXECUTION_BUDGET").alias("deferred"))
+
+
+@query("SELECT event_id, json(props)::VARCHAR AS canonical FROM events")
+def f_canonical_json(spark, d):
+    """JSON text with sorted keys and no blanks."""
+    return table(spark, d, "events").select("event_id", F.to_json(F.try_parse_json("props")).alias("canonical"))
+
+
+@query(
+    f"""WITH RECURSIVE {_DAYS}, e AS (SELECT DISTINCT user_id, day, src, dst FROM g WHERE dst IS NOT NULL),
+p AS (SELECT DISTINCT a.user_id, a.day, a.dst AS l, b.dst AS r FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND a.src = b.src AND a.dst < b.dst),
+q AS (SELECT DISTINCT user_id, day, l AS start, l AS node FROM p UNION SELECT DISTINCT user_id, day, r, r FROM p UNION SELECT q.user_id, q.day, q.start, e.dst FROM q JOIN e ON e.user_id = q.user_id AND e.day = q.day AND e.src = q.node)
+SELECT user_id, day, l AS "left", r AS "right" FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = p.user_id AND q.day = p.day AND ((q.start = p.l AND q.node = p.r) OR (q.start = p.r AND q.node = p.l)))"""
+)
+def d9_exclusive_arms(spark, d):
+    """Blocks of the day graphs that are arms of one branch and don't lead to each other."""
+    e = day_graphs(spark, d).filter("dst IS NOT NULL").select("user_id", "day", "src", "dst")
+    on = ["user_id", "day", "src"]
+    pairs = e.withColumnRenamed("dst", "left").join(e.withColumnRenamed("dst", "right"), on).filter("left < right").select("user_id", "day", "left", "right")
+    return cfg.exclusive_arms(e, pairs, ["user_id", "day"])
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 45),
+s AS (SELECT min(c) AS lineage FROM e), m AS (SELECT 'c' || c AS src, 'p' || p AS dst, 0 AS cost FROM e UNION ALL SELECT 'p' || p, 'c' || c, 1 FROM e),
+r AS (SELECT lineage, 'c' || lineage AS node, 0 AS helpers FROM s WHERE lineage IS NOT NULL UNION SELECT lineage, dst, helpers + cost FROM r JOIN m ON node = src WHERE helpers + cost <= 2)
+SELECT lineage, node, min(helpers) AS helpers FROM r GROUP BY 1, 2"""
+)
+def g14_lineage_expansion(spark, d):
+    """A lineage along calls (customer to part), and back through helpers (part to customer) up to two deep."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")  # noqa: E741
+    e = o.join(l.filter("l_returnflag = 'R' AND l_quantity > 45"), o["o_orderkey"] == l["l_orderkey"])
+    e = e.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("callee"), F.col("o_custkey").alias("c")).distinct()
+    seeds = e.agg(F.min("c").alias("lineage")).filter("lineage IS NOT NULL").select("lineage", F.concat(F.lit("c"), F.col("lineage").cast("string")).alias("node"))
+    return graph.expand_lineage(seeds, e.select("caller", "callee"), e.select(F.col("callee").alias("function"), F.col("caller").alias("helper")), 2).rows
