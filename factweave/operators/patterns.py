@@ -283,3 +283,32 @@ def best_chains(expected: DataFrame, chains: DataFrame, sink: str) -> DataFrame:
     best = chains.groupBy(sink).agg(F.min_by(F.struct("chain", "status", "source_matched"), key).alias("b")).select(sink, "b.*")
     out = expected.join(best, sink, "left")
     return out.withColumn("result", F.when(~F.col("matched"), "SINK_MISS").when(F.col("chain").isNull(), "CHAIN_MISS").otherwise(s))
+
+
+def in_place_swaps(transfers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of loop transfers that exchange two places of one buffer: (keys, header, base, site_a, site_b).
+
+    transfers: keys, header, site, base, dst, src (location keys of fixed stride). One writes where the other
+    reads and the reverse, so the pair is found by an equi-join; unknown places and bases match nothing.
+    """
+    a = transfers.filter("dst <> src").select(*keys, "header", "base", "dst", "src", F.col("site").alias("site_a"))
+    b = transfers.select(*keys, "header", "base", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("site").alias("site_b"))
+    return a.join(b, [*keys, "header", "base", "dst", "src"]).filter("site_a < site_b").select(*keys, "header", "base", "site_a", "site_b").distinct()
+
+
+def buffer_reservations(updates: DataFrame, returns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Field updates that reserve room at the old end of a buffer: (keys, site, base, field, return_site, pointer_field, reason).
+
+    updates: keys, site, base, field, old_value, direction ('add' or another); returns: keys, return_site,
+    base, pointer_field, value (a value the returned address depends on). The address returned must depend on
+    the field's old value and on another field of the same base. The least such return counts.
+    """
+    r = returns.select(*keys, "base", F.col("value").alias("old_value"), "return_site", "pointer_field")
+    met = updates.join(r, [*keys, "base", "old_value"], "left")
+    fit = F.when(F.col("pointer_field").isNotNull() & (F.col("pointer_field") != F.col("field")), F.struct("return_site", "pointer_field"))
+    g = met.groupBy(*keys, "site", "base", "field", "old_value", "direction").agg(F.min(fit).alias("r"), F.count("return_site").alias("n"))
+    reason = (
+        F.when(F.coalesce(F.col("direction") != "add", F.lit(True)), "reservation_update_does_not_add").when(F.col("old_value").isNull(), "reservation_old_value_unknown")
+        .when(F.col("n") == 0, "reservation_return_does_not_depend_on_old_value").when(F.col("r").isNull(), "reservation_pointer_is_the_updated_field")
+    )
+    return g.select(*keys, "site", "base", "field", "r.return_site", "r.pointer_field", reason.alias("reason"))

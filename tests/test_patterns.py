@@ -112,3 +112,14 @@ def test_best_chains_and_rank_metadata(spark):
     df = spark.createDataFrame([(1, [0.123456, 2.0], ["ISR", "DMA"]), (2, [], []), (3, None, ["x"])], "id int, s array<double>, h array<string>")
     best, hint = patterns.rank_metadata(F.col("s"), F.col("h"), ["DMA", "ISR", "TASK"])
     assert rows(df, "id", best.alias("b"), hint.alias("h")) == [(1, 1.0, "DMA"), (2, 0.0, "TASK"), (3, 0.0, "TASK")]
+
+
+def test_swaps_and_reservations(spark):
+    t = [(1, "h", "s1", "buf", "i", "j"), (1, "h", "s2", "buf", "j", "i"), (1, "h", "s3", "buf", "i", "k"), (1, "g", "s4", "buf", "j", "i"), (1, "h", "s5", None, "j", "i"), (1, "h", "s6", "buf", "i", "i")]
+    got = patterns.in_place_swaps(spark.createDataFrame(t, "f int, header string, site string, base string, dst string, src string"), ["f"])
+    assert rows(got, "header", "site_a", "site_b") == [("h", "s1", "s2")]
+    u = spark.createDataFrame([(1, "u1", "b", 4, "old", "add"), (1, "u2", "b", 4, "old", "sub"), (1, "u3", "b", 4, "other", "add"), (1, "u4", "b", 0, "old", "add"), (1, "u5", "b", 4, None, "add")], "f int, site string, base string, field int, old_value string, direction string")
+    r = spark.createDataFrame([(1, "ret", "b", 0, "old"), (1, "ret2", "c", 0, "other")], "f int, return_site string, base string, pointer_field int, value string")
+    assert rows(patterns.buffer_reservations(u, r, ["f"]), "site", "return_site", "reason") == [
+        ("u1", "ret", None), ("u2", "ret", "reservation_update_does_not_add"), ("u3", None, "reservation_return_does_not_depend_on_old_value"), ("u4", None, "reservation_pointer_is_the_updated_field"), ("u5", None, "reservation_old_value_unknown"),
+    ]
