@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import drift, nested
 from factweave.operators.orphans import Reference, orphan_report, orphans
-from factweave.session import table
+from factweave.session import checkpoint, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "artifact_files")
-    return drift.consistent_cells(files, drift.casts(drift.catalogue(files), drift.changes(files)))
+    # the changes are few and used for each field and its cast; their plan must not be run for every use
+    changed = checkpoint(drift.changes(files))
+    return drift.consistent_cells(files, checkpoint(drift.casts(drift.catalogue(files), changed)))
 
 
 def _references(spark: SparkSession, d: str) -> list[Reference]:
