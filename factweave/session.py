@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    Workers inherit neither the driver's sys.path nor its folder, so the package goes to them as a zip file
+    over Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="factweave-code-"), "factweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("factweave", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The parquet table NAME of a data directory."""
     return spark.read.parquet(os.path.join(directory, f"{name}.parquet"))

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from factweave.session import build_session  # noqa: E402
+from factweave.session import build_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,5 +13,6 @@ def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.default.parallelism": "4"}
     session = build_session("tests", "local[4]", **conf)
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
