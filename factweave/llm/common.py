@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (they are counted), else df itself."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, row: str, block: int = 20_000, most_hot: int = 100_000) -> DataFrame:
