@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import key
 from factweave.operators import graph, nested, rejects
-from factweave.operators.agg import keep_by
 from factweave.plans.fact_queries import _D, _FIXED, _KEY, delivered
 from factweave.session import checkpoint, table
 
