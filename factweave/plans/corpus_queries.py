@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import drift, nested
 from factweave.operators.orphans import Reference, orphan_report, orphans
+from factweave.plans.corpus_sql import P1_FOUND, P2_FOUND
 from factweave.session import checkpoint, table
 
 
@@ -91,6 +92,8 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": P1_FOUND,
+    "p2_found": P2_FOUND,
     "p5_found": f"SELECT DISTINCT ref_table, ref_column, ref_key FROM ({_CASES})",
     "p5_report": (
         "SELECT ref_table, ref_column, date_trunc('month', ref_at)::TIMESTAMP AS month, "
