@@ -127,6 +127,29 @@ def g26_shared_regions(spark, d):
     return shared.shared_regions(delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "function_id", "region_offset", "region_extent", "selector_terms", "deterministic_context_ids"), ["binary_sha256", "base_object_id"])
 
 
+@query(
+    f"""WITH {_D}, t AS (SELECT DISTINCT binary_sha256, base_object_id, edge_kind, function_id AS f, CASE WHEN len(list_distinct(deterministic_context_ids)) = 1 THEN list_distinct(deterministic_context_ids)[1] END AS ctx,
+    CASE WHEN len(coalesce(selector_terms, [])) > 0 THEN 'dynamic' WHEN {_FIXED} THEN 'fixed' ELSE 'unknown' END AS region,
+    CASE WHEN len(coalesce(selector_terms, [])) = 0 THEN region_offset END AS s, CASE WHEN len(coalesce(selector_terms, [])) = 0 THEN region_extent END AS x
+  FROM d WHERE function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL),
+k AS (SELECT binary_sha256, base_object_id, region, s, x, count(DISTINCT f) AS writers FROM t WHERE edge_kind = 'WRITE' GROUP BY ALL),
+p AS (SELECT w.binary_sha256, w.base_object_id, w.region, w.s, w.x, r.f AS rf, r.f <> w.f AS other, r.f <> w.f AND r.ctx <> w.ctx AS sure, r.f <> w.f AND (w.region = 'dynamic' OR r.region = 'dynamic') AS may
+  FROM t w JOIN t r USING (binary_sha256, base_object_id) WHERE w.edge_kind = 'WRITE' AND r.edge_kind = 'READ'
+    AND (w.region = 'dynamic' OR r.region = 'dynamic' OR (w.region = 'fixed' AND r.region = 'fixed' AND greatest(w.s, r.s) < least(w.s + w.x, r.s + r.x)))),
+g AS (SELECT binary_sha256, base_object_id, region, s, x, count(DISTINCT rf) AS readers, bool_or(other) AS other, bool_or(sure) AS sure, bool_or(may) AS may FROM p GROUP BY ALL),
+a AS (SELECT DISTINCT binary_sha256, base_object_id, true AS has_read FROM t WHERE edge_kind = 'READ'),
+f AS (SELECT k.*, coalesce(g.readers, 0) AS readers, g.sure, g.may,
+    CASE WHEN has_read IS NULL THEN 'object_has_no_read' WHEN g.readers IS NULL THEN 'only_disjoint_reads' WHEN NOT g.other THEN 'only_same_function_reads' END AS reason
+  FROM k LEFT JOIN g ON k.binary_sha256 = g.binary_sha256 AND k.base_object_id = g.base_object_id AND k.region = g.region AND k.s IS NOT DISTINCT FROM g.s AND k.x IS NOT DISTINCT FROM g.x
+    LEFT JOIN a ON k.binary_sha256 = a.binary_sha256 AND k.base_object_id = a.base_object_id)
+SELECT binary_sha256, base_object_id, region, s AS region_offset, x AS region_extent, writers, readers, CASE WHEN reason IS NULL THEN CASE WHEN may THEN 'MAY_OVERLAP' ELSE 'EXACT_OVERLAP' END END AS region_relation,
+  CASE WHEN reason IS NULL THEN CASE WHEN coalesce(sure, false) THEN 'DISTINCT_DETERMINISTIC_CONTEXT' ELSE 'DISTINCT_FUNCTION_HEURISTIC_CONTEXT' END END AS relation, reason IS NULL AS admitted, reason FROM f"""
+)
+def g26_shared_accesses(spark, d):
+    """All write classes, selector-based ones too; g26_shared_regions is the part with fixed regions on both sides."""
+    return shared.shared_accesses(delivered(spark, d, "binary_sha256", "base_object_id", "edge_kind", "function_id", "region_offset", "region_extent", "selector_terms", "deterministic_context_ids"), ["binary_sha256", "base_object_id"])
+
+
 @query(
     f"""WITH {_D} SELECT base_object_id, count(*) FILTER (WHERE edge_kind = 'WRITE') AS writes, count(*) FILTER (WHERE edge_kind = 'READ') AS reads,
   count(DISTINCT function_id) AS functions, count(*) FILTER (WHERE edge_kind = 'WRITE') > 0 AND count(*) FILTER (WHERE edge_kind = 'READ') > 0 AND count(DISTINCT function_id) > 1 AS shared

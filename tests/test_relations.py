@@ -152,3 +152,23 @@ def test_shared_regions_of_the_fixture(spark):
     assert run((*w[:6], None), (*r[:6], None)) == [(True, "DISTINCT_FUNCTION_HEURISTIC_CONTEXT", None)]
     assert run(w, (*r[:6], ["ctx:isr"])) == [(True, "DISTINCT_FUNCTION_HEURISTIC_CONTEXT", None)]
     assert run() == []
+
+
+def test_selector_accesses_may_be_shared(spark):
+    shape = ACCESS.replace("array<string>, d", "array<struct<v:string>>, d")
+    sel = [("i",)]
+
+    def run(*data):
+        got = shared.shared_accesses(spark.createDataFrame(list(data), shape), ["object"]).collect()
+        return sorted((x.region, x.region_offset, x.writers, x.readers, x.region_relation, x.reason) for x in got)
+
+    w, r = ("o", "WRITE", "fn:writer", 0, 1, None, ["ctx:isr"]), ("o", "READ", "fn:reader", 8, 1, None, ["ctx:task"])
+    dyn = lambda x, f=None: (*x[:2], f or x[2], None, None, sel, x[6])
+    assert run(w, dyn(r)) == [("fixed", 0, 1, 1, "MAY_OVERLAP", None)]
+    assert run(dyn(w), r) == [("dynamic", None, 1, 1, "MAY_OVERLAP", None)]
+    assert run(dyn(w), dyn(r, "fn:writer")) == [("dynamic", None, 1, 1, None, "only_same_function_reads")]
+    assert run((*w[:3], None, None, *w[5:]), r) == [("unknown", None, 1, 0, None, "only_disjoint_reads")]
+    assert run((*w[:3], None, None, *w[5:]), dyn(r)) == [("unknown", None, 1, 1, "MAY_OVERLAP", None)]
+    assert run(w, r, dyn(r), (*r[:3], 0, *r[4:]), dyn(r, "fn:writer")) == [("fixed", 0, 1, 2, "MAY_OVERLAP", None)]
+    assert run(w, (*r[:3], 0, *r[4:]), dyn(r, "fn:writer")) == [("fixed", 0, 1, 2, "EXACT_OVERLAP", None)]
+    assert run() == []
