@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from factweave.operators import cfg, graph
+from factweave.plans import graph_queries
 
 
 def rows(df, *columns):
@@ -167,3 +168,27 @@ def test_affine_terms(spark):
     ]
     got = cfg.affine_terms(spark.createDataFrame(data, shape), spark.createDataFrame([(1, "a"), (1, "s")], "f int, root string"), ["f"])
     assert rows(got, "root", "node", "stride", "offset") == [("a", "base", 1, 8), ("a", "i", 4, 0), ("s", "base", 1, 8), ("s", "i", 3, 0)]
+
+
+def test_every_reading_function_is_searched(spark, monkeypatch):
+    e = [("b|f1", "b|o", "CHANNEL_WRITE", 0), ("b|o", "b|f2", "CHANNEL_READ", 1), ("b|o", "b|f3", "CHANNEL_READ", 1), ("b|f3", "b|p", "CHANNEL_WRITE", 0), ("b|p", "b|f4", "CHANNEL_READ", 1)]
+    edges = spark.createDataFrame([(*x, "b") for x in e], "src string, dst string, kind string, cost int, binary_sha256 string")
+    monkeypatch.setattr(graph_queries, "access_graph", lambda spark, d: edges)
+    sources = spark.createDataFrame([("ACCEPT_HEURISTIC", "b", "none", "s")], "decision string, binary_sha256 string, function_id string, source_id string")
+    monkeypatch.setattr(graph_queries, "table", lambda spark, d, t: sources)
+    starts = {f"b|f{n}" for n in (2, 3, 4)}
+
+    def walk(start, forward=False):
+        seen, todo = set(), [start]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [(b if forward else a) for a, b, _, _ in e if (a if forward else b) == x]
+        return seen
+
+    want = sorted((s, x) for s in starts for x in walk(s))
+    assert rows(graph_queries.g1_every_reach_hops(spark, ""), "search", "node") == want
+    assert rows(graph_queries.g1_every_allowed_edges(spark, ""), "search", "src", "dst") == sorted((s, a, b) for s in starts for a, b, _, _ in e if b in walk(s))
+    assert rows(graph_queries.g2_every_reachable(spark, ""), "start", "node") == sorted((s, x) for s in starts for x in walk(s, True))
+    assert rows(graph_queries.g7_blockers(spark, ""), "search", "value") == sorted((s, "b|f1") for s in starts)
