@@ -274,6 +274,26 @@ def g14_call_closure(spark, d):
     return graph.reachable(checkpoint(c), c.select(F.col("src").alias("start")).distinct()).rows
 
 
+@query()
+def g14_every_lineage(spark, d):
+    """Every function of the facts' call graph as a lineage: along calls that pass arguments, and up to two returning helpers deep.
+
+    g14_lineage_expansion has one lineage of the order tables. Tests hold this one against a loop.
+    """
+    tagged = nested.emit_tagged(table(spark, d, "program_facts"))
+    at = lambda c: F.concat_ws("|", "record_id", c)
+    call = F.from_json("call", "target_function_id string, argument_value_ids array<string>")
+    ops = nested.flat_table(tagged, "op").select("record_id", "node_no", "mnemonic", "function_id", call.alias("c"))
+    calls = ops.filter("c.target_function_id <> ''").select(
+        "record_id", "node_no", at("function_id").alias("caller"), at("c.target_function_id").alias("callee"), (F.size(F.coalesce("c.argument_value_ids", F.array())) > 0).alias("passes")
+    )
+    held = lambda tag: nested.flat_table(tagged, tag).filter("coalesce(value_id, object_id) <> ''").select("record_id", F.col("parent_no").alias("node_no")).distinct()
+    returning = ops.filter("mnemonic = 'RETURN'").join(held("input"), ["record_id", "node_no"]).select(at("function_id").alias("callee")).distinct()
+    helpers = calls.join(held("output"), ["record_id", "node_no"]).join(returning, "callee").select(F.col("caller").alias("function"), F.col("callee").alias("helper"))
+    seeds = calls.select(F.explode(F.array("caller", "callee")).alias("lineage")).distinct().withColumn("node", F.col("lineage"))
+    return graph.expand_lineage(seeds, calls.filter("passes").select("caller", "callee"), helpers, 2).rows
+
+
 @query(
     f"""WITH f AS (SELECT {_KEY.format("binary_sha256")} AS b, {_KEY.format("function_id")} AS f, func_name FROM function_corpus WHERE func_name IS NOT NULL),
 s AS (SELECT DISTINCT site_id, {_KEY.format("binary_sha256")} AS b, {_KEY.format("function_id")} AS f FROM sources WHERE site_id IS NOT NULL),

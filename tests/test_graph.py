@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -192,3 +193,25 @@ def test_every_reading_function_is_searched(spark, monkeypatch):
     assert rows(graph_queries.g1_every_allowed_edges(spark, ""), "search", "src", "dst") == sorted((s, a, b) for s in starts for a, b, _, _ in e if b in walk(s))
     assert rows(graph_queries.g2_every_reachable(spark, ""), "start", "node") == sorted((s, x) for s in starts for x in walk(s, True))
     assert rows(graph_queries.g7_blockers(spark, ""), "search", "value") == sorted((s, "b|f1") for s in starts)
+
+
+def test_every_lineage_of_the_facts(spark, monkeypatch):
+    value = lambda v: {"value_id": v, "space": "register"}
+
+    def fn(name, *calls, returns=False):
+        ops = [{"site_id": f"s{n}", "mnemonic": "CALL", "output": value(f"o{n}"), "call": {"kind": "CALL", "target_function_id": c, "argument_value_ids": a}} for n, (c, a) in enumerate(calls)]
+        return {"function_id": name, "pcode_ops": ops + [{"site_id": "r", "mnemonic": "RETURN", "inputs": [value("v")]}] * returns}
+
+    doc = {"functions": [fn("a", ("b", ["x"]), ("h", [])), fn("b", ("c", ["x"])), fn("c"), fn("h", ("i", []), returns=True), fn("i", ("j", []), ("k", []), returns=True), fn("j", returns=True), fn("k")]}
+    monkeypatch.setattr(graph_queries, "table", lambda spark, d, t: spark.createDataFrame([(1, json.dumps(doc))], "record_id bigint, facts string"))
+    passed, helped = {("a", "b"), ("b", "c")}, {("a", "h"), ("h", "i"), ("i", "j")}
+    want = {}
+    for s in "abchijk":
+        best = {s: 0}
+        for _ in range(9):
+            for edges, cost in ((passed, 0), (helped, 1)):
+                for x, y in edges:
+                    if x in best and best[x] + cost <= 2:
+                        best[y] = min(best[x] + cost, best.get(y, 9))
+        want |= {(f"1|{s}", f"1|{n}"): h for n, h in best.items()}
+    assert rows(graph_queries.g14_every_lineage(spark, ""), "lineage", "node", "helpers") == sorted(((*k, h) for k, h in want.items()), key=str)
