@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import key
@@ -113,14 +116,30 @@ def g3_context_labels(spark, d):
 
 @query()
 def g4_value_provenance(spark, d):
-    """Labels through each user's events in runs of ten: an event's inputs are the two before it; purchases need both."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(w)).withColumn("run", F.floor(F.col("n") / 10))
-    back = Window.partitionBy("user_id", "run").orderBy("n")
-    two = e.select(F.col("event_id").alias("output"), F.array(F.lag("event_id", 1).over(back), F.lag("event_id", 2).over(back)).alias("i"), F.when(F.col("event_type") == "purchase", "all").otherwise("any").alias("mode"))
-    inputs = two.select("output", "mode", F.explode(F.array_compact("i")).alias("input")).withColumn("constant", F.lit(False))
-    seeds = e.filter("event_type IN ('signup', 'error')").select(F.col("event_id").alias("value"), F.col("event_type").alias("label"))
-    return graph.value_provenance(inputs, seeds).rows
+    """Labels through each user's whole history: an event's inputs are the two before it; purchases need both.
+
+    Inputs always come earlier, so one walk in order gives the fixed point of graph.value_provenance at any length.
+    """
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    held = e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return held.select("user_id", "event_id", "event_type").mapInArrow(_walk_history, "value bigint, label string")
+
+
+def _walk_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition, by user in order: (event, label); only the labels of a user's last two events are held."""
+    user, last = None, []
+    for batch in batches:
+        values, labels = [], []
+        for u, event, kind in zip(*(c.to_pylist() for c in batch.columns)):
+            if u != user:
+                user, last = u, []
+            gained = (set.intersection if kind == "purchase" else set.union)(*last) if last else set()
+            if kind in ("signup", "error"):
+                gained = gained | {kind}
+            last = [*last[-1:], gained]
+            values += [event] * len(gained)
+            labels += sorted(gained)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(labels, pa.string())], names=["value", "label"])
 
 
 _T = f"""{_D}, t AS MATERIALIZED (SELECT DISTINCT CASE edge_kind WHEN 'WRITE' THEN binary_sha256 || '|' || function_id ELSE binary_sha256 || '|' || base_object_id END AS src,

@@ -195,6 +195,18 @@ def test_every_reading_function_is_searched(spark, monkeypatch):
     assert rows(graph_queries.g7_blockers(spark, ""), "search", "value") == sorted((s, "b|f1") for s in starts)
 
 
+def test_provenance_of_a_long_history(spark, monkeypatch):
+    rng = random.Random(8)
+    events = [(n, u, n, rng.choice(["signup", "error"]) if n % 60 == u else rng.choice(["view", "view", "purchase"])) for u in (1, 2) for n in range(100 * u, 100 * u + 90)]
+    monkeypatch.setattr(graph_queries, "table", lambda spark, d, t: spark.createDataFrame(events, "event_id bigint, user_id bigint, ts bigint, event_type string"))
+    have = {}
+    for n, u, _, kind in events:
+        ins = [have[i] for i in (n - 1, n - 2) if i >= 100 * u]
+        have[n] = ({kind} if kind in ("signup", "error") else set()) | ((set.intersection if kind == "purchase" else set.union)(*ins) if ins else set())
+    want = sorted(((n, x) for n, s in have.items() for x in s), key=str)
+    assert len(want) > 60 and rows(graph_queries.g4_value_provenance(spark, ""), "value", "label") == want
+
+
 def test_every_lineage_of_the_facts(spark, monkeypatch):
     value = lambda v: {"value_id": v, "space": "register"}
 
