@@ -378,12 +378,38 @@ def g30_assembled_edges(spark, d):
     return graph.assemble_edges([a.filter("candidate_class = 'SHARED'").drop("candidate_class"), a.drop("candidate_class")])
 
 
+#: Operations through which a formal is followed to an argument.
+TRANSPARENT = ["COPY", "CAST", "INT_ZEXT", "INT_SEXT", "SUBPIECE", "INDIRECT", "PTRSUB", "PTRADD", "INT_ADD"]
+
+
 @query()
 def g16_wrapper_summaries(spark, d):
-    """Functions that hand their formals to a call of a function with many callers; tests hold it against cases."""
-    calls = call_edges(spark, d).withColumn("caller", F.concat_ws("|", "record_id", "caller")).withColumn("callee", F.concat_ws("|", "record_id", "callee"))
-    often = calls.groupBy("callee").agg(F.count_distinct("caller").alias("n")).filter("n >= 1")
-    primitives = often.select(F.col("callee").alias("function"), F.lit("CALLED").alias("label"), F.expr("map('len', 0)").alias("roles"))
-    per = calls.groupBy("caller").agg(F.count("*").alias("n"))
-    bound = calls.join(per, "caller").select("site", "caller", "callee", (F.col("n") == 1).alias("linear"), F.expr("map(0, 0)").alias("slots"))
+    """Functions that hand their formals on to all roles of a called function, by that function; tests hold it against cases.
+
+    No table carries the primitives' registry, so each called function is its own label and its roles are all
+    argument positions that its calls pass. An argument is a formal if it, or what transparent operations
+    made it from, lies in a 'param:' object, the nearest, then the first formal. Only bodies of one call, resolved or not, and no branch are wrappers.
+    """
+    tagged = nested.emit_tagged(table(spark, d, "program_facts"))
+    fn = lambda c: F.concat_ws("|", "record_id", c)
+    at = lambda c: F.concat_ws("|", "record_id", "function_id", c)
+    call = F.from_json("call", "target_function_id string, argument_value_ids array<string>")
+    ops = nested.flat_table(tagged, "op").select("record_id", "function_id", F.col("node_no").alias("op_no"), "mnemonic", call.alias("c"))
+    value = lambda t: nested.flat_table(tagged, t).filter("coalesce(space, '') <> 'const' AND NOT coalesce(is_constant, false)").select("record_id", "function_id", F.col("parent_no").alias("op_no"), F.coalesce("value_id", "object_id").alias("v"), "object_id")
+    i, o = value("input"), value("output")
+    slot = lambda c: F.regexp_extract(c, "^param:.*:([0-9]+)$", 1).try_cast("int").alias("formal")
+    calls = checkpoint(ops.filter("c.target_function_id <> ''").select("record_id", "function_id", "op_no", fn("function_id").alias("caller"), fn("c.target_function_id").alias("callee"), F.col("c.argument_value_ids").alias("arguments")))
+    passed = calls.select("record_id", "function_id", "op_no", "callee", F.posexplode("arguments").alias("slot", "v")).withColumn("start", at("v"))
+    formals = i.unionByName(o).select(at("v").alias("node"), slot("object_id")).unionByName(passed.select(F.col("start").alias("node"), slot("v"))).filter("formal IS NOT NULL").distinct()
+    clear = ops.filter(F.col("mnemonic").isin(*TRANSPARENT)).select("record_id", "op_no")
+    edges = o.join(clear, ["record_id", "op_no"]).select("record_id", "op_no", at("v").alias("dst")).join(i.select("record_id", "op_no", at("v").alias("src")), ["record_id", "op_no"]).select("src", "dst", F.lit(1).alias("cost")).distinct()
+    starts = passed.filter("v IS NOT NULL").select(F.col("start").alias("search"), F.col("start").alias("node")).distinct()
+    made = graph.min_hops(checkpoint(edges), starts, 100_000, 100_000).rows
+    origin = made.join(formals, "node").groupBy(F.col("search").alias("start")).agg(F.min_by("formal", F.struct("hops", "formal")).alias("formal"))
+    slots = passed.join(origin, "start").groupBy("record_id", "op_no").agg(F.map_from_entries(F.collect_list(F.struct("slot", "formal"))).alias("slots"))
+    is_call = F.col("mnemonic").isin("CALL", "CALLIND") | F.col("c").isNotNull()
+    bodies = ops.groupBy(fn("function_id").alias("caller")).agg(((F.count_if(is_call) == 1) & (F.count_if(F.col("mnemonic").isin("CBRANCH", "BRANCHIND", "CALLOTHER")) == 0)).alias("linear"))
+    bound = checkpoint(calls.join(slots, ["record_id", "op_no"]).join(bodies, "caller").select(F.col("op_no").alias("site"), "caller", "callee", "slots", "linear"))
+    positions = passed.select("callee", "slot").distinct().groupBy("callee").agg(F.collect_list(F.struct(F.concat(F.lit("arg"), "slot").alias("role"), "slot")).alias("r"))
+    primitives = positions.select(F.col("callee").alias("function"), F.col("callee").alias("label"), F.map_from_entries("r").alias("roles"))
     return graph.wrapper_summaries(primitives, bound).select("function", "label", "depth")

@@ -227,3 +227,24 @@ def test_every_lineage_of_the_facts(spark, monkeypatch):
                         best[y] = min(best[x] + cost, best.get(y, 9))
         want |= {(f"1|{s}", f"1|{n}"): h for n, h in best.items()}
     assert rows(graph_queries.g14_every_lineage(spark, ""), "lineage", "node", "helpers") == sorted(((*k, h) for k, h in want.items()), key=str)
+
+
+def test_wrappers_of_the_facts_pass_their_formals_on(spark, monkeypatch):
+    node = lambda v, obj: {"value_id": v, "object_id": obj, "space": "register"}
+
+    def fn(name, *ops):
+        return {"function_id": name, "parameters": [{"index": n, "object_id": f"param:{name}:{n}"} for n in (0, 1)], "pcode_ops": list(ops)}
+
+    def call(site, target, *arguments):
+        nodes = [node(v, o) for v, o in arguments]
+        return {"site_id": site, "mnemonic": "CALL", "inputs": nodes, "call": {"kind": "CALL", "target_function_id": target, "argument_value_ids": [v for v, _ in arguments]}}
+
+    x, y, local = ("x", "param:f:1"), ("y", "param:f:0"), ("l", "register:1")
+    copied = {"site_id": "c", "mnemonic": "COPY", "inputs": [node(*y)], "output": node("t", "unique:1")}
+    doc = {"functions": [
+        fn("wrap", call("1", "prim", x, y)), fn("upper", copied, call("2", "wrap", x, ("t", "unique:1"))), fn("half", call("3", "prim", x, local)),
+        fn("none", call("4", "prim", local, local)), fn("two", call("5", "prim", x, y), call("6", "", x)), fn("branch", {"site_id": "b", "mnemonic": "CBRANCH"}, call("7", "prim", x, y)),
+    ]}
+    monkeypatch.setattr(graph_queries, "table", lambda spark, d, t: spark.createDataFrame([(1, json.dumps(doc))], "record_id bigint, facts string"))
+    want = [("1|prim", "1|prim", 0), ("1|upper", "1|prim", 2), ("1|upper", "1|wrap", 1), ("1|wrap", "1|prim", 1), ("1|wrap", "1|wrap", 0)]
+    assert rows(graph_queries.g16_wrapper_summaries(spark, ""), "function", "label", "depth") == want
