@@ -80,3 +80,10 @@ def alternate(state: DataFrame, outer: Callable[[DataFrame], DataFrame], rounds:
 def status(result: Result) -> Column:
     """COMPLETE or ANALYSIS_BUDGET_EXHAUSTED as a literal, to stand beside the rows."""
     return F.lit("COMPLETE" if result.complete else "ANALYSIS_BUDGET_EXHAUSTED")
+
+
+def whole(result: Result) -> DataFrame:
+    """The rows of a search that reached its fixed point; one that its budget cut off raises instead of looking complete."""
+    if not result.complete:
+        raise RuntimeError(f"ANALYSIS_BUDGET_EXHAUSTED after {result.rounds} rounds")
+    return result.rows

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import key
 from factweave.operators import graph, nested, rejects
+from factweave.operators.fixpoint import Result, whole
 from factweave.plans.fact_queries import _D, _FIXED, _KEY, delivered
 from factweave.session import checkpoint, table
 
@@ -64,39 +65,39 @@ m AS (SELECT search, node, min(hops) AS hops FROM r GROUP BY 1, 2)"""
 def g1_reach_hops(spark, d):
     """From one function a binary; g1_every_reach_hops has all. So with the other queries of first_functions."""
     e = access_graph(spark, d)
-    return graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)).rows
+    return whole(graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)))
 
 
 @query(_HOPS + " SELECT DISTINCT search, src, dst, kind FROM m JOIN e ON e.dst = m.node")
 def g1_allowed_edges(spark, d):
     e = access_graph(spark, d)
-    reached = graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)).rows
+    reached = whole(graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)))
     return graph.allowed_edges(e.select("src", "dst", "kind"), reached, F.col("kind").isin("CALL", "CALLIND"))
 
 
 @query(f"WITH RECURSIVE {_G}, r AS (SELECT node AS start, node FROM s UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r")
 def g2_reachable(spark, d):
     e = access_graph(spark, d)
-    return graph.reachable(e.select("src", "dst"), first_functions(e).select(F.col("node").alias("start"))).rows
+    return whole(graph.reachable(e.select("src", "dst"), first_functions(e).select(F.col("node").alias("start"))))
 
 
 @query(SQL["g1_reach_hops"].replace(_FIRST, _EVERY))
 def g1_every_reach_hops(spark, d):
     e = access_graph(spark, d)
-    return graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)).rows
+    return whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
 
 
 @query(SQL["g1_allowed_edges"].replace(_FIRST, _EVERY))
 def g1_every_allowed_edges(spark, d):
     e = access_graph(spark, d)
-    reached = graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)).rows
+    reached = whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
     return graph.allowed_edges(e.select("src", "dst", "kind"), reached, F.col("kind").isin("CALL", "CALLIND"))
 
 
 @query(SQL["g2_reachable"].replace(_FIRST, _EVERY))
 def g2_every_reachable(spark, d):
     e = access_graph(spark, d)
-    return graph.reachable(e.select("src", "dst"), reading_functions(e).select(F.col("node").alias("start"))).rows
+    return whole(graph.reachable(e.select("src", "dst"), reading_functions(e).select(F.col("node").alias("start"))))
 
 
 @query(
@@ -111,7 +112,7 @@ def g3_context_labels(spark, d):
     edges = n.select(tag("r", "n_regionkey").alias("src"), tag("n", "n_nationkey").alias("dst")).unionByName(
         c.select(tag("n", "c_nationkey").alias("src"), tag("c", "c_custkey").alias("dst"))).unionByName(o.select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")))
     roots = r.select(F.col("r_name").alias("label"), tag("r", "r_regionkey").alias("node")).unionByName(c.select(F.col("c_mktsegment").alias("label"), tag("c", "c_custkey").alias("node")))
-    return graph.propagate_labels(edges, roots).rows
+    return whole(graph.propagate_labels(edges, roots))
 
 
 @query()
@@ -173,14 +174,24 @@ SELECT lineage, state, node, min((depth, may))[1] AS depth, min((depth, may))[2]
 )
 def g5_associations(spark, d):
     seeds, moves = _association_inputs(spark, d)
-    return graph.associate(seeds, moves)[0]
+    rows, _, complete = graph.associate(seeds, moves)
+    return whole(Result(rows, complete, 200))
+
+
+@query()
+def g5_depth_rejects(spark, d):
+    """What g5_associations leaves out past the depth limit."""
+    seeds, moves = _association_inputs(spark, d)
+    rows, over, complete = graph.associate(seeds, moves)
+    whole(Result(rows, complete, 200))
+    return over
 
 
 @query(f"WITH RECURSIVE {_T}, r AS (SELECT lineage, node FROM q UNION SELECT r.lineage, t.dst FROM r JOIN t ON t.src = r.node) SELECT lineage, node FROM r")
 def g6_alternating_channels(spark, d):
     seeds, moves = _association_inputs(spark, d)
     local = moves.filter("hop = 0").select("src", "dst")
-    return graph.alternating_channels(seeds, local, moves.filter("hop = 1").select(F.col("src").alias("writer"), F.col("dst").alias("reader"))).rows
+    return whole(graph.alternating_channels(seeds, local, moves.filter("hop = 1").select(F.col("src").alias("writer"), F.col("dst").alias("reader"))))
 
 
 @query(
@@ -290,7 +301,7 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
 def g14_call_closure(spark, d):
     """Callers and callees reachable over the facts' call graph, per record."""
     c = call_edges(spark, d).select(F.concat_ws("|", "record_id", "caller").alias("src"), F.concat_ws("|", "record_id", "callee").alias("dst")).distinct()
-    return graph.reachable(checkpoint(c), c.select(F.col("src").alias("start")).distinct()).rows
+    return whole(graph.reachable(checkpoint(c), c.select(F.col("src").alias("start")).distinct()))
 
 
 @query()
@@ -310,7 +321,7 @@ def g14_every_lineage(spark, d):
     returning = ops.filter("mnemonic = 'RETURN'").join(held("input"), ["record_id", "node_no"]).select(at("function_id").alias("callee")).distinct()
     helpers = calls.join(held("output"), ["record_id", "node_no"]).join(returning, "callee").select(F.col("caller").alias("function"), F.col("callee").alias("helper"))
     seeds = calls.select(F.explode(F.array("caller", "callee")).alias("lineage")).distinct().withColumn("node", F.col("lineage"))
-    return graph.expand_lineage(seeds, calls.filter("passes").select("caller", "callee"), helpers, 2).rows
+    return whole(graph.expand_lineage(seeds, calls.filter("passes").select("caller", "callee"), helpers, 2))
 
 
 @query(
@@ -404,7 +415,7 @@ def g16_wrapper_summaries(spark, d):
     clear = ops.filter(F.col("mnemonic").isin(*TRANSPARENT)).select("record_id", "op_no")
     edges = o.join(clear, ["record_id", "op_no"]).select("record_id", "op_no", at("v").alias("dst")).join(i.select("record_id", "op_no", at("v").alias("src")), ["record_id", "op_no"]).select("src", "dst", F.lit(1).alias("cost")).distinct()
     starts = passed.filter("v IS NOT NULL").select(F.col("start").alias("search"), F.col("start").alias("node")).distinct()
-    made = graph.min_hops(checkpoint(edges), starts, 100_000, 100_000).rows
+    made = whole(graph.min_hops(checkpoint(edges), starts, 100_000, 100_000))
     origin = made.join(formals, "node").groupBy(F.col("search").alias("start")).agg(F.min_by("formal", F.struct("hops", "formal")).alias("formal"))
     slots = passed.join(origin, "start").groupBy("record_id", "op_no").agg(F.map_from_entries(F.collect_list(F.struct("slot", "formal"))).alias("slots"))
     is_call = F.col("mnemonic").isin("CALL", "CALLIND") | F.col("c").isNotNull()

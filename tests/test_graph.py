@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import cfg, graph
@@ -248,3 +249,13 @@ def test_wrappers_of_the_facts_pass_their_formals_on(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "table", lambda spark, d, t: spark.createDataFrame([(1, json.dumps(doc))], "record_id bigint, facts string"))
     want = [("1|prim", "1|prim", 0), ("1|upper", "1|prim", 2), ("1|upper", "1|wrap", 1), ("1|wrap", "1|prim", 1), ("1|wrap", "1|wrap", 0)]
     assert rows(graph_queries.g16_wrapper_summaries(spark, ""), "function", "label", "depth") == want
+
+
+def test_long_channels_are_not_cut_off_unseen(spark, monkeypatch):
+    hops = [("VALUE", f"f{n}", "MEMORY_CONTENT", f"o{n}", 0, 0) for n in range(12)] + [("MEMORY_CONTENT", f"o{n}", "VALUE", f"f{n + 1}", 1, 0) for n in range(12)]
+    moves = spark.createDataFrame(hops, "src_state string, src string, dst_state string, dst string, hop int, may int")
+    seeds = spark.createDataFrame([("L", "VALUE", "f0", 0, 0)], "lineage string, state string, node string, depth int, may int")
+    monkeypatch.setattr(graph_queries, "_association_inputs", lambda spark, d: (seeds, moves))
+    with pytest.raises(RuntimeError, match="ANALYSIS_BUDGET_EXHAUSTED"):
+        graph_queries.g6_alternating_channels(spark, "")
+    assert rows(graph_queries.g5_depth_rejects(spark, ""), "node", "depth") == [("f9", 9)]
