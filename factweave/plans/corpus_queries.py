@@ -2,39 +2,80 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.operators import drift, nested
 from factweave.operators.orphans import Reference, orphan_report, orphans
-from factweave.plans.corpus_sql import P1_FOUND, P2_FOUND
-from factweave.session import checkpoint, table
+from factweave.plans.corpus_sql import P1_FOUND, P1_REJECTS, P1_TABLES, P2_CASTS, P2_CELLS, P2_FOUND, P2_LIFESPANS, P2_REJECTS
+from factweave.session import checkpoint, scratch, table
+
+
+def _facts(spark: SparkSession, d: str) -> str:
+    """Where the documents' tagged rows are written, by tag: one pass over the documents."""
+    path = scratch(spark, "facts")
+    nested.write_tagged(nested.emit_tagged(table(spark, d, "program_facts"), rejects=True), path)
+    return path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = nested.emit_tagged(table(spark, d, "program_facts"), payload=False)
-    return rows.select("record_id", F.col("tag").alias("node_kind"), "function_id", "site_id", "pos")
+    path = _facts(spark, d)
+    tables = [nested.read_table(spark, path, tag).select("record_id", F.lit(tag).alias("node_kind"), "function_id", "site_id", "pos") for tag in nested.NODES]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def p1_functions(spark: SparkSession, d: str) -> DataFrame:
+    return nested.read_table(spark, _facts(spark, d), "function")
+
+
+def p1_ops(spark: SparkSession, d: str) -> DataFrame:
+    return nested.read_table(spark, _facts(spark, d), "op")
 
 
 def p1_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """The typed input table with its op's mnemonic, joined over the parent key."""
-    tagged = nested.emit_tagged(table(spark, d, "program_facts"))
-    ops = nested.flat_table(tagged, "op").select("record_id", F.col("node_no").alias("parent_no"), "mnemonic")
-    inputs = nested.flat_table(tagged, "input")
-    return inputs.join(ops, ["record_id", "parent_no"]).select(
-        "record_id", "function_id", "site_id", "pos", "mnemonic", "object_id", "value_id", "space", "size"
-    )
+    return nested.read_table(spark, _facts(spark, d), "input")
+
+
+def p1_outputs(spark: SparkSession, d: str) -> DataFrame:
+    return nested.read_table(spark, _facts(spark, d), "output")
+
+
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return nested.read_table(spark, _facts(spark, d), "reject").select("record_id", "reason")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "artifact_files"))
 
 
+def p2_lifespans(spark: SparkSession, d: str) -> DataFrame:
+    return drift.lifespans(drift.catalogue(table(spark, d, "artifact_files")))
+
+
+def _casting(files: DataFrame) -> DataFrame:
+    # the catalogue and the changes are few and used for each field and its cast; their plans must not be run for every use
+    lives = checkpoint(drift.catalogue(files))
+    return checkpoint(drift.casts(lives, checkpoint(drift.changes(files, lives))))
+
+
+def p2_casts(spark: SparkSession, d: str) -> DataFrame:
+    return _casting(table(spark, d, "artifact_files"))
+
+
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "artifact_files")
-    # the changes are few and used for each field and its cast; their plan must not be run for every use
-    changed = checkpoint(drift.changes(files))
-    return drift.consistent_cells(files, checkpoint(drift.casts(drift.catalogue(files), changed)))
+    return drift.consistent_table(files, _casting(files))
+
+
+def p2_cells(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "artifact_files")
+    return drift.consistent_cells(files, _casting(files))
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return drift.rejects(table(spark, d, "artifact_files"))
 
 
 def _references(spark: SparkSession, d: str) -> list[Reference]:
@@ -84,16 +125,30 @@ _CASES = " UNION ALL ".join(
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_functions": p1_functions,
+    "p1_ops": p1_ops,
     "p1_inputs": p1_inputs,
+    "p1_outputs": p1_outputs,
+    "p1_rejects": p1_rejects,
     "p2_found": p2_found,
+    "p2_lifespans": p2_lifespans,
+    "p2_casts": p2_casts,
     "p2_table": p2_table,
+    "p2_cells": p2_cells,
+    "p2_rejects": p2_rejects,
     "p5_found": p5_found,
     "p5_report": p5_report,
 }
 
 SQL = {
     "p1_found": P1_FOUND,
+    **P1_TABLES,
+    "p1_rejects": P1_REJECTS,
     "p2_found": P2_FOUND,
+    "p2_lifespans": P2_LIFESPANS,
+    "p2_casts": P2_CASTS,
+    "p2_cells": P2_CELLS,
+    "p2_rejects": P2_REJECTS,
     "p5_found": f"SELECT DISTINCT ref_table, ref_column, ref_key FROM ({_CASES})",
     "p5_report": (
         "SELECT ref_table, ref_column, date_trunc('month', ref_at)::TIMESTAMP AS month, "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,31 +21,47 @@ def build_session(app: str = "factweave", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # a checkpoint goes when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the driver's JVM delete a folder when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's spark.checkpoint.dir, else one of our own.
+    """The application's folder for checkpoints: within the cluster's spark.checkpoint.dir, else one of our own.
 
-    A machine-local folder is only ever set where the session names none and runs in local mode;
-    on a cluster without the setting this raises, as a local folder would not be shared.
+    A machine-local folder is only ever made where the session names none and runs in local mode; on a
+    cluster without the setting this raises. That the folder named is shared is the cluster's to see to.
+    The application's part of it is deleted when the driver ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if named:
+    if not current.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="factweave-checkpoint-")
+            _delete_at_exit(spark, named)
         sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="factweave-checkpoint-")
-    sc.setCheckpointDir(own)
-    return own
+        current = sc._jsc.sc().getCheckpointDir()
+        _delete_at_exit(spark, current.get())
+    return current.get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a written table, deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -67,7 +84,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="factweave-code-"), "factweave.zip")
+    folder = tempfile.mkdtemp(prefix="factweave-code-")
+    _delete_at_exit(spark, f"file://{folder}")
+    path = os.path.join(folder, "factweave.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(home):
             for name in sorted(names):

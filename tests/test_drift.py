@@ -93,3 +93,42 @@ def test_consistent_table(spark):
     cells = drift.consistent_cells(f, drift.casts(drift.catalogue(f), drift.changes(f))).collect()
     got = sorted((c.version_no, c.name, c.value, c.as_number, c.as_boolean) for c in cells if c.name != "id")
     assert got == [(1, "c", "1", 1.0, None), (1, "n", "12", 12.0, None), (2, "c", "1", 1.0, None), (2, "n", "12", 12.0, None), (3, "c", "1", 1.0, None), (3, "n", "13", 13.0, None), (3, "t", "true", None, True)]
+
+
+def test_wide_table_loses_nothing(spark):
+    rows = [
+        ("c", "v1", payload([{"id": "r", "n": "12", "Section": "s", "a": 1}, {}])),
+        ("c", "v2", payload([{"id": "r", "n": 12, "b": 1, "n2": "x"}])),
+        ("c", "v3", payload([{"id": "r", "n": 10**400, "b": 1, "t": True, "deep": [[1]], "zz": {"k": 1}}])),
+        ("d", "v1", payload([{"id": 5, "n": "no"}])),
+    ]
+    f = files(spark, rows)
+    casting = drift.casts(drift.catalogue(f), drift.changes(f))
+    table = {(r.campaign, r.version_no, r.row_no): r for r in drift.consistent_table(f, casting).collect()}
+    assert set(table) == {("c", 1, 0), ("c", 1, 1), ("c", 2, 0), ("c", 3, 0), ("d", 1, 0)}
+    first, third = table["c", 1, 0], table["c", 3, 0]
+    # 'Section' is a fixed column's name; producers disagree on n, so it is text
+    assert first.rest == {"Section": "s"} and first.n == "12" and first.b == 1.0 and first.row_id == "r"
+    assert third.t is True and third.deep == "[[1]]" and third.zz == '{"k":1}' and third.n == str(10**400)
+    assert table["d", 1, 0].row_id == "5"
+    small = {(r.campaign, r.version_no, r.row_no): r for r in drift.consistent_table(f, casting, most=1).collect()}
+    for at, r in table.items():
+        given = {**{k: v for k, v in r.asDict().items() if k not in {n for n, _ in drift._ROW} | {"rest"} and v is not None}, **r.rest}
+        assert len(given) == len(small[at].rest) + (small[at].id is not None)
+
+
+def test_numbers_that_are_none(spark):
+    f = files(spark, [("c", "v1", payload([{"id": 1, "n": "x"}, {"id": 2, "n": True}])), ("c", "v2", payload([{"id": 1, "n": 10**400}]))])
+    rows = drift.consistent_table(f, drift.casts(drift.catalogue(f), drift.changes(f))).collect()
+    assert sorted((r.version_no, r.row_no, r.n, r.rest.get("n")) for r in rows) == [(1, 0, None, "x"), (1, 1, None, "true"), (2, 0, None, str(10**400))]
+
+
+def test_rejects_and_deep_payloads(spark):
+    deep = '{"source_sites": [{"id": 1, "a": ' + "[" * 100_000 + "]" * 100_000 + "}]}"
+    two = payload([{"id": 1, "b": 1}])
+    rows = [("c", "v1", deep), ("c", "v2", two), (None, "v1", two), ("c", "none", two), ("c", None, two), ("c", "v3", None), ("c", "v3", ""), ("c", "v3", "{"), ("c", "v3", "[]")]
+    f = files(spark, rows)
+    want = [(2, "NO_CAMPAIGN"), (3, "NO_VERSION"), (4, "NO_VERSION"), (5, "NO_PAYLOAD"), (6, "NO_PAYLOAD"), (7, "UNREADABLE"), (8, "NOT_AN_OBJECT")]
+    assert sorted(map(tuple, drift.rejects(f).collect())) == want
+    assert changed(spark, rows) == [(2, "added", "b", ""), (2, "removed", "a", "")]
+    assert drift.rejects(f.filter("false")).count() == 0

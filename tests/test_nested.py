@@ -54,3 +54,26 @@ def test_a_very_large_document(spark):
     ops = [{"site_id": f"s{i}", "mnemonic": "COPY", "inputs": [NODE] * 2, "output": NODE} for i in range(15_000)]
     df = spark.createDataFrame([(1, doc([{"function_id": "f", "pcode_ops": ops}]))], "record_id bigint, facts string")
     assert nested.emit_tagged(df, payload=False).count() == 1 + 4 * 15_000
+
+
+def test_depth_makes_no_document_unreadable(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    d = '{"functions": [{"function_id": "f", "pcode_ops": [{"site_id": "s", "call": ' + deep + "}]}], \"other\": " + deep + "}"
+    df = spark.createDataFrame([(1, d)], "record_id bigint, facts string")
+    rows = {r.tag: r for r in nested.emit_tagged(df, rejects=True).collect()}
+    assert set(rows) == {"function", "op"}
+    assert json.loads(rows["op"].payload)["call"] == deep
+
+
+def test_unreadable_documents_are_rejects(spark):
+    docs = [None, "", "{", "[]", "3", "[" * 100_000, doc([{"function_id": "f"}])]
+    df = spark.createDataFrame(list(enumerate(docs)), "record_id bigint, facts string")
+    got = sorted((r.record_id, r.reason) for r in nested.flat_table(nested.emit_tagged(df, rejects=True), "reject").collect())
+    assert got == [(0, "NO_DOCUMENT"), (1, "NO_DOCUMENT"), (2, "UNREADABLE"), (3, "NOT_AN_OBJECT"), (4, "NOT_AN_OBJECT"), (5, "UNREADABLE")]
+
+
+def test_tables_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "record_id bigint, facts string")
+    nested.write_tagged(nested.emit_tagged(df, rejects=True), str(tmp_path / "t"))
+    for tag in (*nested.NODES, "reject"):
+        assert nested.read_table(spark, str(tmp_path / "t"), tag).count() == 0
