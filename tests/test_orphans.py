@@ -6,10 +6,10 @@ from factweave.operators.orphans import Reference, orphan_report, orphans
 T = lambda n: None if n is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
 
 
-def run(spark, refs, parents, slice_seconds=86_400):
+def run(spark, refs, parents, slice_seconds=86_400, block=1_000_000):
     r = spark.createDataFrame([(k, f, T(t), "clash") for k, f, t in refs], "rid string, f string, at timestamp_ntz, k string")
     p = spark.createDataFrame([(f, T(s), T(e), 1) for f, s, e in parents], "g string, s timestamp_ntz, e timestamp_ntz, us int")
-    found = orphans([Reference(r, "refs", "f", "rid", "at", (("f", "g"),), p, "s", "e")], slice_seconds)
+    found = orphans([Reference(r, "refs", "f", "rid", "at", (("f", "g"),), p, "s", "e")], slice_seconds, block)
     return sorted(((x.ref_key, x.reason) for x in found.collect()), key=str)
 
 
@@ -46,6 +46,19 @@ def test_against_brute_force_over_slices(spark):
         assert run(spark, refs, parents, slice_seconds) == brute(refs, parents)
 
 
+def test_hot_slices_against_brute_force(spark):
+    rng = random.Random(2)
+    for slice_seconds, block in ((10**7, 5), (86_400, 12), (3600, 1)):
+        parents = [(rng.choice("ab"), s := rng.choice([None, *range(0, 90, 7)]), None if s is None else rng.choice([None, s, s - 3, s + 4, s + 40])) for _ in range(40)]
+        refs = [(f"r{i}", rng.choice("aaabc"), rng.choice([None, 3, 3, 3, *range(0, 100, 5)])) for i in range(150)]
+        assert run(spark, refs, parents, slice_seconds, block) == brute(refs, parents)
+
+
+def test_hot_slice_of_parents_alone(spark):
+    assert run(spark, [("r", "a", 100)], [("a", 1, None)] * 20, block=5) == []
+    assert run(spark, [("r", "a", 100)], [("a", 1, 2)] * 20, block=5) == [("r", "deleted")]
+
+
 def test_report(spark):
     r = spark.createDataFrame([("a", "x", T(1)), ("b", "x", T(24 * 40))], "rid string, f string, at timestamp_ntz")
     p = spark.createDataFrame([], "g string, s timestamp_ntz, e timestamp_ntz")
