@@ -5,27 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factweave.operators.spread import bounded_broadcast, paired
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows (they are counted), else df itself."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def paired(left: DataFrame, right: DataFrame, key: str, row: str, block: int = 20_000, most_hot: int = 100_000) -> DataFrame:
-    """Inner join on key, with the right rows of a hot key cut into blocks of about `block` rows.
-
-    row is a column of right that tells its rows apart. Each block is joined in its own place, with the left
-    rows of the key repeated per block. A key is hot beyond `block` right rows, so there are at most
-    rows/block of them; their list is broadcast if that is no more than most_hot.
-    """
-    hot = right.groupBy(key).count().filter(F.col("count") > block).select(key, F.ceil(F.col("count") / F.lit(block)).cast("int").alias("__blocks"))
-    hot = bounded_broadcast(hot, most_hot)
-    cut = right.join(hot, key, "left").withColumn("__block", F.pmod(F.xxhash64(row), F.coalesce("__blocks", F.lit(1)))).drop("__blocks")
-    spread = left.join(hot, key, "left").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__blocks", F.lit(1)) - F.lit(1).cast("bigint")))).drop("__blocks")
-    return spread.join(cut, [key, "__block"]).drop("__block")
+__all__ = ["batches", "bounded_broadcast", "paired", "shingles"]
 
 
 def shingles(words: Column, n: int) -> Column:

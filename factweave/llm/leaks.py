@@ -3,9 +3,10 @@
 Winnowing: of each window of w consecutive k-gram hashes the least (the first of equals) is kept as a
 fingerprint with its place. Two texts that share a run of k + w - 1 words share a window, so they share
 its fingerprint at the same place of the run: every run of `span` words is found with k + w - 1 = span.
-Fingerprints of corpus and test items are joined, and each hit is extended: some run of `span` words
-around it must agree word by word. The corpus is read, fingerprinted and joined without being gathered;
-test items are few, and broadcast when their count is checked to be so.
+A fingerprint carries the hashes of the words on both sides of it, as far as a run around it can reach. So a hit
+is extended where the fingerprints meet, word by word, and no text is read again or moved: what is shuffled is the pairs found.
+Test items are few: their fingerprints are counted, given to the readers of the corpus as a list to look in, and broadcast.
+Where they are too many, the corpus' fingerprints are joined with them in blocks.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import without_format_characters, words
-from factweave.llm.common import bounded_broadcast
+from factweave.llm.common import paired
 from factweave.session import checkpoint
 
 #: Words that a leaked passage shares at least, and words of a k-gram.
 SPAN = 13
 GRAM = 8
-#: The most fingerprints of test items that are broadcast.
+#: The most fingerprints of test items that are broadcast; each is a few hundred bytes.
 BROADCAST = 200_000
 
 
@@ -67,55 +69,75 @@ def winnow(flat: np.ndarray, lengths: np.ndarray, span: int, gram: int) -> tuple
     return row, signed[kept], kept - starts[row] + 1
 
 
-def _winnower(span: int, gram: int):
+def reach(flat: np.ndarray, lengths: np.ndarray, row: np.ndarray, at: np.ndarray, span: int, gram: int, beyond: int) -> np.ndarray:
+    """Per fingerprint the word hashes from span - gram words before it to as many after it; beyond the text's ends `beyond`."""
+    starts = np.cumsum(lengths) - lengths
+    wing = span - gram
+    place = (starts[row] + at - 1)[:, None] + np.arange(-wing, span)
+    inside = (place >= starts[row][:, None]) & (place < (starts + lengths)[row][:, None])
+    return np.where(inside, flat[np.clip(place, 0, max(0, len(flat) - 1))], beyond)
+
+
+def _winnower(span: int, gram: int, beyond: int, sought: Broadcast | None = None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if sought is None else np.frombuffer(sought.value, dtype=np.int64)
         for batch in source:
             held = batch.column(1)
-            row, h, at = winnow(held.flatten().to_numpy(zero_copy_only=False), np.diff(held.offsets.to_numpy()).astype(np.int64), span, gram)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at.astype(np.int32))], names=[batch.schema.names[0], "h", "at"])
+            flat, lengths = held.flatten().to_numpy(zero_copy_only=False), np.diff(held.offsets.to_numpy()).astype(np.int64)
+            row, h, at = winnow(flat, lengths, span, gram)
+            if wanted is not None:
+                near = np.searchsorted(wanted, h)
+                kept = wanted[np.minimum(near, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), dtype=bool)
+                row, h, at = row[kept], h[kept], at[kept]
+            around = reach(flat, lengths, row, at, span, gram, beyond)
+            offsets = pa.array(np.arange(len(row) + 1) * (2 * span - gram), pa.int32())
+            around = pa.ListArray.from_arrays(offsets, pa.array(around.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at.astype(np.int32)), around], names=[batch.schema.names[0], "h", "at", "around"])
 
     return run
 
 
-def fingerprints(texts: DataFrame, id_col: str, words_col: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, h, at) of the winnowed k-grams of each text; at is the place of the first word, from 1."""
+def fingerprints(texts: DataFrame, id_col: str, words_col: str, span: int = SPAN, gram: int = GRAM, beyond: int = 0, sought: Broadcast | None = None) -> DataFrame:
+    """(id, h, at, around) of the winnowed k-grams of each text.
+
+    at is the place of the first word, from 1; around the word hashes in reach of it. sought, sorted hashes, leaves out
+    all other fingerprints.
+    """
     hashed = texts.select(id_col, F.transform(words_col, lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.mapInArrow(_winnower(span, gram), f"{id_col} {dict(texts.dtypes)[id_col]}, h bigint, at int")
+    return hashed.mapInArrow(_winnower(span, gram, beyond, sought), f"{id_col} {dict(texts.dtypes)[id_col]}, h bigint, at int, around array<bigint>")
 
 
-def passages_found(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def passages_found(
+    corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", span: int = SPAN, gram: int = GRAM, most: int = BROADCAST
+) -> DataFrame:
     """Distinct (doc_id, item_id) where the document holds `span` consecutive words of the item's passage.
 
-    Characters of category Cf are removed first; words are lower-cased runs of letters and digits. NULL,
-    empty and shorter texts hold nothing; repeated words, ties of hashes and repeated rows change nothing;
+    Characters of category Cf are removed first; words are lower-cased runs of letters and digits and are compared by
+    64-bit hashes. NULL, empty and shorter texts hold nothing; repeated words, ties of hashes and repeated rows change nothing;
     very long texts are searched whole; rows without an id are left out. Empty tables give an empty result; other columns are not looked at.
     """
     if not 1 <= gram <= span:
         raise ValueError("a k-gram must lie within the span")
+
     def split(df: DataFrame, key: str, text: str, names: tuple[str, str]) -> DataFrame:
         c = F.col(text).cast("string")
         # so many words take at least so many characters
-        return df.filter(F.length(c) >= 2 * span - 1).select(F.col(key).alias(names[0]), words(without_format_characters(c)).alias(names[1]))
-
-    doc, item = split(corpus, id_col, text_col, ("doc_id", "dw")), split(items, item_col, passage_col, ("item_id", "iw"))
-    marks = fingerprints(doc, "doc_id", "dw", span, gram).withColumnRenamed("at", "d_at")
-    sought = fingerprints(item, "item_id", "iw", span, gram).withColumnRenamed("at", "i_at")
-    hits = marks.join(bounded_broadcast(sought, BROADCAST), "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("d_at", "i_at")).alias("hits"))
-    # few pairs, used twice; only the texts of documents with a hit are split again
-    hits = checkpoint(hits)
-    near = corpus.join(hits.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
-    both = hits.join(split(near, id_col, text_col, ("doc_id", "dw")), "doc_id").join(item, "item_id")
-
-    def agrees(hit: Column) -> Column:
-        shift = hit["i_at"] - hit["d_at"]
-        low = F.greatest(F.lit(1), hit["d_at"] - (span - gram), F.lit(1) - shift)
-        high = F.least(hit["d_at"], F.size("dw") - (span - 1), F.size("iw") - (span - 1) - shift)
-        return F.when(
-            high >= low,
-            F.exists(F.sequence(low, F.greatest(low, high)), lambda s: F.slice("dw", s, span) == F.slice("iw", s + shift, span)),
-        ).otherwise(F.lit(False))
-
-    return both.filter(F.exists("hits", agrees)).select("doc_id", "item_id")
+        held = df.filter((F.length(c) >= 2 * span - 1) & F.col(key).isNotNull())
+        return held.select(F.col(key).alias(names[0]), words(without_format_characters(c)).alias(names[1]))
+
+    item = fingerprints(split(items, item_col, passage_col, ("item_id", "iw")), "item_id", "iw", span, gram, beyond=1)
+    # the items are fixed material; kept, as their fingerprints are counted, listed and joined
+    item = checkpoint(item.select("item_id", "h", F.col("around").alias("i_around")))
+    doc = split(corpus, id_col, text_col, ("doc_id", "dw"))
+    if item.limit(most + 1).count() <= most:
+        hashes = np.unique(item.select("h").toArrow().column("h").to_numpy()).astype(np.int64)  # at most `most`
+        sought = corpus.sparkSession.sparkContext.broadcast(hashes.tobytes())
+        met = fingerprints(doc, "doc_id", "dw", span, gram, sought=sought).join(F.broadcast(item), "h")
+    else:
+        met = paired(item, checkpoint(fingerprints(doc, "doc_id", "dw", span, gram)), "h", "doc_id")
+    # the gram lies at the same place of both reaches, so a run around it has the same place, too
+    agrees = F.exists(F.sequence(F.lit(1), F.lit(span - gram + 1)), lambda s: F.slice("around", s, span) == F.slice("i_around", s, span))
+    return met.filter(agrees).select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

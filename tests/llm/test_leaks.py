@@ -34,6 +34,16 @@ def test_random_texts_against_all_grams(spark):
     want = brute(docs, items)
     assert len(want) > 15
     assert run(spark, docs, items) == want
+    # too many fingerprints to broadcast
+    assert run(spark, docs, items, most=1) == want
+    assert run(spark, docs, items, span=9, gram=4) == brute(docs, items, 9)
+
+
+def test_no_text_is_shuffled(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, "a b")], "item_id bigint, passage string")
+    plan = leaks.passages_found(d, i)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
 
 
 def test_thirteen_words_are_found_and_twelve_are_not(spark):
