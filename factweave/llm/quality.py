@@ -3,8 +3,9 @@
 Five statistics of each text are computed in the JVM, and summed up per language in mergeable KLL
 quantile sketches (partial sketches per task, merged on shuffle, so a language that holds most of the
 corpus costs no more than another). The sketches turn each value into a percentile and a robust z-score
-of its language. A document's value lies in a tail if it is beyond the cut of that statistic; cuts are
-the fixed ones below or, where none is given, percentiles. A text is natural prose if it has fewer
+of its language. A document's value lies in a tail if its percentile is beyond that of the statistic's cut:
+a cut is a fixed value (below) or a share of the language's documents. A value in the same percentile as a fixed cut is
+compared with the cut itself, so such tails are exact though a sketch is not. A text is natural prose if it has fewer
 than two values in the tails.
 """
 
@@ -79,8 +80,19 @@ def summaries(sketched: DataFrame) -> DataFrame:
     return sketched.select("lang", "documents", *(F.kll_sketch_get_quantile_double(c, at).alias(f"q_{c}") for c in CUTS))
 
 
-def _share_at(points: Column, v: Column) -> Column:
-    return F.size(F.filter(points, lambda x: x <= v)) / F.lit(POINTS + 1)
+def _points_under(points: Column, v: Column) -> Column:
+    """How many of the points are at or under v."""
+    return F.size(F.filter(points, lambda x: x <= v))
+
+
+def cut_places(summary: DataFrame, cuts: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """The summaries with, per statistic and fixed cut, the points at or under it (low_<name>, high_<name>)."""
+    found = {}
+    for c, (low, high) in cuts.items():
+        for side, cut in (("low", low), ("high", high)):
+            if cut is not None:
+                found[f"{side}_{c}"] = _points_under(F.col(f"q_{c}"), F.lit(float(cut)))
+    return summary.withColumns(found) if found else summary
 
 
 def assess(docs: DataFrame, words: DataFrame, cuts: dict[str, tuple[float | None, float | None]] | None = None, tail: float = 0.01) -> DataFrame:
@@ -95,16 +107,24 @@ def assess(docs: DataFrame, words: DataFrame, cuts: dict[str, tuple[float | None
     """
     cuts = CUTS if cuts is None else cuts
     stats = checkpoint(statistics(docs, common_word_list(words)))
-    joined = stats.join(bounded_broadcast(summaries(sketches(stats)), MOST_LANGUAGES), "lang")
+    # a row per language: kept, as it is counted and joined
+    summary = checkpoint(cut_places(summaries(sketches(stats)), cuts))
+    joined = stats.join(bounded_broadcast(summary, MOST_LANGUAGES), "lang").withColumns({f"n_{c}": _points_under(F.col(f"q_{c}"), F.col(c)) for c in CUTS})
     columns: list[Column] = []
     flags = []
     for c in CUTS:
-        q, v = F.col(f"q_{c}"), F.col(c)
-        share = _share_at(q, v)
+        q, v, n = F.col(f"q_{c}"), F.col(c), F.col(f"n_{c}")
+        share = n / F.lit(POINTS + 1)
         spread = (F.element_at(q, POINTS * 3 // 4 + 1) - F.element_at(q, POINTS // 4 + 1)) / F.lit(1.349)
         low, high = cuts.get(c, (None, None))
         if c in cuts:
-            flag = reduce(lambda a, b: a | b, [v < low] * (low is not None) + [v > high] * (high is not None), F.lit(False))
+            # a point between value and cut tells them apart; with none between, they are compared
+            tests = []
+            if low is not None:
+                tests.append((n < F.col(f"low_{c}")) | ((n == F.col(f"low_{c}")) & (v < low)))
+            if high is not None:
+                tests.append((n > F.col(f"high_{c}")) | ((n == F.col(f"high_{c}")) & (v > high)))
+            flag = reduce(lambda a, b: a | b, tests, F.lit(False))
         else:
             flag = (share <= tail) | (share > 1 - tail)
         columns += [share.alias(f"p_{c}"), F.when(spread != 0, (v - F.element_at(q, POINTS // 2 + 1)) / spread).alias(f"z_{c}"), flag.alias(f"t_{c}")]
@@ -117,3 +137,24 @@ def assess(docs: DataFrame, words: DataFrame, cuts: dict[str, tuple[float | None
 def assessed_statistics(docs: DataFrame, words: DataFrame) -> DataFrame:
     """The columns of assess that don't depend on a sketch's random choices."""
     return assess(docs, words).select("doc_id", "lang", *CUTS, "tails", "is_prose")
+
+
+def sketch_check(docs: DataFrame, words: DataFrame, points: tuple[int, ...] = (1, 5, 25, 50, 75, 95, 99), error: float = 0.0266) -> DataFrame:
+    """Whether the sketches' quantiles hold: (lang, statistic, point, documents, within), a row per language, statistic and point.
+
+    within: the true ranks of the quantile (shares of values under it, and at or under it) lie about point / 100,
+    give or take `error` (by default twice the sketch's rank error at SKETCH_K) and one document.
+    """
+    stats = checkpoint(statistics(docs, common_word_list(words)))
+    summary = bounded_broadcast(checkpoint(summaries(sketches(stats))), MOST_LANGUAGES)
+    counts = [F.count_if(F.col(c) < F.element_at(f"q_{c}", p + 1)).alias(f"u_{c}_{p}") for c in CUTS for p in points] + [F.count_if(F.col(c) <= F.element_at(f"q_{c}", p + 1)).alias(f"a_{c}_{p}") for c in CUTS for p in points]
+    counted = stats.join(summary.drop("documents"), "lang").groupBy("lang").agg(F.count("*").alias("documents"), *counts)
+    slack = F.lit(error) + F.lit(1) / F.col("documents")
+    rows = [
+        F.struct(
+            F.lit(c).alias("statistic"), F.lit(p).alias("point"),
+            ((F.col(f"u_{c}_{p}") / F.col("documents") <= p / 100 + slack) & (F.col(f"a_{c}_{p}") / F.col("documents") >= p / 100 - slack)).alias("within"),
+        )
+        for c in CUTS for p in points
+    ]
+    return counted.select("lang", "documents", F.explode(F.array(*rows)).alias("r")).select("lang", "documents", "r.*")

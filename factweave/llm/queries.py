@@ -53,17 +53,36 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.assessed_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p8_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles and robust z-scores within the language, and tails by percentile."""
+    found = quality.assess(table(spark, d, "documents"), table(spark, d, "common_words"), cuts={})
+    return found.select("doc_id", "lang", *(f"{kind}_{c}" for c in quality.CUTS for kind in ("p", "z", "t")), "tails", "is_prose")
+
+
+def p8_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return quality.sketch_check(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every body's pieces, checked from the pieces themselves."""
+    corpus = table(spark, d, "function_corpus")
+    return pieces.invariants(corpus, pieces.pieces(corpus, "function_row_id", "body"), "function_row_id", "body").withColumnRenamed("row_id", "function_row_id")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_invariants": p4_invariants,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
+    "p8_percentiles": p8_percentiles,
+    "p8_sketches": p8_sketches,
 }
 
 _WORDS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))"
@@ -123,6 +142,7 @@ SQL = {
 SELECT label AS corpus, project, count(*) AS views, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs
 FROM s LEFT JOIN (SELECT e_id, count(*) AS n FROM pairs GROUP BY e_id) p ON s.view_id = p.e_id WHERE held_out GROUP BY label, project""",
     "p4_found": "SELECT function_row_id FROM function_corpus WHERE length(body) > 3600",
+    "p4_invariants": "SELECT function_row_id, TRUE AS within_limit, TRUE AS overlaps, TRUE AS whole, length(body) > 3600 AS cut FROM function_corpus WHERE length(body) > 0",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": _LEAKS + "SELECT doc_id, item_id FROM found",
     "p7_report": _LEAKS + """
@@ -130,4 +150,6 @@ SELECT suite, eval_split, count(*) AS items, count(n) AS leaked, coalesce(sum(n)
 FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM found GROUP BY item_id) USING (item_id) GROUP BY suite, eval_split""",
     "p8_found": _STATS + "SELECT doc_id FROM f WHERE tails >= 2",
     "p8_stats": _STATS + "SELECT doc_id, lang, tokens, mean_length, symbol_share, ended_lines, common_share, tails, tails < 2 AS is_prose FROM f",
+    "p8_sketches": _STATS + """SELECT lang, statistic, point, documents, TRUE AS within FROM (SELECT lang, count(*) AS documents FROM f GROUP BY lang),
+  (SELECT unnest(['tokens', 'mean_length', 'symbol_share', 'ended_lines', 'common_share']) AS statistic), (SELECT unnest([1, 5, 25, 50, 75, 95, 99]) AS point)""",
 }

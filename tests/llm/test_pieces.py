@@ -88,3 +88,38 @@ def test_a_very_long_body_takes_linear_time():
 def test_an_overlap_must_be_under_the_limit():
     with pytest.raises(ValueError):
         pieces.cut("abc" * 10, 5, 5)
+
+
+def test_places_within_a_line_are_even_and_part_no_character(spark):
+    text = "a" * 3599 + "\r\n" + "b" * 5000
+    out = pieces.cut(text)
+    assert [(e - s, k) for s, e, k in out] == [(1900, "hard"), (1901, "line"), (2700, "hard"), (2700, "end")]
+    assert [e - s for s, e, _ in pieces.cut("a" * 8601)] == [3000, 3001, 3000]
+    family = "\U0001f469\u200d\U0001f469\u200d\U0001f467"
+    for unit in ("e\u0301", family, "\r\n", "\U0001f1e9\U0001f1ea"):
+        text = "x" + unit * 3000
+        starts = {1 + len(unit) * i for i in range(3001)} | {0}
+        assert {e for _, e, _ in pieces.cut(text)} <= starts
+    # a character longer than a piece
+    assert {k for _, _, k in pieces.cut("e" + "\u0301" * 9000)} == {"split", "end"}
+
+
+def test_blanks_come_before_other_places():
+    text = "word " * 3000
+    out = pieces.cut(text)
+    assert {k for _, _, k in out} == {"blank", "end"} and all(text[e - 1] == " " for _, e, _ in out)
+
+
+def test_long_lines_take_linear_time():
+    assert len(pieces.cut("z" * 1_000_000)) == 295
+    assert len(pieces.cut("word " * 200_000)) == 295
+
+
+def test_invariants_of_pieces(spark):
+    rows = [(1, None), (2, ""), (3, "short"), (5, "x" * 3601), (6, "int f();\n" * 1000), (7, "\U0001f469\u200d" * 2500)]
+    df = spark.createDataFrame(rows, "fid bigint, body string")
+    out = pieces.invariants(df, pieces.pieces(df, "fid", "body"), "fid", "body").collect()
+    assert sorted((r.row_id, r.cut) for r in out) == [(3, False), (5, True), (6, True), (7, True)]
+    assert all(r.within_limit and r.overlaps and r.whole for r in out)
+    short = pieces.pieces(df, "fid", "body").withColumn("piece", __import__("pyspark").sql.functions.expr("left(piece, 3599)"))
+    assert not all(r.whole for r in pieces.invariants(df, short, "fid", "body").collect())
