@@ -3,8 +3,8 @@
 Texts are split into the tokenizer's words in Spark, each distinct word of the corpus is encoded once, and
 the ids are joined back by position. Texts are first spread over buckets of about equal text; a bucket
 asks for each of its words once, so the join carries (bucket, word) pairs, not occurrences, and no word,
-however common, weighs more than the number of buckets. A very long text is cut into chunks of words,
-which are encoded apart and joined by their numbers.
+however common, weighs more than the number of buckets. Every text goes through one such join: one of ordinary length
+whole, a very long one as chunks of words, which lie in different buckets and are put together by their numbers.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import WHITE_SPACE
@@ -34,19 +34,30 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N
 
 #: The most pieces of a vocabulary, which is broadcast.
 MOST_PIECES = 1_000_000
-#: Characters of text of one bucket, and words of one chunk.
+#: Characters of text of one bucket, characters beyond which a text is cut into chunks, and words of a chunk.
 BUCKET_CHARS = 4_000_000
-CHUNK_WORDS = 4_096
+LONG_CHARS = 1_000_000
+CHUNK_WORDS = 100_000
 
 
-def word_chunks(texts: DataFrame) -> DataFrame:
-    """(bucket, doc_id, mark, chunk, chunks, words) of (bucket, doc_id, text); a NULL or empty text has one chunk without words."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    split = texts.select("bucket", "doc_id", F.xxhash64("text").alias("mark"), found.alias("words"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.size("words") / F.lit(CHUNK_WORDS)).cast("int"))
-    numbered = split.withColumn("chunks", chunks).withColumn("chunk", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = F.when(F.col("chunks") == 1, F.col("words")).otherwise(F.slice("words", F.col("chunk") * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)))
-    return numbered.select("bucket", "doc_id", "mark", "chunk", "chunks", part.alias("words"))
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
+
+
+def whole_texts(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, doc_id, mark, chunk, chunks, words) of (doc_id, text), a row per text. The texts themselves are spread: their words take five times the room."""
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
+    spread = texts.withColumn("bucket", bucket).repartition(max(buckets, texts.sparkSession.sparkContext.defaultParallelism), "bucket")
+    return spread.select("bucket", "doc_id", F.lit(0).cast("bigint").alias("mark"), F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), _words("text").alias("words"))
+
+
+def word_chunks(texts: DataFrame, buckets: int) -> DataFrame:
+    """The same of very long texts, a row per chunk of words; the chunks of a text lie in different buckets."""
+    split = texts.select("doc_id", F.xxhash64("text").alias("mark"), _words("text").alias("words"))
+    numbered = split.withColumn("chunks", F.ceil(F.size("words") / F.lit(CHUNK_WORDS)).cast("int")).withColumn("chunk", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.slice("words", F.col("chunk") * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS))
+    bucket = F.pmod(F.xxhash64("doc_id", "mark", "chunk"), F.lit(buckets)).cast("int")
+    return numbered.select(bucket.alias("bucket"), "doc_id", "mark", "chunk", "chunks", part.alias("words"))
 
 
 @lru_cache(maxsize=4)
@@ -86,30 +97,48 @@ def _assembled(texts: pa.Table, entries: pa.Table) -> pa.Table:
     return pa.table([*(texts.column(c) for c in kept), ids], names=[*kept, "ids"])
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY, long: int | None = None) -> DataFrame:
     """(doc_id, ids) of every row of df: the token ids of its text, without special tokens.
 
     Strings that spell a special token are ordinary text. NULL and empty texts have the empty list; blank
     texts are encoded like others. Repeated rows and NULL ids give a row each. An empty table gives an empty
-    table; other columns, whatever their names, are not looked at.
+    table; other columns, whatever their names, are not looked at. Texts of over `long` characters are encoded in chunks, which
+    changes no result.
     """
-    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
-    buckets = max(1, -(-chars // BUCKET_CHARS))
-    parts = max(buckets, df.sparkSession.sparkContext.defaultParallelism)
+    long = LONG_CHARS if long is None else long
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # the texts themselves are spread: their words take five times the room
-    placed = word_chunks(slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition(parts, "bucket"))
-    # an outer generator, as the filter that an inner one implies would split every text again
-    asked = placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct()
-    table = asked.select("word").distinct().mapInArrow(_encoder(os.path.join(folder, f"{vocabulary}.json")), "word string, ids array<int>")
-    entries = asked.join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
-    done = placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, mark bigint, chunk int, chunks int, ids array<int>")
-    single = done.filter("chunks = 1").select("doc_id", "ids")
+    size = F.length("text")
+    chars, longest, long_chars = slim.agg(F.sum(size), F.max(size), F.sum(F.when(size > long, size))).first()
+    path = os.path.join(folder, f"{vocabulary}.json")
+    buckets = lambda n: max(1, -(-n // BUCKET_CHARS))
+    short = F.coalesce(size <= long, F.lit(True))
+    whole = whole_texts(slim.filter(short) if (longest or 0) > long else slim, buckets((chars or 0) - (long_chars or 0)))
+    if (longest or 0) <= long:
+        return _joined(whole, _table(_asked(whole), path), slim).select("doc_id", "ids")
+    chunks = word_chunks(slim.filter(~short), buckets(long_chars))
+    # one table of distinct words for both
+    table = _table(_asked(whole).select("word").unionByName(_asked(chunks).select("word")), path)
     # a repeated row of several chunks has each of them as often as it occurs
-    once = done.filter("chunks > 1").groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
-    joined = once.groupBy("doc_id", "mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"), F.min("times").cast("int").alias("times"))
-    several = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
-    return single.unionByName(several)
+    once = _joined(chunks, table, slim).groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
+    parts = once.groupBy("doc_id", "mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"), F.min("times").cast("int").alias("times"))
+    several = parts.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    return _joined(whole, table, slim).select("doc_id", "ids").unionByName(several)
+
+
+def _asked(placed: DataFrame) -> DataFrame:
+    """The distinct (bucket, word)."""
+    # an outer generator, as the filter that an inner one implies would split every text again
+    return placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct()
+
+
+def _table(asked: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of each distinct word."""
+    return asked.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
+
+
+def _joined(placed: DataFrame, table: DataFrame, slim: DataFrame) -> DataFrame:
+    entries = _asked(placed).join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
+    return placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, mark bigint, chunk int, chunks int, ids array<int>")
 
 
 def vocabulary_table(spark: SparkSession, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:

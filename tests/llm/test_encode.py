@@ -45,7 +45,8 @@ def test_long_texts_are_cut_and_joined(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(encode, "BUCKET_CHARS", 200)
     held = ["the ring buffer of 12 bytes; " * n for n in (1, 3, 40)] + [""]
     df = spark.createDataFrame(list(enumerate(held)), "doc_id bigint, text string")
-    got = {r.doc_id: r.ids for r in encode.encode(df).collect()}
+    got = {r.doc_id: r.ids for r in encode.encode(df, long=30).collect()}
+    assert got == {r.doc_id: r.ids for r in encode.encode(df).collect()}
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(held)}
 
 
@@ -53,9 +54,18 @@ def test_repeated_rows_and_missing_ids(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(encode, "CHUNK_WORDS", 5)
     long = "the ring buffer of 12 bytes; " * 4
     rows = [(1, long), (1, long), (1, long + "x"), (None, long), (None, "a"), (2, "b"), (2, "b")]
-    got = encode.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = encode.encode(df, long=20).collect()
     want = [(i, tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows]
     assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.ids) for r in encode.encode(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_are_encoded_and_assembled_once(spark, tokenizer):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    plan = encode.encode(df)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("MapInArrow") == 1
 
 
 def test_empty_table_and_unknown_id(spark, tokenizer):
