@@ -5,23 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from factweave.operators.spread import bounded_broadcast, paired
 
-__all__ = ["batches", "bounded_broadcast", "paired", "shingles"]
-
-
-def shingles(words: Column, n: int) -> Column:
-    """64-bit hashes of each n consecutive words, in order; [] if there are fewer.
-
-    words must be a plain column: an expression in its place would be evaluated again for every shingle.
-    """
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
+__all__ = ["batches", "bounded_broadcast", "paired"]
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:

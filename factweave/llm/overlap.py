@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import stripped, words
-from factweave.llm.common import batches, paired, shingles
+from factweave.llm.common import batches, bounded_broadcast, paired
 from factweave.session import checkpoint
 
 #: The least share of trigrams common to two near-same texts, as a fraction.
@@ -34,6 +34,8 @@ SHINGLE = 3
 HITS = 3
 #: Tokens beyond which a pair's distance is counted from its common tokens, and cells of one table of programs.
 LONG, CELLS = 4_000, 1 << 20
+#: Pairs of classes that are broadcast; more are shuffled.
+MOST_PAIRS = 1_000_000
 #: Counters of the sketch behind the global order.
 SKETCH = 1 << 18
 
@@ -56,7 +58,7 @@ def least_overlap(a: Column | str, b: Column | str, share: tuple[int, int] = SHA
     return F.ceil(F.lit(p) * (F.col(a) + F.col(b)) / F.lit(p + q)).cast("int")
 
 
-def _ordered(counts: np.ndarray):
+def _numbered(counts: np.ndarray):
     """Rows (name, class, tokens, evaluation, training) with tokens sorted rare first."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,29 +73,51 @@ def _ordered(counts: np.ndarray):
     return run
 
 
-def text_classes(views: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members) of views(view_id, side, text).
+def shingle_tokens(flat: np.ndarray, lengths: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, how many of each text) of texts laid end to end as word hashes: the distinct hashes of n consecutive words, sorted."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    count = max(0, len(flat) - n + 1)
+    mixed = np.zeros(count, dtype=np.uint64)
+    for i in range(n):
+        mixed = (mixed ^ flat[i : i + count].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    inside = row[:count] == row[n - 1 :] if count else np.zeros(0, dtype=bool)
+    of, tokens = row[:count][inside], mixed.view(np.int64)[inside]
+    order = np.lexsort((tokens, of))
+    of, tokens = of[order], tokens[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])
+    return tokens[new], np.bincount(of[new], minlength=len(lengths))
+
+
+def _shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, class, tokens, evaluation, training) of rows with word hashes in place of tokens."""
+    for batch in source:
+        held = batch.column(2)
+        tokens, sizes = shingle_tokens(held.flatten().to_numpy(zero_copy_only=False), np.diff(held.offsets.to_numpy()).astype(np.int64))
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(tokens))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], made, *batch.columns[3:]], names=["name", "class", "tokens", "evaluation", "training"])
+
+
+_CLASS = "name string, class bigint, tokens array<bigint>, evaluation boolean, training boolean"
+
+
+def text_classes(named: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(classes, counts) of named(name, view_id, side, hashes).
 
     classes: name, class (a number: the least view of it), tokens (ordered), evaluation, training (whether it
-    has such views). members: name, view_id, side. Texts of fewer than three words have no trigram and
+    has such views). counts: the sketch of the tokens' numbers, by their last bits. Texts of fewer than three words have no trigram and
     belong to no class.
     """
-    split = views.filter("side IS NOT NULL").select("view_id", "side", words(F.col("text")).alias("w"))
-    held = split.select("view_id", "side", F.array_sort(F.array_distinct(shingles(F.col("w"), SHINGLE))).alias("tokens"))
-    name = F.concat_ws("-", F.hex(F.xxhash64("tokens")), F.hex(F.hash("tokens")), F.size("tokens").cast("string"))
-    named = held.withColumn("name", name)
-    classes = named.groupBy("name").agg(
-        F.min("view_id").cast("bigint").alias("class"), F.any_value("tokens").alias("tokens"), F.bool_or(F.col("side") == "evaluation").alias("evaluation"), F.bool_or(F.col("side") == "training").alias("training")
+    grouped = named.filter(F.size("hashes") >= SHINGLE).groupBy("name").agg(
+        F.min("view_id").cast("bigint").alias("class"), F.any_value("hashes").alias("hashes"), F.bool_or(F.col("side") == "evaluation").alias("evaluation"), F.bool_or(F.col("side") == "training").alias("training")
     )
-    # texts of too few words are one class, dropped only here: earlier, the filter would be pushed below the grouping
-    # and make every token again inside it
-    classes = checkpoint(classes).filter(F.size("tokens") > 0)
+    classes = checkpoint(grouped.mapInArrow(_shingled, _CLASS))
     sketch = classes.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(SKETCH - 1).alias("at")).count()
     counted = sketch.toArrow()  # at most SKETCH rows, whatever the input
     counts = np.zeros(SKETCH, dtype=np.int64)
     counts[counted.column("at").to_numpy()] = counted.column("count").to_numpy()
-    ordered = classes.mapInArrow(_ordered(counts), "name string, class bigint, tokens array<bigint>, evaluation boolean, training boolean")
-    return checkpoint(ordered), named.select("name", "view_id", "side")
+    return checkpoint(classes.mapInArrow(_numbered(counts), _CLASS)), counts
 
 
 def indel_within(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
@@ -160,7 +184,22 @@ def _verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches(rows(), schema)
 
 
-def near_classes(classes: DataFrame) -> DataFrame:
+def _spread_tokens(e: DataFrame, t: DataFrame, counts: np.ndarray, block: int) -> DataFrame:
+    """Join of e and t on token, with the training rows of a token that is often seen cut into blocks.
+
+    How often is read from the sketch, so nothing is counted again, and its list of such tokens is bounded.
+    """
+    often = np.flatnonzero(counts > block)
+    if not len(often):
+        return e.join(t, "token")
+    listed = e.sparkSession.createDataFrame(pa.table({"at": pa.array(often), "blocks": pa.array(-(-counts[often] // block))}))
+    at = F.col("token").bitwiseAND(SKETCH - 1)
+    left = e.withColumn("at", at).join(F.broadcast(listed), "at", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - F.lit(1).cast("bigint")))).drop("at", "blocks")
+    right = t.withColumn("at", at).join(F.broadcast(listed), "at", "left").withColumn("block", F.pmod(F.xxhash64("class_t"), F.coalesce("blocks", F.lit(1)))).drop("at", "blocks")
+    return left.join(right, ["token", "block"]).drop("block")
+
+
+def near_classes(classes: DataFrame, counts: np.ndarray, block: int = 20_000) -> DataFrame:
     """Pairs (class_e, class_t) of an evaluation and a training class that share enough trigrams."""
     p, q = SHARE
     size = F.size("tokens")
@@ -171,11 +210,13 @@ def near_classes(classes: DataFrame) -> DataFrame:
     t = segments.filter("training").select(F.col("class").alias("class_t"), F.col("n").alias("b"), F.posexplode("cut").alias("q", "token"))
     o = least_overlap("a", "b")
     allowed = (F.col("a") * p <= F.col("b") * q) & (F.col("b") * p <= F.col("a") * q) & (F.col("p") <= F.col("a") - o + (HITS - 1)) & (F.col("q") <= F.col("b") - o + (HITS - 1))
-    hits = e.join(t, "token").filter(allowed).groupBy("class_e", "class_t").agg(F.count("*").alias("hits"), F.any_value(F.least(F.lit(HITS), o)).alias("least"))
-    candidates = hits.filter("hits >= least").select("class_e", "class_t")
-    left = classes.select(F.col("class").alias("class_e"), F.col("tokens").alias("tokens_e"))
-    right = classes.select(F.col("class").alias("class_t"), F.col("tokens").alias("tokens_t"))
-    both = candidates.join(left, "class_e").join(right, "class_t").select("class_e", "class_t", "tokens_e", "tokens_t")
+    hits = _spread_tokens(e, t, counts, block).filter(allowed).groupBy("class_e", "class_t").agg(F.count("*").alias("hits"), F.any_value(F.least(F.lit(HITS), o)).alias("least"))
+    candidates = checkpoint(hits.filter("hits >= least").select("class_e", "class_t"))
+    # only the tokens of classes with a candidate are moved
+    seen = bounded_broadcast(candidates, MOST_PAIRS)
+    left = classes.select(F.col("class").alias("class_e"), F.col("tokens").alias("tokens_e")).join(seen, "class_e")
+    right = classes.select(F.col("class").alias("class_t"), F.col("tokens").alias("tokens_t")).join(seen.select("class_t"), "class_t", "left_semi")
+    both = left.join(right, "class_t").select("class_e", "class_t", "tokens_e", "tokens_t")
     return both.mapInArrow(_verified, "class_e bigint, class_t bigint")
 
 
@@ -187,18 +228,21 @@ def cross_split_pairs(views: DataFrame, id_col: str = "view_id", split_col: str
     empty, blank) match nothing; repeated texts and digests give all their pairs, as the result asks for,
     spread in blocks. Empty tables give an empty result; other columns are not looked at.
     """
-    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), F.col(text_col).alias("text")).filter("view_id IS NOT NULL")
-    named = v.filter("digest IS NOT NULL AND side IS NOT NULL").select("digest", "view_id", "side")
+    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), words(F.col(text_col)).alias("w")).filter("view_id IS NOT NULL AND side IS NOT NULL")
+    hashed = v.select("view_id", "side", "digest", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    # texts of the same words are one class; read by the classes, and by every join of their members
+    named = checkpoint(hashed.withColumn("name", F.concat_ws("-", F.hex(F.xxhash64("hashes")), F.hex(F.hash("hashes")), F.size("hashes").cast("string"))))
+    told = named.filter("digest IS NOT NULL").select("digest", "view_id", "side")
     by_digest = paired(
-        named.filter("side = 'evaluation'").select("digest", F.col("view_id").alias("evaluation_id")),
-        named.filter("side = 'training'").select("digest", F.col("view_id").alias("training_id")), "digest", "training_id",
+        told.filter("side = 'evaluation'").select("digest", F.col("view_id").alias("evaluation_id")),
+        told.filter("side = 'training'").select("digest", F.col("view_id").alias("training_id")), "digest", "training_id",
     ).select("evaluation_id", "training_id", F.lit(True).alias("same_digest"), F.lit(False).alias("near_text"))
-    classes, members = text_classes(v)
-    near = near_classes(classes)
+    classes, counts = text_classes(named)
+    near = bounded_broadcast(checkpoint(near_classes(classes, counts)), MOST_PAIRS)
     names = lambda c: classes.select(F.col("class").alias(f"class_{c}"), F.col("name").alias(f"name_{c}"))
     of = near.join(names("e"), "class_e").join(names("t"), "class_t").select("name_e", "name_t")
-    e = of.join(members.filter("side = 'evaluation'").select(F.col("name").alias("name_e"), F.col("view_id").alias("evaluation_id")), "name_e").drop("name_e")
-    t = members.filter("side = 'training'").select(F.col("name").alias("name_t"), F.col("view_id").alias("training_id"))
+    e = of.join(named.filter("side = 'evaluation'").select(F.col("name").alias("name_e"), F.col("view_id").alias("evaluation_id")), "name_e").drop("name_e")
+    t = named.filter("side = 'training'").select(F.col("name").alias("name_t"), F.col("view_id").alias("training_id"))
     by_text = paired(e, t, "name_t", "training_id").select("evaluation_id", "training_id", F.lit(False).alias("same_digest"), F.lit(True).alias("near_text"))
     return by_digest.unionByName(by_text).groupBy("evaluation_id", "training_id").agg(F.bool_or("same_digest").alias("same_digest"), F.bool_or("near_text").alias("near_text"))
 

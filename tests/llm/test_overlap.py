@@ -115,3 +115,14 @@ def test_banded_distance_against_full_table():
     k = np.array([rng.randint(0, 14) for _ in range(300)])
     want = [min(full(x, y), n + 1) for x, y, n in zip(a, b, k)]
     assert overlap.indel_within(a, b, k).tolist() == want
+
+
+def test_tokens_that_are_often_seen_are_joined_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["evaluation-a", "train"]), None, " ".join(["all texts begin like this"] + [f"w{rng.randint(0, 6)}" for _ in range(rng.randint(3, 9))])) for i in range(80)]
+    df = spark.createDataFrame(rows, "view_id bigint, corpus string, binary_sha256 string, profile_text string")
+    plain = sorted((r.evaluation_id, r.training_id) for r in overlap.cross_split_pairs(df).collect())
+    near = overlap.near_classes
+    monkeypatch.setattr(overlap, "near_classes", lambda classes, counts: near(classes, counts, block=2))
+    monkeypatch.setattr(overlap, "MOST_PAIRS", 1)
+    assert plain and sorted((r.evaluation_id, r.training_id) for r in overlap.cross_split_pairs(df).collect()) == plain
