@@ -117,7 +117,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
         return _joined(whole, _table(_asked(whole), path), slim).select("doc_id", "ids")
     chunks = word_chunks(slim.filter(~short), buckets(long_chars))
     # one table of distinct words for both
-    table = _table(_asked(whole).select("word").unionByName(_asked(chunks).select("word")), path)
+    table = _table(_asked(whole).unionByName(_asked(chunks)), path)
     # a repeated row of several chunks has each of them as often as it occurs
     once = _joined(chunks, table, slim).groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
     parts = once.groupBy("doc_id", "mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"), F.min("times").cast("int").alias("times"))
@@ -133,7 +133,8 @@ def _asked(placed: DataFrame) -> DataFrame:
 
 def _table(asked: DataFrame, path: str) -> DataFrame:
     """(word, ids) of each distinct word."""
-    return asked.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
+    # grouped over the distinct pairs, and with a bucket that is handed on, so that the plan keeps the pairs' exchange for both uses
+    return asked.groupBy("word").agg(F.min("bucket").alias("first")).mapInArrow(_encoder(path), "word string, ids array<int>")
 
 
 def _joined(placed: DataFrame, table: DataFrame, slim: DataFrame) -> DataFrame:
