@@ -42,6 +42,13 @@ UNION ALL SELECT record_id, 'op', function_id, site_id, -1, fi, oi, 1, 0, node F
 UNION ALL SELECT record_id, 'input', function_id, site_id, pos, fi, oi, 2, ix, e FROM i
 UNION ALL SELECT record_id, 'output', function_id, site_id, 0, fi, oi, 3, ix, e FROM u)"""
 
+
+
+def nodes_cte() -> str:
+    """The WITH clause by which every node of the documents is a row of n."""
+    return _NODES
+
+
 P1_FOUND = f"{_NODES} SELECT record_id, node_kind, function_id, site_id, pos FROM n"
 
 

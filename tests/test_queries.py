@@ -3,9 +3,9 @@
 import pytest
 from oracle import DATA, check
 
-from factweave.plans import corpus_queries, fact_queries, graph_queries, pattern_queries, relational, selection_queries, text_queries
+from factweave.plans import corpus_queries, fact_queries, graph_queries, pattern_queries, relational, search_queries, selection_queries, text_queries
 
-MODULES = [corpus_queries, fact_queries, graph_queries, relational, text_queries, pattern_queries, selection_queries]
+MODULES = [corpus_queries, fact_queries, graph_queries, search_queries, relational, text_queries, pattern_queries, selection_queries]
 ALL = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
