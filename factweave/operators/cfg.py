@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators.fixpoint import closure
+from factweave.operators.fixpoint import closure, whole
 
 #: Operations that pass a value on unchanged.
 TRANSPARENT = ("COPY", "CAST", "INT_ZEXT", "INT_SEXT", "SUBPIECE", "INDIRECT")
@@ -152,7 +152,7 @@ def recurrences(inputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     passes = inputs.filter(F.col("mnemonic").isin(*TRANSPARENT) & F.col("constant").isNull()).select(*keys, F.col("input").alias("node"), F.col("output").alias("next")).distinct()
     phis = inputs.filter("mnemonic = 'MULTIEQUAL'")
     seeds = phis.select(*keys, F.col("output").alias("phi"), F.col("output").alias("node")).distinct()
-    same = closure(seeds, lambda d: d.join(passes, [*keys, "node"]).select(*keys, "phi", F.col("next").alias("node")), 64).rows
+    same = whole(closure(seeds, lambda d: d.join(passes, [*keys, "node"]).select(*keys, "phi", F.col("next").alias("node")), 10_000))
     sums = inputs.filter(F.col("mnemonic").isin("INT_ADD", "INT_SUB"))
     one = sums.groupBy(*keys, "output", "mnemonic").agg(
         F.count("*").alias("n"), F.count("constant").alias("constants"), F.max("constant").alias("step"), F.max_by("pos", F.col("constant").isNotNull()).alias("at"),
@@ -175,7 +175,7 @@ def branch_gates(edges: DataFrame, targets: DataFrame, keys: Sequence[str]) -> D
     """
     seeds = targets.select(*keys, "target", F.col("target").alias("node"))
     back = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("prev")).distinct()
-    reach = closure(seeds, lambda d: d.join(back, [*keys, "node"]).select(*keys, "target", F.col("prev").alias("node")), 1000).rows
+    reach = whole(closure(seeds, lambda d: d.join(back, [*keys, "node"]).select(*keys, "target", F.col("prev").alias("node")), 10_000))
     out = edges.select(*keys, "src", "dst").distinct()
     fan = out.groupBy(*keys, "src").agg(F.count("*").alias("n")).filter("n > 1")
     hit = out.join(reach.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, "src", "target").agg(F.count("*").alias("k"))
@@ -189,25 +189,35 @@ def exclusive_arms(edges: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> D
     asked = pairs.select(*keys, "left", "right").distinct().join(siblings, [*keys, "left", "right"], "left_semi")
     seeds = asked.select(*keys, F.col("left").alias("start"), F.col("left").alias("node")).unionByName(asked.select(*keys, F.col("right").alias("start"), F.col("right").alias("node"))).distinct()
     step = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    reach = closure(seeds, lambda d: d.join(step, [*keys, "node"]).select(*keys, "start", F.col("next").alias("node")), 1000).rows
+    reach = whole(closure(seeds, lambda d: d.join(step, [*keys, "node"]).select(*keys, "start", F.col("next").alias("node")), 10_000))
     lr = reach.select(*keys, F.col("start").alias("left"), F.col("node").alias("right"))
     rl = reach.select(*keys, F.col("start").alias("right"), F.col("node").alias("left"))
     return asked.join(lr, [*keys, "left", "right"], "left_anti").join(rl, [*keys, "left", "right"], "left_anti")
 
 
-def paired_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Self-join of field updates of one base: (keys, site_a, site_b, reason), reason NULL for a pair.
+def paired_updates(updates: DataFrame, keys: Sequence[str], exclusive: DataFrame | None = None) -> DataFrame:
+    """Self-join of field updates of one base: (keys, base, site_a, site_b, reason), reason NULL for a pair.
 
     updates: keys, base, field, lineage, direction (1 or -1), site. A pair has different fields, one delta
-    lineage and opposite directions; the reason is the first test that fails. Updates meet only within
-    (keys, base), of which a function has few.
+    lineage and opposite directions and, where exclusive (keys, left, right: sites on exclusive arms) is given, no exclusive sites;
+    the reason is the first test that fails. Updates meet only within (keys, base), of which a function has few.
     """
     b = updates.select(*keys, "base", *(F.col(c).alias(f"{c}_b") for c in ("field", "lineage", "direction", "site")))
     both = updates.join(b, [*keys, "base"]).filter("site < site_b")
     reason = F.when(F.col("field") == F.col("field_b"), "same_field").when(F.col("lineage") != F.col("lineage_b"), "different_delta").when(F.col("direction") == F.col("direction_b"), "same_direction")
+    if exclusive is not None:
+        arms = exclusive.select(*keys, F.least("left", "right").alias("site"), F.greatest("left", "right").alias("site_b")).distinct().withColumn("apart", F.lit(True))
+        both = both.join(arms, [*keys, "site", "site_b"], "left")
+        reason = reason.when(F.col("apart"), "exclusive_arms")
     return both.select(*keys, "base", F.col("site").alias("site_a"), "site_b", reason.alias("reason"))
 
 
+def unpaired_bases(updates: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary reject of each base with updates and no compatible pair: (keys, base, updates, reason)."""
+    good = pairs.filter("reason IS NULL").select(*keys, "base").distinct()
+    return updates.groupBy(*keys, "base").agg(F.count("*").alias("updates")).join(good, [*keys, "base"], "left_anti").withColumn("reason", F.lit("no_compatible_pair"))
+
+
 def affine_terms(inputs: DataFrame, roots: DataFrame, keys: Sequence[str], depth: int = 12) -> DataFrame:
     """(keys, root, node, stride, offset): roots as sums of stride * node + offset over additions and multiplications.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.agg import keep_first
-from factweave.operators.fixpoint import Result, alternate, closure, relaxation
+from factweave.operators.fixpoint import Result, alternate, closure, relaxation, whole
 from factweave.session import checkpoint
 
 #: Budgets of the searches.
@@ -113,7 +113,7 @@ def alternating_channels(seeds: DataFrame, local: DataFrame, channels: DataFrame
         moved = state.join(channels, state["node"] == channels["writer"]).select("lineage", F.col("reader").alias("node"))
         edge = local.select(F.col("src").alias("node"), F.col("dst").alias("next"))
         inner = closure(state.unionByName(moved), lambda d: d.join(edge, "node").select("lineage", F.col("next").alias("node")), 1000)
-        return inner.rows
+        return whole(inner)
 
     return alternate(seeds.select("lineage", "node"), outer, rounds)
 
@@ -207,7 +207,7 @@ def bounded_lineage(inputs: DataFrame, starts: DataFrame, mnemonics: Sequence[st
     def step(delta: DataFrame) -> DataFrame:
         return delta.join(kept, "value").select("start", F.col("next").alias("value"), (F.col("level") + 1).cast("int").alias("level"))
 
-    rows = relaxation(seeds, step, ["start", "value"], ["level"], rounds).rows
+    rows = whole(relaxation(seeds, step, ["start", "value"], ["level"], rounds))
     w = Window.partitionBy("start").orderBy("level", "value")
     numbered = rows.withColumn("__n", F.row_number().over(w)).withColumn("truncated", F.max("__n").over(Window.partitionBy("start")) > max_values)
     return numbered.filter(F.col("__n") <= max_values).drop("__n")
@@ -244,7 +244,7 @@ def wrapper_summaries(primitives: DataFrame, calls: DataFrame, max_depth: int =
         bound = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), F.try_element_at("slots", e["value"]).alias("value")))
         return up.select(F.col("caller").alias("function"), "label", (F.col("depth") + 1).cast("int").alias("depth"), bound.alias("entries")).filter(F.forall("entries", lambda e: e["value"].isNotNull()))
 
-    return relaxation(held, step, ["function", "label"], ["depth"], max_depth + 1, ["entries"]).rows
+    return whole(relaxation(held, step, ["function", "label"], ["depth"], max_depth + 1, ["entries"]))
 
 
 def instantiate(summaries: DataFrame, calls: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.cfg import TRANSPARENT, affine_terms
-from factweave.operators.fixpoint import Result, closure
+from factweave.operators.fixpoint import Result, closure, whole
 from factweave.operators.rejects import first_reason
 from factweave.session import checkpoint
 
@@ -46,11 +46,11 @@ def bind_effects(effects: DataFrame, calls: DataFrame, max_alternatives: int = 8
     return bound.join(many.drop("n"), ["call_site", "object", "offset"], "left_anti"), blockers
 
 
-def resolve_constants(inputs: DataFrame, keys: Sequence[str], rounds: int = 12) -> DataFrame:
+def resolve_constants(inputs: DataFrame, keys: Sequence[str], rounds: int = 1000) -> DataFrame:
     """(keys, value, number) of outputs that fold to one number.
 
     Copies, sums, differences, products, masks and shifts of known numbers fold; a merge only if all its
-    inputs are known and agree. Unknown inputs leave the output out. inputs as in affine_terms.
+    inputs are known and agree. Unknown inputs leave the output out. inputs as in affine_terms. Raises if rounds don't suffice.
     """
     known = checkpoint(inputs.filter("constant IS NOT NULL").select(*keys, F.col("input").alias("value"), F.col("constant").alias("number")).groupBy(*keys, "value").agg(F.min("number").alias("number")))
     live = checkpoint(inputs.select(*keys, "output", "input", "pos", "mnemonic").distinct())
@@ -71,6 +71,8 @@ def resolve_constants(inputs: DataFrame, keys: Sequence[str], rounds: int = 12)
         if new.isEmpty():
             break
         known = checkpoint(known.unionByName(new))
+    else:
+        raise RuntimeError(f"ANALYSIS_BUDGET_EXHAUSTED after {rounds} rounds")
     return known.join(done.select(*keys, "value"), [*keys, "value"], "left_anti")
 
 
@@ -103,7 +105,7 @@ def container_aliases(inputs: DataFrame, formals: DataFrame, keys: Sequence[str]
     def spread(seeds: DataFrame) -> DataFrame:
         edge = flow.filter("NOT merge").drop("merge")
         step = lambda d: d.join(edge, [*keys, "node"]).select(*keys, "root", F.col("next").alias("node"), (F.col("loaded") | F.col("load")).alias("loaded"))
-        return closure(seeds, step, 64).rows
+        return whole(closure(seeds, step, 10_000))
 
     first = spread(formals.select(*keys, F.col("slot").cast("string").alias("root"), "node", F.lit(False).alias("loaded")))
     again = spread(phis.select(*keys, F.col("phi").alias("root"), F.col("phi").alias("node"), F.lit(False).alias("loaded")).distinct())
@@ -163,23 +165,26 @@ def sentinel_copies(stores: DataFrame, loops: DataFrame, progressions: DataFrame
 def capacity_proofs(sinks: DataFrame, checks: DataFrame, destinations: DataFrame) -> DataFrame:
     """Per sink whether a dominating check bounds its length within its destination: (sink, status, reason, remaining, maximum).
 
-    sinks: sink, label, lengths (number of lengths that aren't constant); checks: sink, mnemonic, relation, bound, equivalent; destinations:
-    sink, extent, offset. The first test that fails is the reason. Only an unsigned upper bound by a constant
-    on the same value proves anything; of several such checks the least bound counts.
+    sinks: sink, label, lengths (number of lengths that aren't constant), and, where they are known, index (of the length), bound (whether it is
+    the sink's argument) and placed (whether the destination is); checks: sink, mnemonic, relation, bound, equivalent and, where it is
+    known, ordinal; destinations: sink, extent, offset. The first test that fails is the reason. The first check on the same value
+    is judged, by ordinal, then by least bound: only an unsigned upper bound by a constant proves anything, whatever later checks say.
     """
-    unsigned = F.col("mnemonic") == "INT_LESS"
-    good = unsigned & F.col("equivalent") & F.col("relation").isin("LT", "LE") & F.col("bound").isNotNull()
-    maximum = F.when(F.col("relation") == "LT", F.col("bound") - 1).otherwise(F.col("bound"))
-    c = checks.groupBy("sink").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("equivalent").alias("same"), F.bool_or(F.col("equivalent") & unsigned).alias("unsigned"),
-        F.bool_or(F.col("equivalent") & unsigned & F.col("bound").isNotNull()).alias("fixed"), F.min(F.when(good, maximum)).alias("maximum"),
-    )
+    order = F.struct(*([F.col("ordinal")] if "ordinal" in checks.columns else []), "bound", "relation", "mnemonic")
+    first = F.min_by(F.struct("mnemonic", "relation", "bound"), F.when(F.col("equivalent"), order))
+    judged = checks.groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.bool_or("equivalent").alias("same"), first.alias("c"))
+    unsigned = F.col("c.mnemonic") == "INT_LESS"
+    maximum = F.when(F.col("c.relation") == "LT", F.col("c.bound") - 1).when(F.col("c.relation") == "LE", F.col("c.bound"))
+    c = judged.select("sink", "n", "same", unsigned.alias("unsigned"), F.col("c.bound").isNotNull().alias("fixed"), maximum.alias("maximum"))
+    has = {n: n in sinks.columns for n in ("index", "bound", "placed")}
+    sinks = sinks.select("sink", "label", "lengths", *((F.col(n) if has[n] else F.lit(None).cast("boolean")).alias(n) for n in has))
     row = sinks.join(c, "sink", "left").join(destinations.groupBy("sink").agg(F.min("extent").alias("extent"), F.min("offset").alias("offset")), "sink", "left").withColumn("remaining", F.col("extent") - F.col("offset"))
     no = lambda name: ~F.coalesce(F.col(name), F.lit(False))
     rules = [
         ("sink_label_not_supported_by_capacity_proof", ~F.col("label").isin(*CAPACITY_LABELS)), ("non_unique_nonconstant_length_parameter", F.col("lengths") != 1),
+        ("length_parameter_index_missing", F.lit(has["index"]) & F.col("index").isNull()), ("length_parameter_not_bound_to_sink_argument", F.lit(has["bound"]) & no("bound")),
         ("no_parameter_bounded_check", F.col("n").isNull()), ("checked_value_not_equivalent_to_sink_length", no("same")), ("signed_comparison_not_capacity_proof", no("unsigned")),
-        ("capacity_bound_not_constant", no("fixed")), ("unsupported_capacity_bound_relation", F.col("maximum").isNull()), ("static_destination_object_unresolved", F.col("extent").isNull()),
+        ("capacity_bound_not_constant", no("fixed")), ("unsupported_capacity_bound_relation", F.col("maximum").isNull()), ("destination_argument_not_bound", F.lit(has["placed"]) & no("placed")), ("static_destination_object_unresolved", F.col("extent").isNull()),
         ("destination_extent_or_offset_invalid", (F.col("extent") <= 0) | (F.col("offset") < 0) | (F.col("offset") > F.col("extent"))),
         ("check_bound_exceeds_remaining_destination_capacity", (F.col("maximum") < 0) | (F.col("maximum") > F.col("remaining"))),
     ]

@@ -273,12 +273,12 @@ def g9_first_missing(spark, d):
 
 
 def op_values(spark: SparkSession, d: str) -> DataFrame:
-    """(binary-wide) value flow of the program facts: output, input, mnemonic, site, constant."""
+    """(binary-wide) value flow of the program facts: output, input, mnemonic, site, pos (of the input), constant."""
     tagged = nested.emit_tagged(table(spark, d, "program_facts"))
     ops = nested.flat_table(tagged, "op").select("record_id", F.col("node_no").alias("parent_no"), "mnemonic")
-    value = lambda t: nested.flat_table(tagged, t).select("record_id", "parent_no", "site_id", F.concat_ws("|", F.col("record_id").cast("string"), F.coalesce("value_id", "object_id")).alias(t), F.coalesce("space", F.lit("")).alias(f"{t}_space"))
-    i, o = value("input"), value("output").drop("site_id")
-    return o.join(i, ["record_id", "parent_no"]).join(ops, ["record_id", "parent_no"]).select("output", "input", "mnemonic", F.col("site_id").alias("site"), (F.col("input_space") == "const").alias("constant"))
+    value = lambda t: nested.flat_table(tagged, t).select("record_id", "parent_no", "site_id", F.concat_ws("|", F.col("record_id").cast("string"), F.coalesce("value_id", "object_id")).alias(t), F.coalesce("space", F.lit("")).alias(f"{t}_space"), "pos")
+    i, o = value("input"), value("output").drop("site_id", "pos")
+    return o.join(i, ["record_id", "parent_no"]).join(ops, ["record_id", "parent_no"]).select("output", "input", "mnemonic", F.col("site_id").alias("site"), "pos", (F.col("input_space") == "const").alias("constant"))
 
 
 @query()

@@ -61,8 +61,9 @@ def g24_container_aliases(spark, d):
 
 @query(
     """WITH s AS (SELECT DISTINCT alert_id AS sink FROM plan_fields WHERE alert_id IS NOT NULL), l AS (SELECT alert_id AS sink, count(DISTINCT plan_field_id) FILTER (WHERE field_role = 'len') AS lengths, max(field_size) AS extent, min(field_offset) AS off FROM plan_fields WHERE alert_id IS NOT NULL GROUP BY 1),
-c AS (SELECT alert_id AS sink, count(*) AS n, bool_or(evidence_kind <> 'CALL_PATH') AS same, bool_or(evidence_kind <> 'CALL_PATH' AND evidence_kind <> 'MMIO_READ') AS uns, bool_or(evidence_kind <> 'CALL_PATH' AND evidence_kind <> 'MMIO_READ' AND detail IS NOT NULL) AS fix,
-  min(length(detail) % 64 - 1) FILTER (WHERE evidence_kind <> 'CALL_PATH' AND evidence_kind <> 'MMIO_READ' AND detail IS NOT NULL) AS maximum FROM evidence_items WHERE alert_id IS NOT NULL AND evidence_kind IS NOT NULL GROUP BY 1),
+q AS (SELECT alert_id AS sink, evidence_kind, length(detail) % 64 AS bound, row_number() OVER (PARTITION BY alert_id, evidence_kind <> 'CALL_PATH' ORDER BY evidence_id NULLS FIRST, recorded_at NULLS FIRST, length(detail) % 64 NULLS FIRST, evidence_kind = 'MMIO_READ') AS k FROM evidence_items WHERE alert_id IS NOT NULL AND evidence_kind IS NOT NULL),
+c AS (SELECT sink, count(*) AS n, bool_or(evidence_kind <> 'CALL_PATH') AS same, bool_or(evidence_kind <> 'MMIO_READ') FILTER (WHERE evidence_kind <> 'CALL_PATH' AND k = 1) AS uns, bool_or(bound IS NOT NULL) FILTER (WHERE evidence_kind <> 'CALL_PATH' AND k = 1) AS fix,
+  min(bound - 1) FILTER (WHERE evidence_kind <> 'CALL_PATH' AND k = 1) AS maximum FROM q GROUP BY 1),
 r AS (SELECT s.sink, CASE WHEN l.lengths <> 1 THEN 'non_unique_nonconstant_length_parameter' WHEN c.n IS NULL THEN 'no_parameter_bounded_check' WHEN NOT same THEN 'checked_value_not_equivalent_to_sink_length' WHEN NOT uns THEN 'signed_comparison_not_capacity_proof'
   WHEN NOT fix THEN 'capacity_bound_not_constant' WHEN maximum IS NULL THEN 'unsupported_capacity_bound_relation' WHEN extent IS NULL THEN 'static_destination_object_unresolved' WHEN extent <= 0 OR off < 0 OR off > extent THEN 'destination_extent_or_offset_invalid'
   WHEN maximum < 0 OR maximum > extent - off THEN 'check_bound_exceeds_remaining_destination_capacity' END AS reason FROM s JOIN l USING (sink) LEFT JOIN c USING (sink))
@@ -75,7 +76,7 @@ def g29_capacity(spark, d):
     dest = p.groupBy(F.col("alert_id").alias("sink")).agg(F.max("field_size").alias("extent"), F.min("field_offset").alias("offset"))
     e = table(spark, d, "evidence_items").filter("alert_id IS NOT NULL AND evidence_kind IS NOT NULL")
     k = F.col("evidence_kind")
-    checks = e.select(F.col("alert_id").alias("sink"), F.when(k == "MMIO_READ", "INT_SLESS").otherwise("INT_LESS").alias("mnemonic"), F.lit("LT").alias("relation"), (F.length("detail") % 64).alias("bound"), (k != "CALL_PATH").alias("equivalent"))
+    checks = e.select(F.col("alert_id").alias("sink"), F.when(k == "MMIO_READ", "INT_SLESS").otherwise("INT_LESS").alias("mnemonic"), F.lit("LT").alias("relation"), (F.length("detail") % 64).alias("bound"), (k != "CALL_PATH").alias("equivalent"), F.struct("evidence_id", "recorded_at").alias("ordinal"))
     return patterns.capacity_proofs(sinks, checks, dest).select("sink", "status", "reason")
 
 

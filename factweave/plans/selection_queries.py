@@ -10,6 +10,7 @@ from factweave.functions.text import key
 from factweave.operators import cfg, graph, joins, nested, rank, selection
 from factweave.plans.fact_queries import _D, _KEY, delivered
 from factweave.plans.text_queries import _DAYS, day_graphs
+from factweave.operators.fixpoint import whole
 from factweave.session import table
 from factweave.sources import ctext, detectors
 
@@ -199,4 +200,4 @@ def g14_lineage_expansion(spark, d):
     e = o.join(l.filter("l_returnflag = 'R' AND l_quantity > 25"), o["o_orderkey"] == l["l_orderkey"])
     e = e.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("callee"), F.col("o_custkey").alias("c")).distinct()
     seeds = e.agg(F.min("c").alias("lineage")).filter("lineage IS NOT NULL").select("lineage", F.concat(F.lit("c"), F.col("lineage").cast("string")).alias("node"))
-    return graph.expand_lineage(seeds, e.select("caller", "callee"), e.select(F.col("callee").alias("function"), F.col("caller").alias("helper")), 2).rows
+    return whole(graph.expand_lineage(seeds, e.select("caller", "callee"), e.select(F.col("callee").alias("function"), F.col("caller").alias("helper")), 2))

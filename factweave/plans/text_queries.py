@@ -159,10 +159,8 @@ def g11_natural_loops(spark, d):
 def g12_recurrences(spark, d):
     """Induction values of the program facts; tests hold the rule against cases."""
     v = op_values(spark, d).withColumn("k", F.lit(1))
-    w = Window.partitionBy("k", "output", "site").orderBy("input")
-    numbered = v.withColumn("pos", F.row_number().over(w) - 1)
     number = F.when(F.col("constant"), hex_address(F.regexp_extract("input", r"const:([0-9a-f]{1,15}):", 1)))
-    return cfg.recurrences(numbered.withColumn("constant", number), ["k"]).drop("k")
+    return cfg.recurrences(v.withColumn("constant", number), ["k"]).drop("k")
 
 
 @query(
@@ -191,6 +189,19 @@ def d8_paired_updates(spark, d):
     return cfg.paired_updates(e, ["user_id", "day"]).drop("base")
 
 
+@query(
+    """WITH u AS (SELECT user_id, event_type AS field, event_id AS site, (props->>'k')::BIGINT % 3 AS lineage, CASE WHEN value > 10 THEN 1 ELSE -1 END AS direction, date_trunc('day', ts)::TIMESTAMP AS base FROM events)
+SELECT user_id, base, count(*) AS updates, 'no_compatible_pair' AS reason FROM u a WHERE NOT EXISTS (SELECT 1 FROM u x JOIN u y ON x.user_id = a.user_id AND y.user_id = a.user_id AND x.base = a.base AND y.base = a.base
+  AND x.site < y.site AND x.field <> y.field AND x.lineage = y.lineage AND x.direction <> y.direction) GROUP BY ALL"""
+)
+def d8_unpaired_bases(spark, d):
+    e = table(spark, d, "events").select(
+        "user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("base"), F.col("event_type").alias("field"), F.col("event_id").alias("site"),
+        (F.get_json_object("props", "$.k").cast("bigint") % 3).alias("lineage"), F.when(F.col("value") > 10, 1).otherwise(-1).alias("direction"),
+    )
+    return cfg.unpaired_bases(e, cfg.paired_updates(e, ["user_id"]), ["user_id"])
+
+
 @query(
     """WITH f AS (SELECT e.evidence_id, e.alert_id, arg_min(plan_field_id, (CASE WHEN field_role = 'len' THEN 0 ELSE 1 END, plan_field_id, planned_at)) AS plan_field_id, min(CASE WHEN field_role = 'len' THEN 0 ELSE 1 END) AS tier
   FROM (SELECT DISTINCT evidence_id, alert_id FROM evidence_items WHERE evidence_id IS NOT NULL) e JOIN plan_fields p USING (alert_id) WHERE plan_field_id IS NOT NULL GROUP BY 1, 2)
