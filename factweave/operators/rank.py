@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Ranks from 1 over the whole table without one task holding it all.
 
     Rows are range-partitioned by the order; each partition counts its rows, and starts at the sum of
-    those before it. The counts (one per partition) are all that is gathered.
+    those before it. The counts (one per partition) are all that is gathered. There are as many partitions as the
+    session shuffles into, so their size is what its settings make it.
     """
     from factweave.session import checkpoint
 
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     spread = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     sizes = sorted((r[0], r[1]) for r in spread.groupBy("__part").count().collect())
     starts, total = [], 0

@@ -173,6 +173,18 @@ def header_fields(text: str) -> Iterator[tuple[str, str, int]]:
             at += size * (int(f[3], 0) if f[3] else 1)
 
 
+def _header_rows(text: str) -> Iterator[tuple[str, str, str, int]]:
+    yield from (("field", kind, name, at) for kind, name, at in header_fields(text))
+    yield from (("base", kind, name, at) for name, kind, at in header_bases(text))
+
+
+def scan_headers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_id, row_no, kind, type, name, value) of every header: a struct's fields with their offsets, instances with their addresses."""
+    schema = pa.schema([("row_id", pa.int64()), ("row_no", pa.int32()), ("kind", pa.string()), ("type", pa.string()), ("name", pa.string()), ("value", pa.int64())])
+    slim = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+    return slim.mapInArrow(_scanner(_header_rows, schema), "row_id bigint, row_no int, kind string, type string, name string, value bigint")
+
+
 def header_bases(text: str) -> Iterator[tuple[str, str, int]]:
     """(instance, type, address) of a header's #defines, given directly or by a _BASE name (with an offset)."""
     plain: dict[str, str] = dict(re.findall(r"#define\s+(\w+)\s+(.+?)\s*(?:/\*|//|$)", text, re.MULTILINE))

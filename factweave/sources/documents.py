@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions.ids import literal_integer
+
 #: Versions of the sink registry that are read.
 REGISTRY_VERSIONS = ("v1", "v2")
 
@@ -36,6 +38,20 @@ def sink_registry(raw: DataFrame) -> DataFrame:
     return rows.filter("name <> ''").groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("n", "version")).alias("r")).select("name", "r.*")
 
 
+def hardware_profiles(raw: DataFrame) -> DataFrame:
+    """The registers of hardware profiles: (profile_id, peripheral_instance, address, instance_base, field_offset, role, access).
+
+    raw: profile_id, scope, registers array<struct<peripheral_instance, address, instance_base, field_offset, role, access array>>.
+    Profiles of one binary are left out. Addresses are decimal or hex text; one that is missing is base plus offset. The first of a
+    profile's rows of one address and role counts.
+    """
+    r = raw.filter(F.coalesce("scope", F.lit("platform")) != "binary").select("profile_id", F.posexplode("registers").alias("n", "r"))
+    base, offset = literal_integer(F.col("r.instance_base")), literal_integer(F.col("r.field_offset"))
+    rows = r.select("profile_id", "n", F.col("r.peripheral_instance").alias("peripheral_instance"), F.coalesce(literal_integer(F.col("r.address")), base + offset).alias("address"), base.alias("instance_base"), offset.alias("field_offset"), F.col("r.role").alias("role"), F.col("r.access").alias("access"))
+    rest = ["peripheral_instance", "instance_base", "field_offset", "access"]
+    return rows.filter("address IS NOT NULL").groupBy("profile_id", "address", "role").agg(F.min_by(F.struct(*rest), "n").alias("r")).select("profile_id", "address", "role", "r.*")
+
+
 def summary_pack(raw: DataFrame, compatibility: bool = False) -> DataFrame:
     """Function summaries of a pack, one row per function and output; compatibility-specific ones on demand.
 

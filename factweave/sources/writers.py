@@ -12,10 +12,16 @@ REPORT_ROWS = 10_000
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; the committer replaces the folder as a whole."""
+    """JSON lines; the committer replaces the folder as a whole."""
     df.write.mode("overwrite").json(path)
 
 
+def write_sorted_json(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """JSON lines with the columns in alphabetical order and NULLs kept, the rows ordered over the files."""
+    rows = df.orderBy(*order) if order else df
+    rows.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition."""
     df.write.mode("overwrite").option("header", True).csv(path)
