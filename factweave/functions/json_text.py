@@ -122,3 +122,44 @@ def dumps(value: Any, sort_keys: bool = False, ensure_ascii: bool = True, tight:
         else:
             out.append(encoder.encode(x))
     return "".join(out)
+
+
+_HEX = re.compile(r'"(?:[^"\\]|\\.)*"|\b0[xX]([0-9a-fA-F]+)\b')
+_FENCE = re.compile(r"^```[A-Za-z]*\s*|\s*```$")
+
+
+def repaired(text: str | None) -> tuple[dict | None, str]:
+    """The object of a text and how it was had: STRICT, or REPAIRED by leaving out fences and what stands around the outermost braces, and
+    by reading bare hex literals as numbers; (None, reason) if there is none: NO_TEXT, NOT_AN_OBJECT, UNREADABLE.
+    """
+    given = (text or "").strip()
+    if not given:
+        return None, "NO_TEXT"
+    try:
+        strict = loads(given)
+        return (strict, "STRICT") if isinstance(strict, dict) else (None, "NOT_AN_OBJECT")
+    except ValueError:
+        pass
+    inner = _FENCE.sub("", given)
+    inner = inner[inner.find("{") : inner.rfind("}") + 1]
+    inner = _HEX.sub(lambda m: str(int(m[1], 16)) if m[1] else m[0], inner)
+    try:
+        value = loads(inner) if inner else None
+    except ValueError:
+        value = None
+    return (value, "REPAIRED") if isinstance(value, dict) else (None, "UNREADABLE")
+
+
+def strings(value: Any) -> list[str]:
+    """All strings of a value, in order, at any depth; the names of members are none."""
+    found: list[str] = []
+    work = [value]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            found.append(x)
+        elif isinstance(x, dict):
+            work += reversed(x.values())
+        elif isinstance(x, list):
+            work += reversed(x)
+    return found

@@ -31,3 +31,34 @@ def words(c: Column) -> Column:
 def without_format_characters(c: Column) -> Column:
     """c without characters of category Cf."""
     return F.regexp_replace(c, r"\p{Cf}+", "")
+
+
+def provenance_name(text: Column, prefix: str, explicit: Column) -> Column:
+    """The function named by a provenance text: what follows `prefix` and one of '.:/', else, for explicit provenance, what follows
+    'handle_' or the last dotted name before a parenthesis, else the text before one. Names of NVRAM access and of receiving are
+    one name each. NULL and blank give ''.
+    """
+    low = F.lower(stripped(F.coalesce(text, F.lit(""))))
+    after = F.regexp_extract(low, prefix + r"[.:/]([a-z0-9_]+)", 1)
+    handler = F.regexp_extract(low, r"handle_([a-z0-9_]+)", 1)
+    before = F.split(low, r"\(", 2)[0]
+    dotted = F.when(handler != "", handler).otherwise(F.substring_index(before, ".", -1))
+    name = F.when(after != "", after).when(explicit, dotted).otherwise(before)
+    return F.when(name.contains("nvram"), "nvram").when(name.contains("recv"), "recv").otherwise(name)
+
+
+def seconds(c: Column) -> Column:
+    """A duration as seconds: '90', '90s', '5m', '2h', '[h:]m:s[.f]'; NULL for anything else."""
+    t = F.lower(stripped(c))
+    unit = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)\s*(s|sec|m|min|h)?$", 2)
+    amount = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)\s*(?:s|sec|m|min|h)?$", 1)
+    clock = t.rlike(r"^(\d+:)?\d{1,2}:\d{1,2}(\.\d+)?$")
+    parts = F.reverse(F.split(t, ":"))
+    total = F.get(parts, F.lit(0)).try_cast("double") + F.get(parts, F.lit(1)).try_cast("double") * 60 + F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(0.0)) * 3600
+    factor = F.when(unit.startswith("m"), 60).when(unit == "h", 3600).otherwise(1)
+    return F.when(clock, total).when(amount != "", amount.try_cast("double") * factor)
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with sorted keys and no blanks; NULL for what is no JSON."""
+    return F.to_json(F.try_parse_json(c))

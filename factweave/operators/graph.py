@@ -310,3 +310,43 @@ def classify_objects(accesses: DataFrame, object_col: str, kind: str) -> DataFra
         F.count_if(F.col(kind) == "WRITE").alias("writes"), F.count_if(F.col(kind) == "READ").alias("reads"), F.count_distinct("function_id").alias("functions")
     )
     return g.withColumn("shared", (F.col("writes") > 0) & (F.col("reads") > 0) & (F.col("functions") > 1))
+
+
+#: Parts of names of functions that look like a task's entry.
+TASK_NAMES = ("task", "thread", "worker", "work_q")
+
+
+def execution_contexts(functions: DataFrame, calls: DataFrame, explicit: DataFrame | None = None, deterministic: bool = False, rounds: int = 10_000) -> DataFrame:
+    """(function, contexts, provenance) of every function: the contexts that reach it along calls, sorted, and where they come from.
+
+    functions: function, name, interrupt, entry; calls: caller, callee, mnemonic; explicit: function, context, provenance (rows that are proved).
+    Roots are interrupt entries and main; without `deterministic` names that look like a task's, and only direct calls are
+    followed; with it program entries and explicit rows, and resolved indirect calls are followed, too, as a hop of their own kind.
+    A function that nothing reaches is 'ctx:unknown', or has no context if deterministic. Per context the provenance of the
+    fewest hops counts, the least of equals.
+    """
+    f = functions.select("function", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("interrupt", F.lit(False)).alias("interrupt"), F.coalesce("entry", F.lit(False)).alias("entry"))
+    root = lambda when, context, source: F.when(when, F.struct(context.alias("context"), F.lit(source).alias("provenance")))
+    of = lambda kind: F.concat(F.lit(f"ctx:{kind}:"), F.col("function").cast("string"))
+    looks = reduce(lambda a, b: a | b, (F.lower("name").contains(t) for t in TASK_NAMES))
+    if deterministic:
+        roots = [root(F.col("interrupt"), of("isr"), "DETERMINISTIC_VECTOR_ISR"), root(F.col("name") == "main", F.lit("ctx:main"), "DETERMINISTIC_MAIN_SYMBOL"), root(F.col("entry"), of("entry"), "DETERMINISTIC_PROGRAM_ENTRY")]
+    else:
+        roots = [root(F.col("interrupt"), of("isr"), "CALLGRAPH_FROM_VECTOR_ISR"), root(F.col("name") == "main", F.lit("ctx:main"), "CALLGRAPH_FROM_MAIN"), root(looks, of("task"), "CALLGRAPH_FROM_HEURISTIC_TASK_ENTRY")]
+    seeds = f.select("function", F.explode(F.array_compact(F.array(*roots))).alias("r")).select("function", "r.*")
+    if deterministic and explicit is not None:
+        seeds = seeds.unionByName(explicit.select("function", "context", F.coalesce("provenance", F.lit("DETERMINISTIC_EXPLICIT_CONTEXT")).alias("provenance")).filter("context <> ''").join(f.select("function"), "function", "left_semi"))
+    followed = calls.filter(F.col("mnemonic").isin("CALL", "CALLIND") if deterministic else F.col("mnemonic") == "CALL")
+    known = f.select(F.col("function").alias("callee")).distinct()
+    edges = followed.join(known, "callee", "left_semi").groupBy("caller", "callee").agg(F.bool_and(F.col("mnemonic") == "CALLIND").alias("indirect"))
+    edges = checkpoint(edges.select(F.col("caller").alias("function"), F.col("callee").alias("next"), F.when(F.col("indirect"), "+EXACT_CALLIND").otherwise("+DIRECT_CALL").alias("hop")))
+
+    def step(delta: DataFrame) -> DataFrame:
+        moved = delta.join(edges, "function")
+        source = F.concat("provenance", "hop") if deterministic else F.col("provenance")
+        return moved.select(F.col("next").alias("function"), "context", (F.col("hops") + 1).cast("int").alias("hops"), source.alias("provenance"))
+
+    found = whole(relaxation(seeds.withColumn("hops", F.lit(0)), step, ["function", "context"], ["hops"], rounds, ["provenance"]))
+    told = found.groupBy("function").agg(F.array_sort(F.collect_set("context")).alias("contexts"), F.array_join(F.array_sort(F.collect_set("provenance")), "+").alias("provenance"))
+    none = (F.array().cast("array<string>"), "NO_DETERMINISTIC_EXECUTION_CONTEXT") if deterministic else (F.array(F.lit("ctx:unknown")), "UNKNOWN_EXECUTION_CONTEXT")
+    return f.select("function").distinct().join(told, "function", "left").select("function", F.coalesce("contexts", none[0]).alias("contexts"), F.coalesce("provenance", F.lit(none[1])).alias("provenance"))

@@ -177,3 +177,17 @@ def display_binding(candidates: DataFrame, left: str, right: str, score: str) ->
     best = top.filter((F.col(score) == F.col("__lm")) & (F.col(score) == F.col("__rm")))
     alone = best.withColumn("__ln", F.count(F.lit(1)).over(lw)).withColumn("__rn", F.count(F.lit(1)).over(rw))
     return alone.filter("__ln = 1 AND __rn = 1").select(left, right, score)
+
+
+def object_for_address(points: DataFrame, ranges: DataFrame, symbols: DataFrame, point: str, width: int = 4096) -> DataFrame:
+    """Each distinct address with its object: (address, base, name, identity).
+
+    ranges: start, end (both within), name, the tightest of which counts; else the least symbol (address, name) at the address itself; else the address.
+    """
+    asked = points.select(F.col(point).cast("bigint").alias("address")).filter("address IS NOT NULL").distinct()
+    held = ranges.select(F.col("start").cast("bigint").alias("start"), (F.col("end") + 1).cast("bigint").alias("end"), F.struct("start", "name").alias("held"))
+    tight = tightest_container(asked, held, [], "address", "start", "end", "held", width)
+    exact = symbols.groupBy(F.col("address").cast("bigint").alias("address")).agg(F.min("name").alias("exact"))
+    both = tight.join(exact, "address", "left")
+    identity = F.when(F.col("container").isNotNull(), "ELF_OBJECT_SYMBOL_RANGE").when(F.col("exact").isNotNull(), "ELF_SYMBOL_EXACT_ADDRESS").otherwise("EXACT_ADDRESS")
+    return both.select("address", F.coalesce("container.start", "address").alias("base"), F.coalesce("container.name", "exact", F.lit("")).alias("name"), identity.alias("identity"))

@@ -219,3 +219,21 @@ def flat_table(tagged: DataFrame, tag: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One table of what write_tagged wrote; the tag's folder alone is read. Empty if no row has the tag."""
     return flat_table(spark.read.schema(TAGGED).parquet(path), tag)
+
+
+def body_shapes(ops: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(record_id, function_id, shape) of every function with operations: a hash of their mnemonics, constants and sizes in order.
+
+    Names and addresses of values don't count, so functions that were only moved have one shape. Takes the tables of the tags.
+    """
+    value = F.when(F.col("space") == "const", F.concat(F.lit("c"), F.coalesce(F.nullif("value_id", F.lit("")), "object_id", F.lit("")))).otherwise(F.coalesce(F.col("size").cast("string"), F.lit("")))
+
+    def signed(df: DataFrame, name: str) -> DataFrame:
+        one = F.array_sort(F.collect_list(F.struct("pos", "node_no", value.alias("sig"))))
+        return df.groupBy("record_id", F.col("parent_no").alias("node_no")).agg(F.array_join(F.transform(one, lambda x: x["sig"]), ",").alias(name))
+
+    key = ["record_id", "node_no"]
+    all_of = ops.select(*key, "parent_no", "function_id", "mnemonic").join(signed(inputs, "i"), key, "left").join(signed(outputs, "o"), key, "left")
+    text = F.concat("mnemonic", F.lit("("), F.coalesce("i", F.lit("")), F.lit(")"), F.coalesce("o", F.lit("")))
+    held = all_of.groupBy("record_id", "parent_no", "function_id").agg(F.array_sort(F.collect_list(F.struct("node_no", text.alias("t")))).alias("ts"))  # a function's operations
+    return held.select("record_id", "function_id", F.sha2(F.array_join(F.transform("ts", lambda x: x["t"]), ";"), 256).alias("shape"))

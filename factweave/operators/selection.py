@@ -85,3 +85,24 @@ def partition_faults(items: DataFrame, groups: DataFrame, item: str, group: str)
     i = items.filter(F.col(item).isNotNull()).select(item).distinct().withColumn("__item", F.lit(True))
     reason = F.when(F.col("__item").isNull(), "not_an_item").when(F.col("n").isNull(), "in_no_group").when(F.col("n") > 1, "in_several_groups")
     return i.join(g, item, "full_outer").select(item, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+#: Fixed value: a C string literal, or several in a row.
+LITERAL = r'^"(?:[^"\\]|\\.)*"(?:\s*"(?:[^"\\]|\\.)*")*$'
+
+
+def format_exclusion(required: Column, known: Column, expression: Column, readonly: Column) -> Column:
+    """Why a sink that needs a format that isn't literal is excluded; NULL if it isn't.
+
+    required: whether the rule asks for it; known: whether the format's node is known; readonly: whether it lies in initialised read-only memory.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    why = F.when(~yes(known), "missing_format_parameter").when(yes(expression.rlike(LITERAL)), "literal_format").when(yes(readonly), "readonly_format_object")
+    return F.when(yes(required), why)
+
+
+def audit_partition(rows: DataFrame, specs: DataFrame, method: str) -> DataFrame:
+    """Rows with audit_only, true for those of rules (specs: id, audit_only) that are for audits only or that say so themselves."""
+    only = specs.filter("audit_only AND id <> ''").select(F.col("id").alias(method)).distinct().withColumn("__only", F.lit(True))
+    own = F.coalesce(F.col("audit_only"), F.lit(False)) if "audit_only" in rows.columns else F.lit(False)
+    return rows.join(only, method, "left").withColumn("audit_only", F.coalesce("__only", F.lit(False)) | own).drop("__only")

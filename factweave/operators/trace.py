@@ -80,3 +80,23 @@ def all_observed(wanted: DataFrame, seen: DataFrame, keys: Sequence[str], on: Se
     """(keys, observed): whether everything wanted of a group was seen."""
     marks = wanted.join(seen.select(*on).distinct().withColumn("__seen", F.lit(True)), list(on), "left")
     return marks.groupBy(*keys).agg(F.bool_and(F.coalesce("__seen", F.lit(False))).alias("observed"))
+
+
+#: What a run's log says of a fault.
+INVALID_ACCESS = r"(?i)\[\s*(0x[0-9a-f]+)\s*\]\s+INVALID\s+(WRITE|READ|FETCH):\s+addr=\s*(0x[0-9a-f]+)"
+EMULATOR_ERROR = r"\b(UC_ERR_[A-Z0-9_]+)\b"
+CRASH_SIGNAL = r"(?i)\bEmulation crashed with signal\s+([0-9]+)\b"
+CRASH = r"(?i)\bCRASH DETECTED\b"
+
+
+def fault_signature(log: Column, code: Column) -> Column:
+    """T5: what a run's log and exit code say of its fault: the last invalid access, else the last emulator error, else a signal, else a crash; NULL if none."""
+    text = F.coalesce(log, F.lit(""))
+    last = lambda found: F.try_element_at(found, F.lit(-1))
+    every = lambda pattern, group: last(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    plain = lambda hexed: F.concat(F.lit("0x"), F.coalesce(F.nullif(F.regexp_replace(F.lower(F.substring(hexed, 3, 40)), "^0+", ""), F.lit("")), F.lit("0")))
+    access = F.concat(F.lit("INVALID_"), F.upper(every(INVALID_ACCESS, 2)), F.lit(":pc="), plain(every(INVALID_ACCESS, 1)), F.lit(":addr="), plain(every(INVALID_ACCESS, 3)))
+    errors = last(F.filter(F.regexp_extract_all(F.upper(text), F.lit(EMULATOR_ERROR), F.lit(1)), lambda e: e != "UC_ERR_OK"))
+    signal = F.concat(F.lit("SIGNAL:"), every(CRASH_SIGNAL, 1).try_cast("bigint").cast("string"))
+    exit_signal = F.when(code < 0, F.concat(F.lit("SIGNAL:"), (-code).cast("string"))).when(code.between(128, 192), F.concat(F.lit("SIGNAL:"), (code - 128).cast("string")))
+    return F.coalesce(access, errors, signal, exit_signal, F.when(text.rlike(CRASH), "CRASH_DETECTED"))

@@ -3,9 +3,9 @@
 import pytest
 from oracle import DATA, check
 
-from factweave.plans import association_queries, corpus_queries, derived_queries, fact_queries, graph_queries, pattern_queries, relational, search_queries, selection_queries, text_queries
+from factweave.plans import association_queries, corpus_queries, derived_queries, fact_queries, graph_queries, pattern_queries, relational, rule_queries, search_queries, selection_queries, text_queries
 
-MODULES = [corpus_queries, fact_queries, graph_queries, search_queries, association_queries, derived_queries, relational, text_queries, pattern_queries, selection_queries]
+MODULES = [corpus_queries, fact_queries, graph_queries, search_queries, rule_queries, association_queries, derived_queries, relational, text_queries, pattern_queries, selection_queries]
 ALL = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
