@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from factweave.functions.text import WHITE_SPACE, key
 from factweave.operators import cfg, match, rank, trace
 from factweave.plans.fact_queries import _D, _KEY, delivered
 from factweave.plans.graph_queries import op_values
-from factweave.session import table
-from factweave.sources import ctext, traces
+from factweave.session import checkpoint, table
+from factweave.sources import ctext, ingress, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,6 +150,31 @@ def g10_dominators(spark, d):
     return cfg.dominators(day_graphs(spark, d), ["user_id", "day"], "entry")
 
 
+#: Registries that stand in for those no table carries: classes of expressions, and tokens of names.
+CLASSES = [("DATA", r"\bDAT_\w*[0-7]\b"), ("UNKNOWN_MMIO", r"\b_?DAT_")]
+TOKENS = ["read", "recv", "rx", "parse", "probe", "handle"]
+
+
+def _program_text(spark, d):
+    return ingress.Text(table(spark, d, "function_corpus"), "function_row_id", "body")
+
+
+@query()
+def src_rule_scans(spark, d):
+    """Every rule of ingress over the corpus, with registries by tokens of names; tests hold the rules against cases."""
+    t = _program_text(spark, d)
+    names = t.calls.select("callee").distinct()
+    api = names.filter("callee LIKE '%store%'").select("callee", F.lit(0).alias("buffer_arg"), F.lit(1).alias("length_arg"), F.lit("BYTE_STREAM_INGRESS").alias("label"))
+    returns = names.filter("callee LIKE '%check%'").select("callee", F.lit("BYTE_STREAM_INGRESS").alias("label"))
+    framework = t.functions.filter("function LIKE '%handle%'").select("function", F.lit(0).alias("buffer_param"), F.lit("BYTE_STREAM_INGRESS").alias("label")).distinct()
+    summaries = checkpoint(ingress.body_summaries(t, CLASSES))
+    parts = [
+        ingress.api_sources(t, api), ingress.return_sources(t, returns), ingress.framework_sources(t, framework), ingress.register_sources(t, CLASSES), ingress.body_derived_sources(t, summaries),
+        ingress.complex_bodies(t, CLASSES), ingress.callsite_candidates(t, TOKENS), ingress.function_candidates(t, TOKENS),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def g11_natural_loops(spark, d):
     """Loops of the day graphs; tests hold them against a definition by node removal."""
