@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.fixpoint import MERGE
 from factweave.operators.graph import MAX_CHANNEL_DEPTH
 from factweave.session import checkpoint
 
@@ -134,16 +135,23 @@ class Associations:
 
 def _spread(seen: DataFrame | None, start: DataFrame, flows: Flows, rounds: int) -> tuple[DataFrame, bool]:
     """seen with start and all that the rules make of it, and whether the rounds sufficed."""
-    old = lambda df: df.select(*KEYS, F.struct(*_COST).alias("__old"))
-    better = lambda new, df: new.join(old(df), list(KEYS), "left").filter(F.col("__old").isNull() | (F.struct(*_COST) < F.col("__old"))).drop("__old")
-    delta = checkpoint(_best(start) if seen is None else better(_best(start), seen))
-    seen = delta if seen is None else checkpoint(_best(seen.unionByName(delta)))
+
+    def improved(new: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        new = checkpoint(new)
+        met = reduce(DataFrame.unionByName, parts).join(new.select(*KEYS), list(KEYS), "left_semi").groupBy(*KEYS).agg(F.min(F.struct(*_COST)).alias("__old"))
+        return checkpoint(new.join(met, list(KEYS), "left").filter(F.col("__old").isNull() | (F.struct(*_COST) < F.col("__old"))).drop("__old"))
+
+    delta = checkpoint(_best(start)) if seen is None else improved(_best(start), [seen])
+    parts = [delta] if seen is None else [seen, delta]
+    whole = lambda: checkpoint(_best(reduce(DataFrame.unionByName, parts)))
     for _ in range(rounds):
         if delta.isEmpty():
-            return seen, True
-        delta = checkpoint(better(_best(apply_rules(delta, seen, flows)), seen))
-        seen = checkpoint(_best(seen.unionByName(delta)))
-    return seen, delta.isEmpty()
+            return whole(), True
+        delta = improved(_best(apply_rules(delta, reduce(DataFrame.unionByName, parts), flows)), parts)
+        parts.append(delta)
+        if len(parts) > MERGE:
+            parts[:] = [whole()]
+    return whole(), delta.isEmpty()
 
 
 def _limited(start: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:

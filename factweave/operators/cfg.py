@@ -105,6 +105,28 @@ def dominators(edges: DataFrame, keys: Sequence[str], entry: str) -> DataFrame:
     return _per_graph(edges, keys, entry, _dominator_rows, [("block", pa.string(), "string"), ("dominator", pa.string(), "string")])
 
 
+def with_roots(edges: DataFrame, keys: Sequence[str], every: bool = False) -> DataFrame:
+    """edges (keys, src, dst) with the entry that their form tells: the least block without a predecessor, else the least block.
+
+    With every, all blocks without a predecessor are entries: they follow a block '' that is the entry.
+    """
+    e = edges.select(*keys, "src", "dst").distinct()
+    reached = e.filter("dst IS NOT NULL").select(*keys, F.col("dst").alias("src")).distinct()
+    roots = e.select(*keys, "src").distinct().join(reached, [*keys, "src"], "left_anti")
+    least = e.groupBy(*keys).agg(F.min("src").alias("least"))
+    if not every:
+        entry = least.join(roots.groupBy(*keys).agg(F.min("src").alias("root")), list(keys), "left").select(*keys, F.coalesce("root", "least").alias("entry"))
+        return e.join(entry, list(keys))
+    rootless = least.join(roots.select(*keys).distinct(), list(keys), "left_anti").select(*keys, F.col("least").alias("src"))
+    first = roots.unionByName(rootless).select(*keys, F.lit("").alias("src"), F.col("src").alias("dst"))
+    return e.unionByName(first).withColumn("entry", F.lit(""))
+
+
+def root_dominators(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Dominators where every block without a predecessor is an entry: d dominates b if no entry leads to b without d."""
+    return dominators(with_roots(edges, keys, every=True), keys, "entry").filter("block <> '' AND dominator <> ''")
+
+
 def _loop_rows(pairs: list[tuple[str, str]], entry: str) -> list[tuple]:
     up = immediate_dominators(pairs, entry)
     pred: dict[str, set[str]] = {}

@@ -1,7 +1,9 @@
 """Semi-naive fixed points over DataFrames.
 
-Each round joins only the states that are new, drops those known, and appends the rest. Lineage is cut with
-a checkpoint per round in the shared folder, so a lost executor costs a re-read and no recomputation. Rounds
+Each round joins only the states that are new, drops those known, and appends the rest. What is known is a list of
+checkpointed rounds: of it a round looks only at the keys that have come up, so while those are few they are broadcast and the known
+states are read, but neither moved nor written again; every few rounds the list is merged. Lineage is cut with
+a checkpoint in the shared folder, so a lost executor costs a re-read and no recomputation. Rounds
 are bounded; a run that is cut off says so instead of looking complete.
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +28,29 @@ class Result:
     rounds: int
 
 
+#: Rounds that are kept apart before they are merged.
+MERGE = 16
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int) -> Result:
     """The distinct rows reachable from seeds by step; step takes the new rows and returns rows of their shape."""
     columns = seeds.columns
     delta = checkpoint(seeds.distinct())
-    seen = delta
+    parts = [delta]
     for n in range(rounds):
-        grown = step(delta).select(columns).distinct().join(seen, columns, "left_anti")
-        delta = checkpoint(grown)
+        grown = checkpoint(step(delta).select(columns).distinct())
+        met = _union(parts).join(grown, columns, "left_semi")
+        delta = checkpoint(grown.join(met, columns, "left_anti"))
         if delta.isEmpty():
-            return Result(seen, True, n)
-        seen = seen.unionByName(delta)
-    return Result(seen, False, rounds)
+            return Result(_union(parts), True, n)
+        parts.append(delta)
+        if len(parts) > MERGE:
+            parts = [checkpoint(_union(parts).repartition(*columns))]
+    return Result(_union(parts), False, rounds)
 
 
 def relaxation(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], cost: Sequence[str], rounds: int, carried: Sequence[str] = ()) -> Result:
@@ -52,15 +66,17 @@ def relaxation(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: S
         return df.select(columns).groupBy(*keys).agg(F.min(order).alias("b")).select(*keys, "b.*")
 
     delta = checkpoint(best(seeds))
-    seen = delta
+    parts = [delta]
     for n in range(rounds):
-        old = seen.select(*keys, F.struct(*cost).alias("__old"))
-        better = best(step(delta)).join(old, list(keys), "left").filter(F.col("__old").isNull() | (F.struct(*cost) < F.col("__old"))).drop("__old")
-        delta = checkpoint(better)
+        new = checkpoint(best(step(delta)))
+        met = _union(parts).join(new.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.min(F.struct(*cost)).alias("__old"))
+        delta = checkpoint(new.join(met, list(keys), "left").filter(F.col("__old").isNull() | (F.struct(*cost) < F.col("__old"))).drop("__old"))
         if delta.isEmpty():
-            return Result(seen, True, n)
-        seen = checkpoint(best(seen.unionByName(delta)))
-    return Result(seen, False, rounds)
+            return Result(checkpoint(best(_union(parts))), True, n)
+        parts.append(delta)
+        if len(parts) > MERGE:
+            parts = [checkpoint(best(_union(parts)))]
+    return Result(checkpoint(best(_union(parts))), False, rounds)
 
 
 def alternate(state: DataFrame, outer: Callable[[DataFrame], DataFrame], rounds: int) -> Result:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.ids import alias_keys
+from factweave.operators.spread import paired
 
 
 def alias_join(left: DataFrame, right: DataFrame, left_object: str, right_object: str, left_id: str, right_id: str) -> DataFrame:
@@ -22,29 +23,55 @@ def alias_join(left: DataFrame, right: DataFrame, left_object: str, right_object
     ra = ro.select("__ro", F.explode(alias_keys("__ro")).alias("__alias"))
     same = la.join(ra, "__alias").select("__lo", "__ro").distinct()
     l2 = left.select(F.col(left_object).alias("__lo"), left_id)
-    r2 = right.select(F.col(right_object).alias("__ro"), right_id)
-    return same.join(l2, "__lo").join(r2, "__ro").select(left_id, right_id).distinct()
+    r2 = right.select(F.col(right_object).alias("__ro"), right_id).filter("__ro IS NOT NULL").distinct()
+    # a hot object's right rows are joined in blocks
+    return paired(same.join(l2, "__lo").select("__ro", left_id).distinct(), r2, "__ro", right_id).select(left_id, right_id).distinct()
+
+
+def _level(length: Column, width: int) -> Column:
+    """How often `width` must be doubled to hold the length."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(width)))).cast("int")
+
+
+def _levels(df: DataFrame, column: str) -> list[int]:
+    return sorted(r[0] for r in df.select(column).distinct().collect())  # at most 64
+
+
+def _placed(level: Column, low: Column, high: Column, width: int, levels: list[int]) -> Column:
+    """(level, first, bucket) of an interval [low, high) on its own level and those above it, at most two buckets each."""
+    at = lambda x, n: F.floor(x / F.lit(width * 2**n)).cast("bigint")
+    each = [F.when(level <= n, F.transform(F.sequence(at(low, n), at(high - 1, n)), lambda b: F.struct(F.lit(n).alias("level"), at(low, n).alias("first"), b.alias("bucket")))) for n in levels]
+    return F.explode(F.flatten(F.array_compact(F.array(*each))))
 
 
 def interval_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, width: int, suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
     """Pairs of distinct half-open intervals of equal keys that overlap, with the shared range.
 
     Rows are first brought to distinct (keys, start, end) with a count of the rows behind each (rows_l,
-    rows_r): copies are never multiplied out, and membership is an equi-join on the three. An interval is
-    put into every bucket of `width` it touches and a pair is taken only in the first bucket both touch, so
-    a hot key is spread over its buckets. NULL keys or bounds and empty intervals match nothing.
+    rows_r): copies are never multiplied out, and membership is an equi-join on the three. An interval has the level
+    of its length (`width` doubled as often as it takes) and lies in the buckets, at most two each, of its level and of those above it that occur. A pair
+    is taken on the coarser of its levels, in the first bucket both touch; so a hot key is spread over its buckets, and a
+    long interval is not cut into many. NULL keys or bounds and empty intervals match nothing.
     """
     sl, sr = suffixes
 
     def classes(df: DataFrame, s: str) -> DataFrame:
         held = df.filter(F.col(start) < F.col(end)).groupBy(*keys, F.col(start).alias(f"start{s}"), F.col(end).alias(f"end{s}")).agg(F.count(F.lit(1)).alias(f"rows{s}"))
-        low, high = F.floor(F.col(f"start{s}") / width), F.floor((F.col(f"end{s}") - 1) / width)
-        return held.withColumn(f"__first{s}", low).withColumn("__bucket", F.explode(F.sequence(low, high)))
+        return held.withColumn(f"__own{s}", _level(F.col(f"end{s}") - F.col(f"start{s}"), width))
+
+    given = lambda df: df.filter(F.col(start) < F.col(end)).select(_level(F.col(end) - F.col(start), width).alias("__l"))
+    levels = _levels(given(left).unionByName(given(right)), "__l")
+
+    def placed(df: DataFrame, s: str) -> DataFrame:
+        if not levels:
+            return df.withColumns({"__level": F.lit(0), f"__first{s}": F.lit(0), "__bucket": F.lit(0)})
+        at = df.withColumn("__p", _placed(F.col(f"__own{s}"), F.col(f"start{s}"), F.col(f"end{s}"), width, levels))
+        return at.withColumns({"__level": F.col("__p.level"), f"__first{s}": F.col("__p.first"), "__bucket": F.col("__p.bucket")}).drop("__p")
 
-    l, r = classes(left, sl), classes(right, sr)  # noqa: E741
+    l, r = placed(classes(left, sl), sl), placed(classes(right, sr), sr)  # noqa: E741
     overlap = F.greatest(f"start{sl}", f"start{sr}") < F.least(f"end{sl}", f"end{sr}")
-    once = F.col("__bucket") == F.greatest(f"__first{sl}", f"__first{sr}")
-    return l.join(r, [*keys, "__bucket"]).filter(overlap & once).select(
+    once = (F.col("__bucket") == F.greatest(f"__first{sl}", f"__first{sr}")) & (F.col("__level") == F.greatest(f"__own{sl}", f"__own{sr}"))
+    return l.join(r, [*keys, "__level", "__bucket"]).filter(overlap & once).select(
         *keys, f"start{sl}", f"end{sl}", f"rows{sl}", f"start{sr}", f"end{sr}", f"rows{sr}",
         F.greatest(f"start{sl}", f"start{sr}").alias("shared_start"), F.least(f"end{sl}", f"end{sr}").alias("shared_end"),
     )
@@ -53,13 +80,17 @@ def interval_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], st
 def tightest_container(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, name: str, width: int) -> DataFrame:
     """Each point with the smallest (length, start, name) half-open interval of its keys that covers it.
 
-    Points in no interval keep a NULL name. Distinct points are looked up once, by buckets as above.
+    Points in no interval keep a NULL name. Distinct points are looked up once, on each level of length that occurs; an interval
+    lies in the buckets of its own level only, at most two.
     """
-    low, high = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
-    held = intervals.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__n"), F.explode(F.sequence(low, high)).alias("__bucket"))
-    asked = points.select(*keys, F.col(point).alias("__p")).distinct().withColumn("__bucket", F.floor(F.col("__p") / width))
+    own = intervals.filter(F.col(start) < F.col(end)).withColumn("__l", _level(F.col(end) - F.col(start), width))
+    levels = _levels(own, "__l") or [0]
+    bucket = lambda x: F.coalesce(*(F.when(F.col("__l") == n, F.floor(x / F.lit(width * 2**n)).cast("bigint")) for n in levels))
+    held = own.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__n"), "__l", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1))).alias("__bucket"))
+    asked = points.select(*keys, F.col(point).alias("__p")).distinct().withColumn("__l", F.explode(F.array(*(F.lit(n) for n in levels))))
+    asked = asked.withColumn("__bucket", bucket(F.col("__p")))
     best = (
-        asked.join(held, [*keys, "__bucket"]).filter("__p >= __s AND __p < __e").groupBy(*keys, "__p")
+        asked.join(held, [*keys, "__l", "__bucket"]).filter("__p >= __s AND __p < __e").groupBy(*keys, "__p")
         .agg(F.min(F.struct((F.col("__e") - F.col("__s")).alias("length"), F.col("__s").alias("start"), F.col("__n").alias("name"))).alias("__b"))
     )
     found = best.select(*keys, F.col("__p").alias(point), F.col("__b.name").alias("container"), F.col("__b.length").alias("container_length"))

@@ -112,3 +112,23 @@ def last_items(array: Column | str, n: int) -> Column:
     """The last n items of an array."""
     a = F.col(array) if isinstance(array, str) else array
     return F.when(F.size(a) > n, F.slice(a, F.size(a) - (n - 1), n)).otherwise(a)
+
+
+def context_pairs(objects: DataFrame, k: int) -> DataFrame:
+    """Per object its best k pairs of a producer and a consumer context: (object, src, dst, score, place).
+
+    objects: object, ordinal, producers, consumers (arrays), confidence, quality, ambiguity, dma_buffer. A pair has two contexts, is not from
+    DMA or ISR straight to TASK, and has no unknown one unless DMA produces. The score is 0.55 confidence + 0.35 quality - 0.15 ambiguity, with 0.1
+    for DMA and 0.05 for its buffers, each at most 1 in all. Ties go to the earlier producer, then consumer. A pair that occurs again for
+    the same object, in a later row by ordinal, is dropped after the cut. An object's contexts are few.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    each = objects.select("object", "ordinal", F.posexplode("producers").alias("i", "src"), "consumers", "confidence", "quality", "ambiguity", "dma_buffer").withColumns({"d": F.explode(F.arrays_zip(F.transform("consumers", lambda _, n: n).alias("j"), F.col("consumers").alias("dst")))})
+    pair = each.select("object", "ordinal", "i", F.col("d.j").alias("j"), "src", F.col("d.dst").alias("dst"), "confidence", "quality", "ambiguity", "dma_buffer")
+    pair = pair.filter((src != dst) & ~(src.isin("DMA", "ISR") & (dst == "TASK")) & ((src == "DMA") | ((src != "UNKNOWN") & (dst != "UNKNOWN"))))
+    base = 0.55 * F.col("confidence") + 0.35 * F.col("quality") - 0.15 * F.col("ambiguity")
+    dma = F.when(src == "DMA", F.least(F.lit(1.0), base + 0.10)).otherwise(base)
+    score = F.when(F.col("dma_buffer"), F.least(F.lit(1.0), dma + 0.05)).otherwise(dma)
+    best = top_k(pair.withColumn("score", score), ["object", "ordinal"], [F.desc("score"), F.asc("i"), F.asc("j")], k).filter("selected")
+    first = best.groupBy("object", "src", "dst").agg(F.min_by(F.struct("score", "place"), F.col("ordinal")).alias("b"))
+    return first.select("object", "src", "dst", F.round("b.score", 4).alias("score"), F.col("b.place").alias("place"))

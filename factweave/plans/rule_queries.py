@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import text
-from factweave.operators import graph, joins, json_columns, match, nested, selection, trace
+from factweave.operators import graph, joins, json_columns, match, nested, rank, selection, trace
 from factweave.plans.corpus_sql import nodes_cte
 from factweave.session import scratch, table
 
@@ -171,3 +171,23 @@ def t5_fault_signatures(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(n == 3, -(c % 60)).when(n == 4, 137).when(n == 2, -6).otherwise(1)
     code = F.when((n == 3) & (c % 60 == 0), 128).otherwise(code)
     return table(spark, d, "orders").select("o_orderkey", trace.fault_signature(log, code).alias("signature"))
+
+
+@query(
+    """WITH o AS (SELECT user_id AS object, event_id AS ordinal, event_id % 11 / 10 AS confidence, event_id % 7 / 6 AS quality, event_id % 5 / 4 AS ambiguity, event_id % 4 = 0 AS buffer, CASE event_id % 3 WHEN 0 THEN ['DMA', 'ISR'] WHEN 1 THEN ['ISR', 'MAIN', 'UNKNOWN'] ELSE ['MAIN'] END AS p, CASE WHEN event_id % 2 = 0 THEN ['MAIN', 'TASK'] ELSE ['TASK', 'UNKNOWN', 'DMA'] END AS c FROM events),
+x AS (SELECT *, unnest(p) AS src, generate_subscripts(p, 1) AS i FROM o), y AS (SELECT *, unnest(c) AS dst, generate_subscripts(c, 1) AS j FROM x),
+z AS (SELECT *, 0.55 * confidence + 0.35 * quality - 0.15 * ambiguity AS base FROM y WHERE src <> dst AND NOT (src IN ('DMA', 'ISR') AND dst = 'TASK') AND (src = 'DMA' OR (src <> 'UNKNOWN' AND dst <> 'UNKNOWN'))),
+s AS (SELECT *, CASE WHEN src = 'DMA' THEN least(1, base + 0.1) ELSE base END AS dma FROM z), w AS (SELECT *, CASE WHEN buffer THEN least(1, dma + 0.05) ELSE dma END AS score FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY object, ordinal ORDER BY score DESC, i, j) AS place FROM w QUALIFY place <= 2)
+SELECT object, src, dst, round(arg_min(score, ordinal), 4) AS score, arg_min(place, ordinal) AS place FROM k GROUP BY object, src, dst"""
+)
+def d2_scored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rows of their users' objects, with contexts and scores by their numbers."""
+    n = F.col("event_id")
+    words = lambda *w: F.array(*(F.lit(x) for x in w))
+    producers = F.when(n % 3 == 0, words("DMA", "ISR")).when(n % 3 == 1, words("ISR", "MAIN", "UNKNOWN")).otherwise(words("MAIN"))
+    consumers = F.when(n % 2 == 0, words("MAIN", "TASK")).otherwise(words("TASK", "UNKNOWN", "DMA"))
+    o = table(spark, d, "events").select(
+        F.col("user_id").alias("object"), n.alias("ordinal"), producers.alias("producers"), consumers.alias("consumers"), (n % 11 / 10).alias("confidence"), (n % 7 / 6).alias("quality"), (n % 5 / 4).alias("ambiguity"), (n % 4 == 0).alias("dma_buffer")
+    )
+    return rank.context_pairs(o, 2)

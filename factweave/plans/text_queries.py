@@ -13,7 +13,7 @@ from factweave.operators import cfg, match, rank, trace
 from factweave.plans.fact_queries import _D, _KEY, delivered
 from factweave.plans.graph_queries import op_values
 from factweave.session import checkpoint, table
-from factweave.sources import ctext, ingress, traces
+from factweave.sources import ctext, egress, ingress, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,6 +159,22 @@ def _program_text(spark, d):
     return ingress.Text(table(spark, d, "function_corpus"), "function_row_id", "body")
 
 
+_ROOTS = f"""{_DAYS}, e AS (SELECT DISTINCT user_id, day, src, dst FROM g), root AS (SELECT DISTINCT user_id, day, src AS b FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = e.user_id AND x.day = e.day AND x.dst = e.src)),
+start AS (SELECT * FROM root UNION SELECT user_id, day, min(src) FROM e GROUP BY 1, 2 HAVING NOT bool_or((user_id, day) IN (SELECT user_id, day FROM root)))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ROOTS}, t AS (SELECT DISTINCT user_id, day, src AS without FROM e UNION SELECT DISTINCT user_id, day, '' FROM e),
+r AS (SELECT DISTINCT t.user_id, t.day, t.without, s.b AS node FROM start s JOIN t USING (user_id, day) WHERE s.b <> t.without
+  UNION SELECT r.user_id, r.day, r.without, e.dst FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.src = r.node WHERE e.dst IS NOT NULL AND e.dst <> r.without),
+n AS (SELECT user_id, day, node AS block FROM r WHERE without = '')
+SELECT n.user_id, n.day, n.block, t.without AS dominator FROM n JOIN t USING (user_id, day) WHERE t.without <> '' AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = n.user_id AND r.day = n.day AND r.without = t.without AND r.node = n.block)"""
+)
+def g10_root_dominators(spark, d):
+    """Dominators of the day graphs with every block without a predecessor as an entry."""
+    return cfg.root_dominators(day_graphs(spark, d), ["user_id", "day"])
+
+
 @query()
 def src_rule_scans(spark, d):
     """Every rule of ingress over the corpus, with registries by tokens of names; tests hold the rules against cases."""
@@ -175,6 +191,13 @@ def src_rule_scans(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query()
+def snk_rule_scans(spark, d):
+    """Every text rule of sinks over the corpus; tests hold the rules against cases."""
+    t = _program_text(spark, d)
+    return egress.loop_writes(t, egress.scan_loops(table(spark, d, "function_corpus"), "function_row_id", "body")).unionByName(egress.parser_stores(t)).unionByName(egress.field_updates(t))
+
+
 @query()
 def g11_natural_loops(spark, d):
     """Loops of the day graphs; tests hold them against a definition by node removal."""

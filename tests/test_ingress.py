@@ -71,3 +71,37 @@ def test_candidates_by_name(spark):
     t = text(spark)
     assert rows(ingress.callsite_candidates(t, ["recv", "input"]), "callee", "buffer") == [("recv_data", "frame_buf")]
     assert rows(ingress.function_candidates(t, ["handle", "recv"]), "function", "buffer") == [("handle_packet", "struct pkt *msg")]
+
+
+SINKS = """
+void copy(char *dst, char *src, int n) {
+  for (i = 0; i < n; i = i + 1) {
+    dst[i] = src[i];
+  }
+  dst[n] = 0;
+}
+void fill(char *dst)
+{
+  while (1) *dst = _DAT_40001000;
+  do { x = 1; } while (x);
+}
+void parse(struct s *out, uint8_t *data)
+{
+  int v;
+  out->len = data[2] + 1;
+  v = *(int *)(data + 4);
+  out->size = v;
+  out->zero = 0;
+}
+"""
+
+
+def test_sinks(spark):
+    from factweave.sources import egress
+
+    df = spark.createDataFrame([(1, SINKS), (2, None), (3, "while (")], "id bigint, body string")
+    t, loops = ingress.Text(df, "id", "body"), egress.scan_loops(df, "id", "body")
+    assert rows(loops, "head", "line", "last_line") == [("do", 11, 11), ("for (i = 0; i < n; i = i + 1)", 3, 5), ("while (1)", 10, 10), ("while (x)", 11, 11)]
+    assert rows(egress.loop_writes(t, loops), "function", "line", "places", "label") == [("copy", 4, 1, "COPY_SINK"), ("fill", 10, 1, "LOOP_WRITE_SINK")]
+    assert rows(egress.parser_stores(t), "function", "line", "places") == [("parse", 16, 1)]
+    assert rows(egress.field_updates(t), "function", "line", "site") == [("parse", 18, "out->size = v")]
