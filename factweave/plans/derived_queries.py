@@ -440,10 +440,10 @@ def g28_in_place_swaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey AS f, l_linenumber AS site, CASE WHEN l_returnflag = 'N' THEN 'reservation_update_does_not_add' WHEN l_returnflag = 'A' THEN 'reservation_return_does_not_depend_on_old_value' WHEN l_linestatus = 'O' THEN 'reservation_pointer_is_the_updated_field' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL"""
+    """SELECT l_orderkey AS f, l_linenumber AS site, CASE WHEN l_returnflag = 'N' THEN 'reservation_update_does_not_add' WHEN l_returnflag = 'A' THEN 'reservation_return_does_not_depend_on_old_value' WHEN l_linestatus = 'O' THEN 'reservation_pointer_is_the_updated_field' END AS reason, count(DISTINCT (l_partkey, l_suppkey, l_returnflag, l_linestatus)) AS n FROM lineitem GROUP BY ALL"""
 )
 def g28_buffer_reservations(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("site"), F.lit("b").alias("base"), F.lit(0).alias("field"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("old_value"), "l_returnflag", "l_linestatus")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("site"), F.lit("b").alias("base"), F.lit(0).alias("field"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("old_value"), "l_returnflag", "l_linestatus")
     updates = li.select("f", "site", "base", "field", "old_value", F.when(F.col("l_returnflag") != "N", "add").otherwise("sub").alias("direction"))
     returns = li.filter("l_returnflag <> 'A'").select("f", F.col("site").alias("return_site"), "base", F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("pointer_field"), F.col("old_value").alias("value")).distinct()
     return patterns.buffer_reservations(updates, returns, ["f"]).groupBy("f", "site", "reason").agg(F.count("*").alias("n"))

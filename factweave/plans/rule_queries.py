@@ -42,7 +42,7 @@ _TIMES = "CASE o_orderkey % 5 WHEN 0 THEN o_custkey || 's' WHEN 1 THEN o_custkey
 @query(
     """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_custkey::DOUBLE WHEN 1 THEN o_custkey * 60.0 WHEN 2 THEN (o_custkey % 24) * 3600.0 + (o_custkey % 60) * 60.0 + 30.5 WHEN 3 THEN (o_custkey % 60) * 60.0 + 7 END AS seconds FROM orders"""
 )
-def f_durations(spark: SparkSession, d: str) -> DataFrame:
+def f_duration_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", text.seconds(F.expr(_TIMES)).alias("seconds"))
 
 
