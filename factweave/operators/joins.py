@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.ids import alias_keys
+from factweave.functions.ids import alias_keys, literal_integer
 from factweave.operators.spread import paired
+from factweave.session import checkpoint
 
 
 def alias_join(left: DataFrame, right: DataFrame, left_object: str, right_object: str, left_id: str, right_id: str) -> DataFrame:
@@ -222,3 +223,55 @@ def object_for_address(points: DataFrame, ranges: DataFrame, symbols: DataFrame,
     both = tight.join(exact, "address", "left")
     identity = F.when(F.col("container").isNotNull(), "ELF_OBJECT_SYMBOL_RANGE").when(F.col("exact").isNotNull(), "ELF_SYMBOL_EXACT_ADDRESS").otherwise("EXACT_ADDRESS")
     return both.select("address", F.coalesce("container.start", "address").alias("base"), F.coalesce("container.name", "exact", F.lit("")).alias("name"), identity.alias("identity"))
+
+
+#: What an argument's text scores beside an actual, and the least score that binds.
+SAME_CONSTANT, LONE_LITERAL, SAME_NAME, SAME_SLOT, BOTH_FREE, LEAST_SCORE = 12, -4, 6, 5, 1, 5
+
+
+def display_scores(ops: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, site, text_no, score) of the calls and texts of a group that may be the same: as many arguments, and no two numbers that differ.
+
+    ops: keys, site, actuals array<struct<constant, name, slot>>; texts: keys, text_no, arguments array<string>. Calls of one function to one callee are few.
+    """
+    both = ops.select(*keys, "site", "actuals").join(texts.select(*keys, "text_no", "arguments"), list(keys)).filter(F.size("actuals") == F.size("arguments"))
+
+    def item(argument: Column, actual: Column) -> Column:
+        number = literal_integer(argument)
+        plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+        words = F.transform(F.regexp_extract_all(argument, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.lower)
+        name = plain(actual["name"])
+        named = (name != "") & ((name == plain(argument)) | F.array_contains(words, name))
+        slot = F.coalesce(F.array_contains(words, F.concat(F.lit("arg"), actual["slot"].cast("string"))), F.lit(False))
+        free = F.when(named, SAME_NAME).otherwise(0) + F.when(slot, SAME_SLOT).otherwise(0) + F.when(actual["constant"].isNull(), BOTH_FREE).otherwise(0)
+        return F.when(number.isNull(), free).when(actual["constant"].isNull(), LONE_LITERAL).when(number == actual["constant"], SAME_CONSTANT)
+
+    scores = F.zip_with(F.transform("arguments", lambda a: F.trim(F.coalesce(a, F.lit("")))), "actuals", item)
+    scored = both.withColumn("scores", scores).filter(~F.exists("scores", F.isnull))
+    return scored.select(*keys, "site", "text_no", F.aggregate("scores", F.lit(0), lambda a, x: a + x).alias("score"))
+
+
+def bind_displays(ops: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, site, text_no): calls bound to their texts where the evidence tells, round by round; what stays ambiguous is bound to nothing.
+
+    In a round each call and text that are each other's only best, with at least LEAST_SCORE, are bound; a call and a text that
+    are the last of their group are bound unless they contradict each other.
+    """
+    scores = checkpoint(display_scores(ops, texts, keys))
+    calls, lines = checkpoint(ops.select(*keys, "site").distinct()), checkpoint(texts.select(*keys, "text_no").distinct())
+    bound = None
+    while True:
+        left, right, open_ = calls, lines, scores
+        if bound is not None:
+            left, right = left.join(bound, [*keys, "site"], "left_anti"), right.join(bound, [*keys, "text_no"], "left_anti")
+            open_ = open_.join(bound, [*keys, "site"], "left_anti").join(bound, [*keys, "text_no"], "left_anti")
+        last = left.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n = 1").join(right.groupBy(*keys).agg(F.count("*").alias("__m")).filter("__m = 1"), list(keys)).select(*keys)
+        lone = open_.join(last, list(keys), "left_semi").select(*keys, "site", "text_no")
+        lw, rw = Window.partitionBy(*keys, "site"), Window.partitionBy(*keys, "text_no")
+        top = open_.withColumns({"__lm": F.max("score").over(lw), "__rm": F.max("score").over(rw)})
+        top = top.withColumns({"__ln": F.count_if(F.col("score") == F.col("__lm")).over(lw), "__rn": F.count_if(F.col("score") == F.col("__rm")).over(rw)})
+        best = top.filter(f"score >= {LEAST_SCORE} AND score = __lm AND score = __rm AND __ln = 1 AND __rn = 1").join(last, list(keys), "left_anti").select(*keys, "site", "text_no")
+        found = checkpoint(lone.unionByName(best).distinct())
+        if found.isEmpty():
+            return scores.select(*keys, "site", "text_no").filter("false") if bound is None else bound
+        bound = found if bound is None else checkpoint(bound.unionByName(found))
