@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import WHITE_SPACE
+from factweave.session import checkpoint
 
 #: The folder of the tokenizers' vocabulary files; pass another where they lie elsewhere.
 FOLDER = "/opt/tokenizers"
@@ -114,31 +115,32 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     short = F.coalesce(size <= long, F.lit(True))
     whole = whole_texts(slim.filter(short) if (longest or 0) > long else slim, buckets((chars or 0) - (long_chars or 0)))
     if (longest or 0) <= long:
-        return _joined(whole, _table(_asked(whole), path), slim).select("doc_id", "ids")
+        asked = _asked(whole)
+        return _joined(whole, asked, _table(asked, path), slim).select("doc_id", "ids")
     chunks = word_chunks(slim.filter(~short), buckets(long_chars))
     # one table of distinct words for both
-    table = _table(_asked(whole).unionByName(_asked(chunks)), path)
+    asked, asked_chunks = _asked(whole), _asked(chunks)
+    table = _table(asked.unionByName(asked_chunks), path)
     # a repeated row of several chunks has each of them as often as it occurs
-    once = _joined(chunks, table, slim).groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
+    once = _joined(chunks, asked_chunks, table, slim).groupBy("doc_id", "mark", "chunk").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("times"))
     parts = once.groupBy("doc_id", "mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).getField("ids")).alias("ids"), F.min("times").cast("int").alias("times"))
     several = parts.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
-    return _joined(whole, table, slim).select("doc_id", "ids").unionByName(several)
+    return _joined(whole, asked, table, slim).select("doc_id", "ids").unionByName(several)
 
 
 def _asked(placed: DataFrame) -> DataFrame:
-    """The distinct (bucket, word)."""
+    """The distinct (bucket, word), kept: they are read for the table and for the join, and take a fraction of the text's room."""
     # an outer generator, as the filter that an inner one implies would split every text again
-    return placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct()
+    return checkpoint(placed.select("bucket", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").distinct())
 
 
 def _table(asked: DataFrame, path: str) -> DataFrame:
     """(word, ids) of each distinct word."""
-    # grouped over the distinct pairs, and with a bucket that is handed on, so that the plan keeps the pairs' exchange for both uses
-    return asked.groupBy("word").agg(F.min("bucket").alias("first")).mapInArrow(_encoder(path), "word string, ids array<int>")
+    return asked.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
 
 
-def _joined(placed: DataFrame, table: DataFrame, slim: DataFrame) -> DataFrame:
-    entries = _asked(placed).join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
+def _joined(placed: DataFrame, asked: DataFrame, table: DataFrame, slim: DataFrame) -> DataFrame:
+    entries = asked.join(table, "word").select(F.col("bucket").alias("slot"), "word", "ids")
     return placed.groupBy("bucket").cogroup(entries.groupBy("slot")).applyInArrow(_assembled, f"doc_id {dict(slim.dtypes)['doc_id']}, mark bigint, chunk int, chunks int, ids array<int>")
 
 
