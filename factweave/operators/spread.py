@@ -21,9 +21,12 @@ def paired(left: DataFrame, right: DataFrame, key: str | Sequence[str], row: str
 
     row is a column of right that tells its rows apart. Each block is joined in its own place, with the left
     rows of the key repeated per block. A key is hot beyond `block` right rows, so there are at most
-    rows/block of them; their list is broadcast if that is no more than most_hot.
+    rows/block of them; their list is broadcast if that is no more than most_hot. Rows are counted by key only if
+    there are more than `block` in all. right is read more than once: hand over a table, a checkpoint or what is cheap.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if right.limit(block + 1).count() <= block:
+        return left.join(right, keys)
     hot = right.groupBy(*keys).count().filter(F.col("count") > block).select(*keys, F.ceil(F.col("count") / F.lit(block)).cast("int").alias("__blocks"))
     hot = bounded_broadcast(hot, most_hot)
     cut = right.join(hot, keys, "left").withColumn("__block", F.pmod(F.xxhash64(row), F.coalesce("__blocks", F.lit(1)))).drop("__blocks")
