@@ -19,8 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.text import without_format_characters, words
-from factweave.llm.common import paired
+from factweave.functions.text import without_format_characters
+from factweave.llm.common import paired, word_hashes
 from factweave.session import checkpoint
 
 #: Words that a leaked passage shares at least, and words of a k-gram.
@@ -97,14 +97,13 @@ def _winnower(span: int, gram: int, beyond: int, sought: Broadcast | None = None
     return run
 
 
-def fingerprints(texts: DataFrame, id_col: str, words_col: str, span: int = SPAN, gram: int = GRAM, beyond: int = 0, sought: Broadcast | None = None) -> DataFrame:
-    """(id, h, at, around) of the winnowed k-grams of each text.
+def fingerprints(texts: DataFrame, id_col: str, hashes_col: str, span: int = SPAN, gram: int = GRAM, beyond: int = 0, sought: Broadcast | None = None) -> DataFrame:
+    """(id, h, at, around) of the winnowed k-grams of each text of word hashes.
 
     at is the place of the first word, from 1; around the word hashes in reach of it. sought, sorted hashes, leaves out
     all other fingerprints.
     """
-    hashed = texts.select(id_col, F.transform(words_col, lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.mapInArrow(_winnower(span, gram, beyond, sought), f"{id_col} {dict(texts.dtypes)[id_col]}, h bigint, at int, around array<bigint>")
+    return texts.select(id_col, hashes_col).mapInArrow(_winnower(span, gram, beyond, sought), f"{id_col} {dict(texts.dtypes)[id_col]}, h bigint, at int, around array<bigint>")
 
 
 def passages_found(
@@ -123,7 +122,7 @@ def passages_found(
         c = F.col(text).cast("string")
         # so many words take at least so many characters
         held = df.filter((F.length(c) >= 2 * span - 1) & F.col(key).isNotNull())
-        return held.select(F.col(key).alias(names[0]), words(without_format_characters(c)).alias(names[1]))
+        return held.select(F.col(key).alias(names[0]), word_hashes(without_format_characters(c)).alias(names[1]))
 
     item = fingerprints(split(items, item_col, passage_col, ("item_id", "iw")), "item_id", "iw", span, gram, beyond=1)
     # the items are fixed material; kept, as their fingerprints are counted, listed and joined

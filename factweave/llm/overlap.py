@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.text import stripped, words
-from factweave.llm.common import batches, bounded_broadcast, paired
+from factweave.functions.text import stripped
+from factweave.llm.common import batches, bounded_broadcast, paired, word_hashes
 from factweave.session import checkpoint
 
 #: The least share of trigrams common to two near-same texts, as a fraction.
@@ -228,10 +228,9 @@ def cross_split_pairs(views: DataFrame, id_col: str = "view_id", split_col: str
     empty, blank) match nothing; repeated texts and digests give all their pairs, as the result asks for,
     spread in blocks. Empty tables give an empty result; other columns are not looked at.
     """
-    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), words(F.col(text_col)).alias("w")).filter("view_id IS NOT NULL AND side IS NOT NULL")
-    hashed = v.select("view_id", "side", "digest", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    v = views.select(F.col(id_col).alias("view_id"), side(F.col(split_col)).alias("side"), digest(F.col(digest_col)).alias("digest"), word_hashes(F.col(text_col)).alias("hashes")).filter("view_id IS NOT NULL AND side IS NOT NULL")
     # texts of the same words are one class; read by the classes, and by every join of their members
-    named = checkpoint(hashed.withColumn("name", F.concat_ws("-", F.hex(F.xxhash64("hashes")), F.hex(F.hash("hashes")), F.size("hashes").cast("string"))))
+    named = checkpoint(v.withColumn("name", F.concat_ws("-", F.hex(F.xxhash64("hashes")), F.hex(F.hash("hashes")), F.size("hashes").cast("string"))))
     told = named.filter("digest IS NOT NULL").select("digest", "view_id", "side")
     by_digest = paired(
         told.filter("side = 'evaluation'").select("digest", F.col("view_id").alias("evaluation_id")),
