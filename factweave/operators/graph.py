@@ -213,14 +213,16 @@ def bounded_lineage(inputs: DataFrame, starts: DataFrame, mnemonics: Sequence[st
     return numbered.filter(F.col("__n") <= max_values).drop("__n")
 
 
-def expand_lineage(seeds: DataFrame, calls: DataFrame, helpers: DataFrame, depth: int, rounds: int = 1000) -> Result:
-    """(lineage, node, helpers) reached along calls (caller, callee), and through helpers (function, helper) at most `depth` deep.
+def expand_lineage(seeds: DataFrame, calls: DataFrame, helpers: DataFrame, depth: int, rounds: int = 1000, both: bool = False) -> Result:
+    """(lineage, node, helpers) reached along calls (caller, callee), with `both` against them, too, and through helpers (function, helper) at most `depth` deep.
 
     A node is kept with the fewest helpers that lead to it.
     """
     edges = calls.select(F.col("caller").alias("node"), F.col("callee").alias("next"), F.lit(0).alias("cost")).unionByName(
         helpers.select(F.col("function").alias("node"), F.col("helper").alias("next"), F.lit(1).alias("cost"))
     )
+    if both:
+        edges = edges.unionByName(calls.select(F.col("callee").alias("node"), F.col("caller").alias("next"), F.lit(0).alias("cost")))
     edges = checkpoint(edges.distinct())
 
     def step(delta: DataFrame) -> DataFrame:

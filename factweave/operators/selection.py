@@ -106,3 +106,38 @@ def audit_partition(rows: DataFrame, specs: DataFrame, method: str) -> DataFrame
     only = specs.filter("audit_only AND id <> ''").select(F.col("id").alias(method)).distinct().withColumn("__only", F.lit(True))
     own = F.coalesce(F.col("audit_only"), F.lit(False)) if "audit_only" in rows.columns else F.lit(False)
     return rows.join(only, method, "left").withColumn("audit_only", F.coalesce("__only", F.lit(False)) | own).drop("__only")
+
+
+#: What marks an edge as none that strict analysis admits.
+HEURISTIC_MARKS = ("HEURISTIC", "LEGACY", "FALLBACK", "CLUSTER", "MAY_ALIAS", "APPROX")
+
+
+def heuristic_edge(texts: Sequence[Column], deterministic: Column, admissible: Column) -> Column:
+    """P5: whether strict analysis rejects an edge: it says it is not deterministic or not admissible, or a text of it or its object bears a mark."""
+    joined = F.upper(F.concat_ws(" ", *texts))
+    marked = F.exists(F.array(*(F.lit(m) for m in HEURISTIC_MARKS)), lambda m: joined.contains(m))
+    says = ~F.coalesce(deterministic, F.lit(True)) | ~F.coalesce(admissible, F.lit(True))
+    return says | marked
+
+
+def shared_contract(candidates: DataFrame) -> DataFrame:
+    """Shared-object candidates with all reasons against them, and whether they repeat one admitted: (candidate, reasons, admitted, duplicate).
+
+    candidates: candidate, object_id, lineage (array), writers, readers (how many), writer_print, reader_print (order-free prints of their sites, so
+    that no object's sites are gathered), transfer, storage_kind. Of admitted ones that agree in everything the least candidate stays.
+    """
+    lineage = F.array_sort(F.array_distinct(F.filter(F.coalesce("lineage", F.array().cast("array<string>")), lambda x: x != "")))
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    reasons = F.array_compact(
+        F.array(
+            F.when(none("object_id"), "shared_object_identity_missing"), F.when(F.size("lineage") == 0, "shared_object_has_no_source_association"), F.when(F.coalesce("writers", F.lit(0)) == 0, "shared_object_has_no_writer"),
+            F.when(F.coalesce("readers", F.lit(0)) == 0, "shared_object_has_no_reader"), F.when(~F.coalesce(F.col("transfer").isin("MEMORY_CONTENT", "OBJECT_REFERENCE"), F.lit(False)), "shared_object_transfer_semantics_unknown"),
+            F.when(F.col("storage_kind") == "STACK_LOCAL", "source_derived_stack_local_not_shared"),
+        )
+    )
+    told = candidates.withColumn("lineage", lineage).withColumn("reasons", reasons)
+    same = ["object_id", "transfer", "lineage", "writers", "writer_print", "readers", "reader_print"]
+    first = told.filter(F.size("reasons") == 0).groupBy(*same).agg(F.min("candidate").alias("first"))
+    marked = told.join(first.select("first").withColumn("__first", F.lit(True)), F.col("candidate") == F.col("first"), "left")
+    fine = F.size("reasons") == 0
+    return marked.select("candidate", "reasons", (fine & F.col("__first").isNotNull()).alias("admitted"), (fine & F.col("__first").isNull()).alias("duplicate"))

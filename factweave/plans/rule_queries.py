@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text
 from factweave.operators import graph, joins, json_columns, match, nested, rank, selection, trace
+from factweave.operators.fixpoint import whole
 from factweave.plans.corpus_sql import nodes_cte
 from factweave.session import scratch, table
 
@@ -191,3 +192,72 @@ def d2_scored_pairs(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("object"), n.alias("ordinal"), producers.alias("producers"), consumers.alias("consumers"), (n % 11 / 10).alias("confidence"), (n % 7 / 6).alias("quality"), (n % 5 / 4).alias("ambiguity"), (n % 4 == 0).alias("dma_buffer")
     )
     return rank.context_pairs(o, 2)
+
+
+@query(
+    """SELECT edge_id, coalesce(access_width = 1, FALSE) OR regexp_matches(upper(concat_ws(' ', edge_id, object_id, candidate_class, storage_kind, base_object_id, edge_kind, site_id, value_id)), 'HEURISTIC|LEGACY|FALLBACK|CLUSTER|MAY_ALIAS|APPROX') AS rejected, count(*) AS n FROM accesses GROUP BY ALL"""
+)
+def sel_heuristic_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses that strict analysis rejects, by eight texts and a flag; the narrowest say that they aren't deterministic."""
+    texts = [F.col(c) for c in ("edge_id", "object_id", "candidate_class", "storage_kind", "base_object_id", "edge_kind", "site_id", "value_id")]
+    rejected = selection.heuristic_edge(texts, F.col("access_width") != 1, F.lit(None).cast("boolean"))
+    return table(spark, d, "accesses").select("edge_id", rejected.alias("rejected")).groupBy("edge_id", "rejected").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT l_partkey || '/' || l_suppkey AS candidate, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'o' || l_partkey % 50 END AS object_id, list(DISTINCT CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END) AS lineage, count(*) FILTER (WHERE l_linestatus = 'O') AS writers,
+  count(*) FILTER (WHERE l_linestatus = 'F') AS readers, coalesce(bit_xor(l_linenumber) FILTER (WHERE l_linestatus = 'O'), 0) AS wp, coalesce(bit_xor(l_linenumber) FILTER (WHERE l_linestatus = 'F'), 0) AS rp, l_suppkey % 5 AS k FROM lineitem GROUP BY l_partkey, l_suppkey),
+r AS (SELECT *, list_sort(list_filter(lineage, lambda x: x <> '')) AS ls, CASE k WHEN 4 THEN 'NONE' WHEN 3 THEN 'OBJECT_REFERENCE' ELSE 'MEMORY_CONTENT' END AS t FROM c),
+w AS (SELECT *, concat_ws(',', CASE WHEN object_id = '' THEN 'shared_object_identity_missing' END, CASE WHEN len(ls) = 0 THEN 'shared_object_has_no_source_association' END, CASE WHEN writers = 0 THEN 'shared_object_has_no_writer' END, CASE WHEN readers = 0 THEN 'shared_object_has_no_reader' END,
+  CASE WHEN t = 'NONE' THEN 'shared_object_transfer_semantics_unknown' END, CASE WHEN k = 0 THEN 'source_derived_stack_local_not_shared' END) AS reasons FROM r),
+f AS (SELECT min(candidate) AS first FROM w WHERE reasons = '' GROUP BY object_id, t, ls, writers, wp, readers, rp)
+SELECT candidate, reasons, reasons = '' AND candidate IN (SELECT first FROM f) AS admitted, reasons = '' AND candidate NOT IN (SELECT first FROM f) AS duplicate FROM w"""
+)
+def sel_shared_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of suppliers as shared objects: open lines write, finished ones read, returns are their lineage."""
+    n, status = F.col("l_linenumber"), F.col("l_linestatus")
+    prints = lambda s: F.coalesce(F.bit_xor(F.when(status == s, n)), F.lit(0))
+    g = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        F.collect_set(F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag"))).alias("lineage"), F.count_if(status == "O").alias("writers"), F.count_if(status == "F").alias("readers"), prints("O").alias("writer_print"), prints("F").alias("reader_print")
+    )
+    k = F.col("l_suppkey") % 5
+    c = g.select(
+        F.concat_ws("/", "l_partkey", "l_suppkey").alias("candidate"), F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("o"), F.col("l_partkey") % 50)).alias("object_id"), "lineage", "writers", "readers", "writer_print", "reader_print",
+        F.when(k == 4, "NONE").when(k == 3, "OBJECT_REFERENCE").otherwise("MEMORY_CONTENT").alias("transfer"), F.when(k == 0, "STACK_LOCAL").otherwise("STATIC_WRITABLE_DATA").alias("storage_kind"),
+    )
+    return selection.shared_contract(c).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT props AS document, count(*) AS times FROM (SELECT json(props)::VARCHAR AS props FROM events) GROUP BY 1")
+def u2_distinct_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct documents of the events by their canonical JSON, with how often each occurs."""
+    return table(spark, d, "events").groupBy(text.canonical_json(F.col("props")).alias("document")).agg(F.count("*").alias("times"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, ts, lag(event_id) OVER w AS write_id, lag(event_id * 4) OVER w AS write_pc FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT user_id, max(event_id) * 4 + 6 AS fault_pc, max(event_id) * 4 - 400 AS s, max(event_id) * 4 + 4 AS t, min(event_id) * 4 AS es, max(event_id) * 4 - 40 AS et FROM events GROUP BY 1),
+h AS (SELECT r.user_id, event_id, event_id * 4 AS pc, write_id, write_pc FROM r JOIN f USING (user_id) WHERE write_id IS NOT NULL AND event_id * 4 >= s AND event_id * 4 < t AND (fault_pc & ~1) - event_id * 4 BETWEEN 0 AND 8 AND write_pc >= es AND write_pc < et)
+SELECT user_id, max(event_id) AS event_id, arg_max(pc, event_id) AS pc, arg_max(write_id, event_id) AS write_id, arg_max(write_pc, event_id) AS write_pc FROM h GROUP BY 1"""
+)
+def t3_causal_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Users as runs whose last event reads what the one before wrote and then fails."""
+    e = table(spark, d, "events").select("user_id", "event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    reads = e.select("user_id", "event_id", F.lit(0).alias("line_no"), (F.col("event_id") * 4).alias("pc"), F.lit(0).alias("address"), F.lag("event_id").over(w).alias("write_id"), F.lag(F.col("event_id") * 4).over(w).alias("write_pc")).filter("write_id IS NOT NULL")
+    g = e.groupBy("user_id").agg((F.max("event_id") * 4).alias("last"), (F.min("event_id") * 4).alias("first"))
+    faults = g.select("user_id", (F.col("last") + 6).alias("fault_pc"), (F.col("last") - 400).alias("start"), (F.col("last") + 4).alias("end"))
+    effects = g.select("user_id", F.col("first").alias("effect_start"), (F.col("last") - 40).alias("effect_end"))
+    return trace.causal_fault(reads, faults, effects, ["user_id"]).select("user_id", "event_id", "pc", "write_id", "write_pc")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 2 AS b, 0 AS cost FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey * 2, s_suppkey, 0 FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, s_suppkey + 1, 1 FROM supplier WHERE s_nationkey % 3 = 0),
+r AS (SELECT s_suppkey AS lineage, s_suppkey AS node, 0 AS helpers FROM supplier UNION SELECT lineage, b, helpers + cost FROM r JOIN e ON a = node WHERE helpers + cost <= 2) SELECT lineage, node, min(helpers) AS helpers FROM r GROUP BY 1, 2"""
+)
+def g14_two_way_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as functions: odd ones call their double, and some return through the next; lineages run along and against calls."""
+    k, s = F.col("s_suppkey"), table(spark, d, "supplier")
+    calls = s.filter(k % 2 == 1).select(k.alias("caller"), (k * 2).alias("callee"))
+    helpers = s.filter("s_nationkey % 3 = 0").select(k.alias("function"), (k + 1).alias("helper"))
+    return whole(graph.expand_lineage(s.select(k.alias("lineage"), k.alias("node")), calls, helpers, 2, both=True))
