@@ -269,3 +269,38 @@ def affine_terms(inputs: DataFrame, roots: DataFrame, keys: Sequence[str], depth
         if current.isEmpty():
             break
     return done.unionByName(current).groupBy(*keys, "root", "node").agg(F.sum("stride").alias("stride"), F.sum("offset").alias("offset"))
+
+
+def address_progressions(terms: DataFrame, recurrences: DataFrame, invariants: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, root, phi, stride, reason) of each address that is a sum: the bytes by which it moves a turn, or why it moves by no fixed number.
+
+    terms as affine_terms gives them; recurrences: keys, phi, step; invariants: keys, value. An address progresses if exactly one of its terms is a
+    recurrence and all others stay the same in the loop.
+    """
+    phis = recurrences.groupBy(*keys, F.col("phi").alias("node")).agg(F.min("step").alias("step"))
+    same = invariants.select(*keys, F.col("value").alias("node")).distinct().withColumn("same", F.lit(True))
+    marked = terms.join(phis, [*keys, "node"], "left").join(same, [*keys, "node"], "left")
+    live = F.col("node").isNotNull() & (F.col("stride") != 0)
+    g = marked.groupBy(*keys, "root").agg(
+        F.count_if(live & F.col("step").isNotNull()).alias("moving"), F.count_if(live & F.col("step").isNull() & F.col("same").isNull()).alias("unknown"),
+        F.max(F.when(live & F.col("step").isNotNull(), F.struct(F.col("node").alias("phi"), (F.col("stride") * F.col("step")).cast("bigint").alias("stride")))).alias("m"),
+    )
+    reason = F.when(F.col("moving") == 0, "address_does_not_move").when(F.col("moving") > 1, "address_moves_by_several_recurrences").when(F.col("unknown") > 0, "address_has_a_varying_term")
+    told = g.withColumn("reason", reason)
+    fine = F.col("reason").isNull()
+    return told.select(*keys, "root", F.when(fine, F.col("m.phi")).alias("phi"), F.when(fine, F.col("m.stride")).alias("stride"), "reason")
+
+
+def loop_bounds(tests: DataFrame, recurrences: DataFrame, invariants: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, phi, bound, mnemonic, swapped) of exit tests that compare a recurrence, before or after its update, with what stays the same.
+
+    tests: keys, site, mnemonic, left, right and, for numbers, left_constant, right_constant. swapped: whether the recurrence stands on the right.
+    """
+    phi = recurrences.select(*keys, "phi", F.explode(F.array("phi", "update")).alias("value")).distinct()
+    sides = tests.select(*keys, "site", "mnemonic", F.explode(F.array(
+        F.struct(F.col("left").alias("value"), F.col("right").alias("bound"), F.col("right_constant").alias("number"), F.lit(False).alias("swapped")),
+        F.struct(F.col("right").alias("value"), F.col("left").alias("bound"), F.col("left_constant").alias("number"), F.lit(True).alias("swapped")),
+    )).alias("s")).select(*keys, "site", "mnemonic", "s.*")
+    same = invariants.select(*keys, F.col("value").alias("bound")).distinct().withColumn("same", F.lit(True))
+    met = sides.join(phi, [*keys, "value"]).join(same, [*keys, "bound"], "left").filter("number IS NOT NULL OR same")
+    return met.select(*keys, "phi", "site", "bound", "mnemonic", "swapped").distinct()

@@ -447,3 +447,35 @@ def g28_buffer_reservations(spark: SparkSession, d: str) -> DataFrame:
     updates = li.select("f", "site", "base", "field", "old_value", F.when(F.col("l_returnflag") != "N", "add").otherwise("sub").alias("direction"))
     returns = li.filter("l_returnflag <> 'A'").select("f", F.col("site").alias("return_site"), "base", F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("pointer_field"), F.col("old_value").alias("value")).distinct()
     return patterns.buffer_reservations(updates, returns, ["f"]).groupBy("f", "site", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderkey AS f, 'a' AS root, CASE WHEN r IS NULL THEN 'i' END AS phi, CASE WHEN r IS NULL THEN 4 * (o_orderkey % 7 - 3) END AS stride, r AS reason FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN 'address_does_not_move' WHEN o_orderstatus = 'F' THEN 'address_moves_by_several_recurrences' WHEN o_custkey % 2 = 1 THEN 'address_has_a_varying_term' END AS r FROM orders)"""
+)
+def g12_address_progressions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as loops over an address base + 4 i + 12, with j (status F) or a base that varies (odd customers)."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("f"), "o_orderstatus", "o_custkey")
+    other = F.when(F.col("o_orderstatus") == "F", "j").otherwise("base")
+    flow = _flow(o, ("m", "i", 0, "INT_MULT", None), ("m", "4", 1, "INT_MULT", 4), ("s", other, 0, "INT_ADD", None), ("s", "m", 1, "INT_ADD", None), ("a", "s", 0, "INT_ADD", None), ("a", "12", 1, "INT_ADD", 12))
+    step = (F.col("f") % 7 - 3).cast("bigint")
+    phis = o.filter("f % 7 <> 3").select("f", F.explode(F.array(F.lit("i"), F.lit("j"))).alias("phi"), step.alias("step"))
+    terms = cfg.affine_terms(flow, o.select("f", F.lit("a").alias("root")), ["f"])
+    return cfg.address_progressions(terms, phis, o.filter("o_custkey % 2 = 0").select("f", F.lit("base").alias("value")), ["f"])
+
+
+@query(
+    """SELECT l_orderkey AS f, 'i' AS phi, l_linenumber AS site, CASE WHEN l_returnflag = 'A' THEN '9' ELSE 'n' END AS bound, 'INT_LESS' AS mnemonic, l_linestatus = 'O' AS swapped FROM lineitem
+WHERE l_returnflag = 'A' OR (l_returnflag = 'R' AND l_orderkey % 2 = 0) GROUP BY ALL"""
+)
+def g12_loop_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as exit tests of i or its update against a number (flag A) or n, which stays the same in even orders; other tests are of k."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("site"), "l_returnflag", "l_linestatus")
+    flag, swapped = F.col("l_returnflag"), F.col("l_linestatus") == "O"
+    value = F.when(flag == "N", "k").when(F.col("site") % 2 == 0, "u").otherwise("i")
+    bound, number = F.when(flag == "A", "9").otherwise("n"), F.when(flag == "A", F.lit(9))
+    tests = li.select(
+        "f", "site", F.lit("INT_LESS").alias("mnemonic"), F.when(swapped, bound).otherwise(value).alias("left"), F.when(swapped, value).otherwise(bound).alias("right"), F.when(swapped, number).alias("left_constant"), F.when(~swapped, number).alias("right_constant")
+    )
+    f = li.select("f").distinct()
+    return cfg.loop_bounds(tests, f.select("f", F.lit("i").alias("phi"), F.lit("u").alias("update")), f.filter("f % 2 = 0").select("f", F.lit("n").alias("value")), ["f"])
