@@ -352,3 +352,27 @@ def execution_contexts(functions: DataFrame, calls: DataFrame, explicit: DataFra
     told = found.groupBy("function").agg(F.array_sort(F.collect_set("context")).alias("contexts"), F.array_join(F.array_sort(F.collect_set("provenance")), "+").alias("provenance"))
     none = (F.array().cast("array<string>"), "NO_DETERMINISTIC_EXECUTION_CONTEXT") if deterministic else (F.array(F.lit("ctx:unknown")), "UNKNOWN_EXECUTION_CONTEXT")
     return f.select("function").distinct().join(told, "function", "left").select("function", F.coalesce("contexts", none[0]).alias("contexts"), F.coalesce("provenance", F.lit(none[1])).alias("provenance"))
+
+
+#: Operations whose output carries what any input carries, and those whose output carries what all inputs carry.
+TRANSPARENT_OPERATIONS = ("COPY", "CAST", "INDIRECT", "INT_ZEXT", "INT_SEXT", "SUBPIECE")
+COMPUTE_OPERATIONS = (
+    "PIECE", "INT_ADD", "INT_SUB", "INT_MULT", "INT_DIV", "INT_SDIV", "INT_REM", "INT_SREM", "INT_AND", "INT_OR", "INT_XOR", "INT_LEFT", "INT_RIGHT", "INT_SRIGHT", "INT_EQUAL", "INT_NOTEQUAL",
+    "INT_LESS", "INT_SLESS", "INT_LESSEQUAL", "INT_SLESSEQUAL", "BOOL_NEGATE", "BOOL_AND", "BOOL_OR", "BOOL_XOR", "PTRADD", "PTRSUB",
+)
+
+
+def provenance_inputs(flow: DataFrame, formals: DataFrame, actuals: DataFrame, targets: DataFrame, returns: DataFrame) -> DataFrame:
+    """The inputs of value_provenance that facts give: (output, input, mode, constant).
+
+    flow: output, input, mnemonic, site, constant; formals: atom, function, slot; actuals: function, slot, atom; targets: site, function; returns:
+    function, atom. Transparent operations take any input's labels, computing ones and merges those of all; a formal takes any
+    actual's, the output of a call any of what its targets return. Other operations carry nothing.
+    """
+    mode = F.when(F.col("mnemonic").isin(*TRANSPARENT_OPERATIONS), "any").when(F.col("mnemonic").isin(*COMPUTE_OPERATIONS, "MULTIEQUAL"), "all")
+    own = flow.withColumn("mode", mode).filter("mode IS NOT NULL").select("output", "input", "mode", F.coalesce("constant", F.lit(False)).alias("constant"))
+    to = lambda df, output, value: df.select(F.col(output).alias("output"), F.col(value).alias("input"), F.lit("any").alias("mode"), F.col(value).startswith("const:").alias("constant"))
+    passed = to(formals.withColumnRenamed("atom", "formal").join(actuals, ["function", "slot"]), "formal", "atom")
+    calls = flow.filter(F.col("mnemonic").isin("CALL", "CALLIND")).select("output", "site").distinct()
+    back = to(calls.join(targets, "site").join(returns, "function"), "output", "atom")
+    return own.unionByName(passed).unionByName(back).filter("output <> '' AND input <> ''").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import nested, search
+from factweave.operators import graph, nested, search
 from factweave.plans.corpus_sql import nodes_cte
 from factweave.session import checkpoint, scratch, table
 
@@ -139,5 +139,23 @@ def g7_fact_ends(spark: SparkSession, d: str) -> DataFrame:
     return ends.groupBy("search", "end").agg(F.count("*").alias("states"))
 
 
-QUERIES = {"g7_first_steps": g7_first_steps, "g7_fact_ends": g7_fact_ends}
-SQL = {"g7_first_steps": _FACTS}
+def g4_fact_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """What the documents' operations, arguments and returns hand on of labels, by their classes."""
+    facts, _ = document_facts(spark, d)
+    flow = facts.definitions.select(F.col("atom").alias("output"), "mnemonic", "site", F.explode("inputs").alias("i")).select("output", "mnemonic", "site", F.col("i.atom").alias("input"), F.lit(False).alias("constant"))
+    calls = facts.definitions.filter(F.col("mnemonic").isin("CALL", "CALLIND")).select(F.col("atom").alias("output"), "mnemonic", "site", F.lit("").alias("input"), F.lit(False).alias("constant"))
+    found = graph.provenance_inputs(flow.filter(~F.col("mnemonic").isin("CALL", "CALLIND")).unionByName(calls), facts.formals, facts.actuals, facts.targets, facts.returns)
+    return found.select(_number("output").alias("record_id"), _plain("output").alias("output"), _plain("input").alias("input"), "mode")
+
+
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+_MODES = _FACTS.split("SELECT record_id, atom, rule")[0] + f"""
+SELECT record_id, output, input, mode FROM (
+  SELECT m.record_id, m.atom AS output, i.atom AS input, CASE WHEN mnemonic IN ({_quoted(graph.TRANSPARENT_OPERATIONS)}) THEN 'any' WHEN mnemonic IN ({_quoted((*graph.COMPUTE_OPERATIONS, "MULTIEQUAL"))}) THEN 'all' END AS mode
+    FROM made m JOIN inp i ON i.record_id = m.record_id AND i.fi = m.fi AND i.oi = m.oi AND NOT constant
+  UNION SELECT f.record_id, f.atom, a.atom, 'any' FROM formals f JOIN actuals a ON a.record_id = f.record_id AND a.target = f.function_id AND a.slot = f.slot
+  UNION SELECT m.record_id, m.atom, r.atom, 'any' FROM made m JOIN calls c ON c.record_id = m.record_id AND c.fi = m.fi AND c.oi = m.oi JOIN returns r ON r.record_id = c.record_id AND r.function_id = c.target WHERE mnemonic IN ('CALL', 'CALLIND'))
+WHERE mode IS NOT NULL AND output <> '' AND input <> ''"""
+
+QUERIES = {"g7_first_steps": g7_first_steps, "g7_fact_ends": g7_fact_ends, "g4_fact_inputs": g4_fact_inputs}
+SQL = {"g7_first_steps": _FACTS, "g4_fact_inputs": _MODES}
