@@ -317,3 +317,25 @@ def buffer_reservations(updates: DataFrame, returns: DataFrame, keys: Sequence[s
         .when(F.col("n") == 0, "reservation_return_does_not_depend_on_old_value").when(F.col("r").isNull(), "reservation_pointer_is_the_updated_field")
     )
     return g.select(*keys, "site", "base", "field", "r.return_site", "r.pointer_field", reason.alias("reason"))
+
+
+def stateful_loop_writes(stores: DataFrame, loops: DataFrame, loads: DataFrame, states: DataFrame, slots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Loop stores of an unchanged load whose destination moves through state in memory: (keys, site, header, source_slot, destination_slot, state, reason).
+
+    stores: keys, site, block, address, value; loops: keys, header, block; loads: keys, value, load_site, load_address, external; states: keys, header,
+    address, state, update_site (the state's value and where it is updated); slots: keys, node, slot (formals in a node's lineage). A store without
+    such a load or state is no candidate; an external load is a reject, and so is a source that isn't of exactly one formal. The
+    destination has a slot only if it is of one formal. Of several states the one updated first, by site, counts.
+    """
+    held = slots.groupBy(*keys, "node").agg(F.count_distinct("slot").alias("n"), F.min("slot").alias("slot"))
+    first = states.groupBy(*keys, "header", "address").agg(F.min_by("state", F.struct("update_site", "state")).alias("state"))
+    one = loads.groupBy(*keys, "value").agg(F.min_by(F.struct("load_address", "external"), F.col("load_site")).alias("l")).select(*keys, "value", "l.*")
+    at = stores.join(loops.select(*keys, "header", "block").distinct(), [*keys, "block"]).join(one, [*keys, "value"]).join(first, [*keys, "header", "address"], "left")
+    row = at.join(held.select(*keys, F.col("node").alias("load_address"), F.col("n").alias("s_n"), F.col("slot").alias("s_slot")), [*keys, "load_address"], "left").join(
+        held.select(*keys, F.col("node").alias("address"), F.col("n").alias("d_n"), F.col("slot").alias("d_slot")), [*keys, "address"], "left"
+    )
+    external = F.coalesce(F.col("external"), F.lit(False))
+    reason = F.when(external, "excluded_external_input_mmio_to_buffer_source").when(F.coalesce("s_n", F.lit(0)) != 1, "stateful_loop_source_not_uniquely_formal_bound")
+    told = row.withColumn("reason", reason).filter(external | F.col("state").isNotNull())
+    fine = F.col("reason").isNull()
+    return told.select(*keys, "site", "header", F.when(fine, F.col("s_slot")).alias("source_slot"), F.when(fine & (F.col("d_n") == 1), F.col("d_slot")).alias("destination_slot"), F.when(fine, F.col("state")).alias("state"), "reason")

@@ -479,3 +479,19 @@ def g12_loop_bounds(spark: SparkSession, d: str) -> DataFrame:
     )
     f = li.select("f").distinct()
     return cfg.loop_bounds(tests, f.select("f", F.lit("i").alias("phi"), F.lit("u").alias("update")), f.filter("f % 2 = 0").select("f", F.lit("n").alias("value")), ["f"])
+
+
+@query(
+    _LOOPS + """, j AS (SELECT *, CASE WHEN v = 2 THEN 'excluded_external_input_mmio_to_buffer_source' WHEN v = 1 THEN 'stateful_loop_source_not_uniquely_formal_bound' END AS reason FROM x WHERE block = 'O' AND v < 3 AND (v = 2 OR a < 2))
+SELECT f, site, 'h' AS header, CASE WHEN reason IS NULL THEN 5 END AS source_slot, CASE WHEN reason IS NULL AND a = 0 THEN 7 END AS destination_slot, CASE WHEN reason IS NULL THEN 's' || a END AS state, reason FROM j"""
+)
+def g28_stateful_loop_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as stores of a loop per order: addresses 0 and 1 move through state; values 0 to 2 are loads, 2 an external one, 1 of two formals."""
+    s = _stores(spark, d)
+    f = s.select("f").distinct()
+    h = f.withColumn("header", F.lit("h"))
+    rows = lambda df, held, *names: df.withColumn("e", F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names))) for r in held)))).select(*df.columns, "e.*")
+    loads = rows(f, [(0, "l0", 10, False), (1, "l1", 11, False), (2, "l2", 10, True)], "value", "load_site", "load_address", "external")
+    states = rows(h, [(0, "s0", "u1"), (0, "s9", "u2"), (1, "s1", "u1")], "address", "state", "update_site")
+    slots = rows(f, [(10, 5), (11, 5), (11, 6), (0, 7)], "node", "slot")
+    return patterns.stateful_loop_writes(s, h.withColumn("block", F.lit("O")), loads, states, slots, ["f"])

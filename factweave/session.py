@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A machine-local folder is only ever made where the session names none and runs in local mode; on a
     cluster without the setting this raises. That the folder named is shared is the cluster's to see to.
-    The application's part of it is deleted when the driver ends.
+    A folder made here is deleted when the driver ends; one that the session has already set is left to it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
