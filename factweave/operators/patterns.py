@@ -339,3 +339,41 @@ def stateful_loop_writes(stores: DataFrame, loops: DataFrame, loads: DataFrame,
     told = row.withColumn("reason", reason).filter(external | F.col("state").isNotNull())
     fine = F.col("reason").isNull()
     return told.select(*keys, "site", "header", F.when(fine, F.col("s_slot")).alias("source_slot"), F.when(fine & (F.col("d_n") == 1), F.col("d_slot")).alias("destination_slot"), F.when(fine, F.col("state")).alias("state"), "reason")
+
+
+def resolve_objects(terms: DataFrame, bases: DataFrame, merges: DataFrame, keys: Sequence[str], rounds: int = 100) -> DataFrame:
+    """(keys, root, object, offset, dynamic, reason) of each address: the object and offset it surely has, or why none.
+
+    terms as affine_terms gives them, for the addresses and for the inputs of merges; bases: keys, node, object, at (values known to
+    point to a place of an object); merges: keys, output, input. An address with one base, once, keeps its object; other terms make
+    its offset unknown (dynamic), and nothing is guessed. A sum of numbers only is an absolute address, an object of its own. A merge points
+    to a place if all its inputs point to that same place. Raises if rounds don't suffice.
+    """
+    known = checkpoint(bases.groupBy(*keys, "node").agg(F.min("object").alias("object"), F.min("at").alias("at"), F.count_distinct("object", "at").alias("__n")).filter("__n = 1").drop("__n"))
+    live = F.col("node").isNotNull() & (F.col("stride") != 0)
+
+    def resolved(known: DataFrame) -> DataFrame:
+        m = terms.join(known, [*keys, "node"], "left")
+        base = live & F.col("object").isNotNull()
+        g = m.groupBy(*keys, "root").agg(
+            F.count_if(base).alias("n"), F.count_if(live & F.col("object").isNull()).alias("others"), F.max(F.when(base, F.struct("object", "at", "stride"))).alias("b"), F.sum("offset").alias("offset")
+        )
+        why = F.when((F.col("n") == 0) & (F.col("others") > 0), "address_has_no_known_base").when(F.col("n") > 1, "address_has_several_bases").when((F.col("n") == 1) & (F.col("b.stride") != 1), "address_scales_its_base")
+        told = g.withColumn("reason", why).withColumn("fine", F.col("reason").isNull())
+        object_ = F.when(F.col("n") == 1, F.col("b.object")).otherwise(F.concat(F.lit("obj:ram:"), F.lpad(F.lower(F.hex("offset")), 8, "0")))
+        offset = F.when(F.col("n") == 0, 0).when(F.col("others") == 0, F.col("b.at") + F.col("offset")).cast("bigint")
+        return told.select(*keys, "root", F.when(F.col("fine"), object_).alias("object"), F.when(F.col("fine"), offset).alias("offset"), (F.col("fine") & (F.col("others") > 0)).alias("dynamic"), "reason")
+
+    wanted = merges.select(*keys, "output", "input").distinct()
+    for _ in range(rounds):
+        at = resolved(known).filter("object IS NOT NULL AND NOT dynamic").select(*keys, F.col("root").alias("input"), "object", "offset")
+        direct = known.select(*keys, F.col("node").alias("input"), "object", F.col("at").alias("offset"))
+        place = wanted.join(at.unionByName(direct).distinct(), [*keys, "input"], "left").groupBy(*keys, "output").agg(
+            F.count_if(F.col("object").isNull()).alias("lost"), F.count_distinct("object", "offset").alias("places"), F.min("object").alias("object"), F.min("offset").alias("at")
+        )
+        new = place.filter("lost = 0 AND places = 1").select(*keys, F.col("output").alias("node"), "object", "at").join(known.select(*keys, "node"), [*keys, "node"], "left_anti")
+        new = checkpoint(new)
+        if new.isEmpty():
+            return resolved(known)
+        known = checkpoint(known.unionByName(new))
+    raise RuntimeError(f"ANALYSIS_BUDGET_EXHAUSTED after {rounds} rounds")

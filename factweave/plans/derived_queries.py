@@ -495,3 +495,21 @@ def g28_stateful_loop_writes(spark: SparkSession, d: str) -> DataFrame:
     states = rows(h, [(0, "s0", "u1"), (0, "s9", "u2"), (1, "s1", "u1")], "address", "state", "update_site")
     slots = rows(f, [(10, 5), (11, 5), (11, 6), (0, 7)], "node", "slot")
     return patterns.stateful_loop_writes(s, h.withColumn("block", F.lit("O")), loads, states, slots, ["f"])
+
+
+@query(
+    """SELECT o_orderkey AS f, 'a' AS root, CASE k WHEN 0 THEN 'obj:b' WHEN 1 THEN 'obj:b' WHEN 4 THEN 'obj:ram:20000010' WHEN 5 THEN 'obj:b' END AS object, CASE k WHEN 0 THEN 12 WHEN 4 THEN 0 WHEN 5 THEN 20 END AS "offset", k = 1 AS dynamic,
+  CASE k WHEN 2 THEN 'address_has_several_bases' WHEN 3 THEN 'address_scales_its_base' WHEN 6 THEN 'address_has_no_known_base' END AS reason FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)"""
+)
+def g20_resolved_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as addresses: base + 8, base + i, base + base', 2 base, a number, a merge of two equal places + 4, a merge of two places + 4."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("f"), (F.col("o_orderkey") % 7).alias("k"))
+    k = F.col("k")
+    left = F.when(k.isin(0, 1, 2), "b").when(k == 3, "m").when(k == 4, "n0").otherwise("p")
+    right = F.when(k == 0, "8").when(k == 1, "i").when(k == 2, "c").when(k == 3, "0").when(k == 4, "n1").otherwise("4")
+    number = F.when(k == 0, 8).when(k == 3, 0).when(k == 4, 16).when(k > 4, 4)
+    flow = _flow(o, ("a", left, 0, "INT_ADD", F.when(k == 4, 536870912)), ("a", right, 1, "INT_ADD", number), ("m", "b", 0, "INT_MULT", None), ("m", "2", 1, "INT_MULT", 2), ("x", "b", 0, "INT_ADD", None), ("x", "12", 1, "INT_ADD", 12), ("y", F.when(k == 6, "c").otherwise("b"), 0, "INT_ADD", None), ("y", "12", 1, "INT_ADD", 12))
+    roots = o.select("f", F.explode(F.array(F.lit("a"), F.lit("x"), F.lit("y"))).alias("root"))
+    bases = o.select("f", F.explode(F.array(F.struct(F.lit("b").alias("node"), F.lit("obj:b").alias("object")), F.struct(F.lit("c").alias("node"), F.lit("obj:c").alias("object")))).alias("e")).select("f", "e.*", F.lit(4).cast("bigint").alias("at"))
+    merges = o.select("f", F.lit("p").alias("output"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("input"))
+    return patterns.resolve_objects(cfg.affine_terms(flow, roots, ["f"]), bases, merges, ["f"]).filter("root = 'a'")
