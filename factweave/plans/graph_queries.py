@@ -40,12 +40,6 @@ def access_graph(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint(e.distinct())
 
 
-def first_functions(edges: DataFrame) -> DataFrame:
-    """One search per binary: its least function that reads something."""
-    reads = edges.filter("kind = 'CHANNEL_READ'").groupBy("binary_sha256").agg(F.min("dst").alias("node"))
-    return reads.select(F.col("binary_sha256").alias("search"), "node")
-
-
 def reading_functions(edges: DataFrame) -> DataFrame:
     """One search per function that reads something, named by the function."""
     return edges.filter("kind = 'CHANNEL_READ'").select(F.col("dst").alias("search"), F.col("dst").alias("node")).distinct()
@@ -55,47 +49,27 @@ _G = f"""{_D}, e AS MATERIALIZED (SELECT DISTINCT CASE edge_kind WHEN 'WRITE' TH
   CASE edge_kind WHEN 'WRITE' THEN binary_sha256 || '|' || base_object_id ELSE binary_sha256 || '|' || function_id END AS dst,
   CASE edge_kind WHEN 'WRITE' THEN 'CHANNEL_WRITE' ELSE 'CHANNEL_READ' END AS kind, CASE edge_kind WHEN 'WRITE' THEN 0 ELSE 1 END AS cost, binary_sha256
   FROM d WHERE function_id IS NOT NULL AND binary_sha256 IS NOT NULL AND base_object_id IS NOT NULL AND edge_kind IN ('READ', 'WRITE')),
-s AS (SELECT binary_sha256 AS search, min(dst) AS node FROM e WHERE kind = 'CHANNEL_READ' GROUP BY 1)"""
-_FIRST, _EVERY = "SELECT binary_sha256 AS search, min(dst) AS node FROM e WHERE kind = 'CHANNEL_READ' GROUP BY 1", "SELECT DISTINCT dst AS search, dst AS node FROM e WHERE kind = 'CHANNEL_READ'"
+s AS (SELECT DISTINCT dst AS search, dst AS node FROM e WHERE kind = 'CHANNEL_READ')"""
 _HOPS = f"""WITH RECURSIVE {_G}, r AS (SELECT search, node, 0 AS hops FROM s UNION SELECT r.search, e.src, r.hops + e.cost FROM r JOIN e ON e.dst = r.node WHERE r.hops + e.cost <= 8),
 m AS (SELECT search, node, min(hops) AS hops FROM r GROUP BY 1, 2)"""
 
 
 @query(_HOPS + " SELECT search, node, hops FROM m")
 def g1_reach_hops(spark, d):
-    """From one function a binary; g1_every_reach_hops has all. So with the other queries of first_functions."""
+    """The objects and functions that lead to each reading function, within the budget of hops."""
     e = access_graph(spark, d)
-    return whole(graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)))
+    return whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
 
 
 @query(_HOPS + " SELECT DISTINCT search, src, dst, kind FROM m JOIN e ON e.dst = m.node")
 def g1_allowed_edges(spark, d):
     e = access_graph(spark, d)
-    reached = whole(graph.min_hops(e.select("src", "dst", "cost"), first_functions(e)))
+    reached = whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
     return graph.allowed_edges(e.select("src", "dst", "kind"), reached, F.col("kind").isin("CALL", "CALLIND"))
 
 
 @query(f"WITH RECURSIVE {_G}, r AS (SELECT node AS start, node FROM s UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r")
 def g2_reachable(spark, d):
-    e = access_graph(spark, d)
-    return whole(graph.reachable(e.select("src", "dst"), first_functions(e).select(F.col("node").alias("start"))))
-
-
-@query(SQL["g1_reach_hops"].replace(_FIRST, _EVERY))
-def g1_every_reach_hops(spark, d):
-    e = access_graph(spark, d)
-    return whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
-
-
-@query(SQL["g1_allowed_edges"].replace(_FIRST, _EVERY))
-def g1_every_allowed_edges(spark, d):
-    e = access_graph(spark, d)
-    reached = whole(graph.min_hops(e.select("src", "dst", "cost"), reading_functions(e)))
-    return graph.allowed_edges(e.select("src", "dst", "kind"), reached, F.col("kind").isin("CALL", "CALLIND"))
-
-
-@query(SQL["g2_reachable"].replace(_FIRST, _EVERY))
-def g2_every_reachable(spark, d):
     e = access_graph(spark, d)
     return whole(graph.reachable(e.select("src", "dst"), reading_functions(e).select(F.col("node").alias("start"))))
 
@@ -196,34 +170,28 @@ def g6_alternating_channels(spark, d):
 
 @query(
     f"""WITH RECURSIVE {_G}, k AS (SELECT {_KEY.format("binary_sha256")} || '|' || {_KEY.format("function_id")} AS node, min(source_id) AS source FROM sources
-  WHERE decision = 'ACCEPT_HEURISTIC' AND {_KEY.format("binary_sha256")} IS NOT NULL AND {_KEY.format("function_id")} IS NOT NULL GROUP BY 1),
+  WHERE {_KEY.format("binary_sha256")} IS NOT NULL AND {_KEY.format("function_id")} IS NOT NULL GROUP BY 1),
 r AS (SELECT search, node, 0 AS n FROM s UNION SELECT r.search, e.src, r.n + 1 FROM r JOIN e ON e.dst = r.node WHERE r.n < 24 AND r.node NOT IN (SELECT node FROM k))
 SELECT search, r.node AS value, source, min(n) AS steps FROM r JOIN k ON k.node = r.node GROUP BY 1, 2, 3"""
 )
 def g7_backward_paths(spark, d):
-    paths, _, _ = _backward(spark, d, first_functions)
-    return paths.select("search", "value", "source", F.size("steps").alias("steps"))
-
-
-@query(SQL["g7_backward_paths"].replace(_FIRST, _EVERY))
-def g7_every_backward_paths(spark, d):
-    paths, _, _ = _backward(spark, d, reading_functions)
+    paths, _, _ = _backward(spark, d)
     return paths.select("search", "value", "source", F.size("steps").alias("steps"))
 
 
-def _backward(spark, d, seeds):
+def _backward(spark, d):
     e = access_graph(spark, d)
     definitions = e.select(F.col("dst").alias("value"), F.col("src").alias("input"), F.col("kind").alias("rule"), F.col("src").alias("site"), F.lit(False).alias("constant"))
-    s = table(spark, d, "sources").filter("decision = 'ACCEPT_HEURISTIC'").select(key(F.col("binary_sha256")).alias("b"), key(F.col("function_id")).alias("f"), "source_id").filter("b IS NOT NULL AND f IS NOT NULL")
+    s = table(spark, d, "sources").select(key(F.col("binary_sha256")).alias("b"), key(F.col("function_id")).alias("f"), "source_id").filter("b IS NOT NULL AND f IS NOT NULL")
     sources = s.groupBy(F.concat_ws("|", "b", "f").alias("value")).agg(F.min("source_id").alias("source"))
-    starts = seeds(e).select("search", F.col("node").alias("value"))
+    starts = reading_functions(e).select("search", F.col("node").alias("value"))
     return graph.backward_search(definitions, sources, starts)
 
 
 @query()
 def g7_blockers(spark, d):
-    """Why the backward searches of all reading functions end without a source; the SQL of g7_every_backward_paths covers the same walk."""
-    return _backward(spark, d, reading_functions)[2]
+    """Why the backward searches of all reading functions end without a source; the SQL of g7_backward_paths covers the same walk."""
+    return _backward(spark, d)[2]
 
 
 @query(

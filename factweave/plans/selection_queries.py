@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from factweave.functions.ids import known
 from factweave.functions.text import key
-from factweave.operators import cfg, graph, joins, nested, rank, selection
+from factweave.operators import cfg, joins, nested, rank, selection
 from factweave.plans.fact_queries import _D, _KEY, delivered
 from factweave.plans.text_queries import _DAYS, day_graphs
-from factweave.operators.fixpoint import whole
 from factweave.session import table
 from factweave.sources import ctext, detectors
 
@@ -186,18 +185,3 @@ def d9_exclusive_arms(spark, d):
     on = ["user_id", "day", "src"]
     pairs = e.withColumnRenamed("dst", "left").join(e.withColumnRenamed("dst", "right"), on).filter("left < right").select("user_id", "day", "left", "right")
     return cfg.exclusive_arms(e, pairs, ["user_id", "day"])
-
-
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 25),
-s AS (SELECT min(c) AS lineage FROM e), m AS (SELECT 'c' || c AS src, 'p' || p AS dst, 0 AS cost FROM e UNION ALL SELECT 'p' || p, 'c' || c, 1 FROM e),
-r AS (SELECT lineage, 'c' || lineage AS node, 0 AS helpers FROM s WHERE lineage IS NOT NULL UNION SELECT lineage, dst, helpers + cost FROM r JOIN m ON node = src WHERE helpers + cost <= 2)
-SELECT lineage, node, min(helpers) AS helpers FROM r GROUP BY 1, 2"""
-)
-def g14_lineage_expansion(spark, d):
-    """A lineage along calls (customer to part), and back through helpers (part to customer) up to two deep."""
-    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")  # noqa: E741
-    e = o.join(l.filter("l_returnflag = 'R' AND l_quantity > 25"), o["o_orderkey"] == l["l_orderkey"])
-    e = e.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("callee"), F.col("o_custkey").alias("c")).distinct()
-    seeds = e.agg(F.min("c").alias("lineage")).filter("lineage IS NOT NULL").select("lineage", F.concat(F.lit("c"), F.col("lineage").cast("string")).alias("node"))
-    return whole(graph.expand_lineage(seeds, e.select("caller", "callee"), e.select(F.col("callee").alias("function"), F.col("caller").alias("helper")), 2))
