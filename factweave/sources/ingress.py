@@ -24,6 +24,7 @@ _ASSIGN = re.compile(r"(?:^|(?<=[;{}]))[ \t]*([^=;{}\n]*?[\w\])])\s*(?<![=!<>+\-
 _CAST = re.compile(r"\(\s*(?:const\s+|unsigned\s+|signed\s+|volatile\s+|struct\s+)*[A-Za-z_]\w*\s*\**\s*\)(?=\s*[\w(*&])")
 _DECLARED = re.compile(r"^(?:[A-Za-z_]\w*[\s*]+)+(?=[A-Za-z_]\w*$)")
 _NAME = re.compile(r"[A-Za-z_]\w*")
+_CONTROL = re.compile(r"(?:else\s+)?(?:if|while|for|switch)\s*(?=\()|else\b\s*")
 _STEP = re.compile(r"^\s*&?\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:[+-]\s*[\w()]+\s*)*$")
 
 
@@ -33,6 +34,23 @@ def base_name(expression: str) -> str:
     return m[0] if m else ""
 
 
+def _own_part(left: str) -> str | None:
+    """A left side without the head of a statement before it; None if the head isn't closed, as the '=' then lies in it."""
+    while m := _CONTROL.match(left):
+        at = m.end()
+        if at < len(left) and left[at] == "(":
+            depth = 0
+            for at in range(at, len(left)):
+                depth += (left[at] == "(") - (left[at] == ")")
+                if not depth:
+                    break
+            if depth:
+                return None
+            at += 1
+        left = left[at:].lstrip()
+    return left
+
+
 def assignment_rows(text: str) -> Iterator[tuple]:
     """(function_no, line, lhs, rhs, writes, base, parameter) of the assignments inside functions, in order.
 
@@ -46,6 +64,10 @@ def assignment_rows(text: str) -> Iterator[tuple]:
         alias: dict[str, str] = {}
         for m in _ASSIGN.finditer(code, lines[first - 1], lines[min(last, len(lines) - 1)]):
             left, right = text[m.start(1) : m.end(1)].strip(), text[m.start(2) : m.end(2)].strip()
+            own = _own_part(left)
+            if not own:
+                continue
+            left = own
             writes = left.startswith("*") or "[" in left or "->" in left
             if not writes:
                 left = _DECLARED.sub("", left)
