@@ -25,7 +25,7 @@ def _inputs(spark: SparkSession, d: str) -> tuple[association.Flows, DataFrame]:
     )
     # accesses that differ in their site only are one fact
     rows = checkpoint(rows.groupBy("edge_kind", "function", "atom", "object", "start", "end").agg(F.min("may").alias("may"), F.min("edge_id").alias("site")))
-    none = lambda shape: spark.createDataFrame([], shape)
+    none = lambda shape: spark.createDataFrame([], shape).filter(F.lit(False))
     flows = association.Flows(
         moves=none("function string, atom string, to_function string, to_atom string, mnemonic string, site string"), merges=none("function string, to_atom string, atom string"),
         loads=none("function string, address_atom string, atom string, site string"), writes=rows.filter("edge_kind = 'WRITE'").drop("edge_kind"), reads=rows.filter("edge_kind = 'READ'").drop("edge_kind"),

@@ -11,7 +11,8 @@ from factweave.session import checkpoint, scratch, table
 
 
 def _no(spark: SparkSession, shape: str) -> DataFrame:
-    return spark.createDataFrame([], shape)
+    # the filter tells the optimizer that there is nothing to join
+    return spark.createDataFrame([], shape).filter(F.lit(False))
 
 
 def document_facts(spark: SparkSession, d: str) -> tuple[search.Facts, DataFrame]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.session import checkpoint
 from factweave.sources.ctext import _scanner, functions, masked, scan_calls, scan_functions
 
 #: Parts of names that are no ingress although they look like one, that name a device's data, and that name a buffer.
@@ -108,15 +109,18 @@ def _row(df: DataFrame, rule: str, buffer: Column, site: Column, callee: Column
 
 
 class Text:
-    """The relations of a table of texts that the rules join: functions, calls and assignments with their function."""
+    """The relations of a table of texts that the rules join: functions, calls and assignments with their function.
+
+    They are kept in checkpoints, as every rule reads some of them: a text is scanned once for each.
+    """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str):
-        found = scan_functions(df, id_col, text_col)
+        found = checkpoint(scan_functions(df, id_col, text_col))
         self.functions = found.select("row_id", "function_no", F.col("name").alias("function"), "parameters", F.col("first_line").alias("line"), "last_line")
         within = self.functions.select("row_id", "function", "parameters", F.col("line").alias("__first"), "last_line")
         calls = scan_calls(df, id_col, text_col)
-        self.calls = calls.join(within, "row_id").filter("line BETWEEN __first AND last_line").drop("__first", "last_line").withColumn("site", F.concat("callee", F.lit("("), F.array_join("arguments", ", "), F.lit(")")))
-        self.assignments = scan_assignments(df, id_col, text_col).join(self.functions.select("row_id", "function_no", "function", "parameters"), ["row_id", "function_no"])
+        self.calls = checkpoint(calls.join(within, "row_id").filter("line BETWEEN __first AND last_line").drop("__first", "last_line").withColumn("site", F.concat("callee", F.lit("("), F.array_join("arguments", ", "), F.lit(")"))))
+        self.assignments = checkpoint(scan_assignments(df, id_col, text_col).join(self.functions.select("row_id", "function_no", "function", "parameters"), ["row_id", "function_no"]))
 
 
 def api_sources(text: Text, registry: DataFrame) -> DataFrame:
