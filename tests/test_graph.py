@@ -190,9 +190,9 @@ def test_every_reading_function_is_searched(spark, monkeypatch):
         return seen
 
     want = sorted((s, x) for s in starts for x in walk(s))
-    assert rows(graph_queries.g1_every_reach_hops(spark, ""), "search", "node") == want
-    assert rows(graph_queries.g1_every_allowed_edges(spark, ""), "search", "src", "dst") == sorted((s, a, b) for s in starts for a, b, _, _ in e if b in walk(s))
-    assert rows(graph_queries.g2_every_reachable(spark, ""), "start", "node") == sorted((s, x) for s in starts for x in walk(s, True))
+    assert rows(graph_queries.g1_reach_hops(spark, ""), "search", "node") == want
+    assert rows(graph_queries.g1_allowed_edges(spark, ""), "search", "src", "dst") == sorted((s, a, b) for s in starts for a, b, _, _ in e if b in walk(s))
+    assert rows(graph_queries.g2_reachable(spark, ""), "start", "node") == sorted((s, x) for s in starts for x in walk(s, True))
     assert rows(graph_queries.g7_blockers(spark, ""), "search", "value") == sorted((s, "b|f1") for s in starts)
 
 
