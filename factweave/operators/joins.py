@@ -81,10 +81,12 @@ def interval_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], st
 def tightest_container(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, name: str, width: int) -> DataFrame:
     """Each point with the smallest (length, start, name) half-open interval of its keys that covers it.
 
-    Points in no interval keep a NULL name. Distinct points are looked up once, on each level of length that occurs; an interval
-    lies in the buckets of its own level only, at most two.
+    Points in no interval keep a NULL name. Distinct points are looked up once, on each level of length that occurs; of intervals of
+    equal bounds only the least name is joined; an interval lies in the buckets of its own level only, at most two.
     """
-    own = intervals.filter(F.col(start) < F.col(end)).withColumn("__l", _level(F.col(end) - F.col(start), width))
+    least = F.min(F.struct(F.col(name).alias("name"))).alias("__least")  # a NULL name is the least
+    distinct = intervals.filter(F.col(start) < F.col(end)).groupBy(*keys, start, end).agg(least).select(*keys, start, end, F.col("__least.name").alias(name))
+    own = checkpoint(distinct.withColumn("__l", _level(F.col(end) - F.col(start), width)))
     levels = _levels(own, "__l") or [0]
     bucket = lambda x: F.coalesce(*(F.when(F.col("__l") == n, F.floor(x / F.lit(width * 2**n)).cast("bigint")) for n in levels))
     held = own.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__n"), "__l", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1))).alias("__bucket"))
