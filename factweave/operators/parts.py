@@ -8,6 +8,7 @@ own task, so the states are neither shuffled nor checkpointed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,16 +26,16 @@ SLICE, BLOCK, TASK = 512, 50_000, 3_000_000
 #: What an entry is.
 FREE, PAID, START, SOURCE = range(4)
 
-_SLICES = "part string, nodes array<string>, src binary, dst binary, what binary, searches binary, sources array<string>, work bigint"
+_SLICES = "part string, nodes array<string>, src binary, dst binary, what binary, starts binary, searches array<string>, sources array<string>, work bigint"
 _FOUND = "searches array<string>, level int, groups array<struct<ys:array<struct<a:string,b:string,c:string>>,xs:array<smallint>>>"
 
 
 def entries(edges: DataFrame, starts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """edges: src, dst, cost (0 or 1); starts: node; sources: value, source. (part, a, b, what) with nodes as part|rest: no edge may lead from one part to another."""
+    """edges: src, dst, cost (0 or 1); starts: search, node; sources: value, source. (part, a, b, what) with nodes as part|rest: no edge may lead from one part to another."""
     part = lambda c: F.substring_index(c, "|", 1)
     rest = lambda c: F.expr(f"substring({c}, length(substring_index({c}, '|', 1)) + 1)")
     e = edges.select(part("src").alias("part"), rest("src").alias("a"), rest("dst").alias("b"), F.when(F.col("cost") > 0, PAID).otherwise(FREE).alias("what"))
-    s = starts.select(part("node").alias("part"), rest("node").alias("a"), F.lit("").alias("b"), F.lit(START).alias("what"))
+    s = starts.select(part("node").alias("part"), rest("node").alias("a"), F.col("search").alias("b"), F.lit(START).alias("what"))
     parts = e.distinct().unionByName(s.distinct())
     if sources is not None:
         parts = parts.unionByName(sources.select(part("value").alias("part"), rest("value").alias("a"), F.col("source").alias("b"), F.lit(SOURCE).alias("what")))
@@ -59,15 +60,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
             left, right = at[: len(first)], at[len(first) :]
             own = what[edge | start]
-            searches = np.unique(left[own == START])
+            named = b.filter(pa.array(start)).dictionary_encode()
+            begun, by = left[own == START], named.indices.to_numpy().astype(np.int32)
             src, dst, kind = left[own != START], right, own[own != START]
             marked = dict(zip(a.filter(pa.array(source)).to_pylist(), b.filter(pa.array(source)).to_pylist()))
             nodes = [part.as_py() + n for n in names]
             sources = [marked.get(n) for n in names]
-            for n in range(0, len(searches), SLICE):
-                own = searches[n : n + SLICE]
-                row = {"part": part.as_py(), "nodes": nodes, "src": src.tobytes(), "dst": dst.tobytes(), "what": kind.tobytes(), "searches": own.astype(np.int32).tobytes(), "sources": sources, "work": len(own) * len(nodes)}
-                kinds = [pa.string(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.list_(pa.string()), pa.int64()]
+            for n in range(0, len(named.dictionary), SLICE):
+                searches, here = named.dictionary[n : n + SLICE].to_pylist(), (by >= n) & (by < n + SLICE)
+                starts = np.stack([begun[here], by[here] - n]).astype(np.int32)
+                row = {"part": part.as_py(), "nodes": nodes, "src": src.tobytes(), "dst": dst.tobytes(), "what": kind.tobytes(), "starts": starts.tobytes(), "searches": searches, "sources": sources, "work": len(searches) * len(nodes)}
+                kinds = [pa.string(), pa.list_(pa.string()), *[pa.binary()] * 4, *[pa.list_(pa.string())] * 2, pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
 
 
@@ -128,13 +131,13 @@ def _walker(mode: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda n: batch.column(n)[row]  # noqa: E731, B023
-                nodes, sources = cell(1).values, cell(6).values
-                src, dst, searches = (np.frombuffer(cell(n).as_py(), np.int32) for n in (2, 3, 5))
+                nodes, searches, sources = (cell(n).values for n in (1, 6, 7))
+                src, dst, starts = (np.frombuffer(cell(n).as_py(), np.int32) for n in (2, 3, 5))
                 what = np.frombuffer(cell(4).as_py(), np.uint8)
+                at, k = starts.reshape(2, -1)
                 bits = np.zeros((len(nodes), -(-len(searches) // 64) * 8), np.uint8)
-                k = np.arange(len(searches))
-                bits[searches, k // 8] = 1 << (k % 8)
-                yield from _MODES[mode](nodes, sources, src, dst, what, bits.view(np.uint64), nodes.take(pa.array(searches)), most)
+                np.bitwise_or.at(bits, (at, k // 8), (1 << (k % 8)).astype(np.uint8))
+                yield from _MODES[mode](nodes, sources, src, dst, what, bits.view(np.uint64), searches, most)
 
     return walk
 
@@ -203,19 +206,34 @@ def _backward(nodes, sources, src, dst, what, bits, searches, most):
     yield from _rows(searches, most, front, reason("search_budget_exhausted"))
 
 
-_MODES = {"hops": _hops, "edges": _edges, "forward": _forward, "backward": _backward}
+def _worst(nodes, sources, src, dst, what, bits, searches, most):
+    """Of nodes that are states as JSON: function, atom, and the rest as state|start|end|object; others only lead on."""
+    told = [json.loads(n.split("|", 1)[1]) for n in nodes.to_pylist()]
+    state = np.array(["state" in t for t in told])
+    text = lambda f: pa.array([f(t) if "state" in t else None for t in told], pa.string())
+    ys = _structs(text(lambda t: t["function"]), text(lambda t: t["atom"]), text(lambda t: f"{t['state']}|{t['start']}|{t['end']}|{t['object']}"))
+    seen = bits
+    for level, edges in enumerate((what == FREE, what <= PAID)):
+        step, front, before = _Steps(src[edges], dst[edges], len(nodes)), seen, seen
+        while front.any():
+            front = step(front) & ~seen
+            seen = seen | front
+        yield from _rows(searches, level, np.where(state[:, None], seen & ~before if level else seen, np.uint64(0)), ys)
+
+
+_MODES = {"worst": _worst, "hops": _hops, "edges": _edges, "forward": _forward, "backward": _backward}
 
 
 def walked(held: DataFrame, mode: str, most: int = 0) -> DataFrame:
     """(search, level, a, b, c) of all searches of entries' rows.
 
     hops: each node (a) that leads to the search's start, with the least cost (level), at most `most`; edges: each edge (a, b, c: its
-    cost) into such a node; forward: each node (a) reachable from the start; backward: as graph.backward_search, within
+    cost) into such a node; forward: each node (a) reachable from the start; worst: the same of nodes that are states, with the least of the ways' dearest edges (level; a, b, c as of _worst); backward: as graph.backward_search, within
     `most` levels, paths by value (a) and source (b), and blockers by value (a) and reason (c).
     """
     packed = held.groupBy("part").agg(F.collect_list(F.struct("a", "b", "what")).alias("held"))
     slices = checkpoint(packed.mapInArrow(_numbered, _SLICES))
     tasks = max(2 * held.sparkSession.sparkContext.defaultParallelism, (slices.agg(F.sum("work")).first()[0] or 0) // TASK)
-    found = slices.repartition(min(tasks, 10_000), "part", F.xxhash64("searches")).mapInArrow(_walker(mode, most), _FOUND)
+    found = slices.repartition(min(tasks, 10_000), "part", F.xxhash64("starts")).mapInArrow(_walker(mode, most), _FOUND)
     each = found.select("searches", "level", F.explode("groups").alias("g")).select("searches", "level", F.col("g.xs").alias("xs"), F.explode("g.ys").alias("y"))
     return each.select("searches", "level", "y", F.explode("xs").alias("x")).select(F.get("searches", F.col("x")).alias("search"), "level", "y.a", "y.b", "y.c")

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from factweave.operators import graph, parts
-from factweave.plans import graph_queries
+from factweave.operators import association, graph, parts
+from factweave.plans import association_queries, graph_queries
 
 
 def rows(df, *columns):
@@ -117,3 +117,26 @@ def test_blockers_within_parts_are_those_of_rounds(spark, monkeypatch):
     want = rows(backward(spark, monkeypatch)[1], "search", "value", "reason")
     assert ("b|g", "b|f", "unmodeled_origin") in want and ("c|f20", "c|f4", "search_budget_exhausted") in want
     assert rows(graph_queries.g7_blockers(spark, ""), "search", "value", "reason") == want
+
+
+def test_associations_within_parts_are_those_of_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    n = lambda k: rng.randrange(k)
+    access = "function string, atom string, object string, start bigint, end bigint, may int, site string"
+    made = lambda: [(f"b|f{n(4)}", f"v{n(3)}", f"b|o{n(4)}", s, s if s < 0 else s + 1 + n(6), n(2), "s") for s in rng.choices([-1, 0, 3, 6], k=14)]
+    writes, reads = made(), made()
+    seeds = [(f"L{n(6)}", *rng.choice([("VALUE", f"b|f{n(4)}", f"v{n(3)}", None), ("MEMORY_CONTENT", f"b|f{n(4)}", None, f"b|o{n(4)}")])) for _ in range(12)] + [("L0", "VALUE", 'c|"|x', "1", None)]
+    w, r = spark.createDataFrame([*writes, ('c|"|x', "1", "c|\\|y", 0, 4, 0, "s")], access), spark.createDataFrame([*reads, ("c|z", "é", "c|\\|y", 2, 3, 0, "s")], access)
+    none = lambda shape: spark.createDataFrame([], shape)
+    flows = association.Flows(
+        moves=none("function string, atom string, to_function string, to_atom string, mnemonic string, site string"), merges=none("function string, to_atom string, atom string"), loads=none("function string, address_atom string, atom string, site string"),
+        writes=w, reads=r, outputs=none("function string, atom string, caller string, actual_atom string, object string, start bigint, end bigint, may int, site string"),
+        copies=none("source string, function string, atom string, object string, start bigint, end bigint, may int, site string"), actuals=none("root string, function string, atom string, object string, site string"),
+    )
+    s = spark.createDataFrame(sorted(set(seeds), key=str), "lineage string, state string, function string, atom string, object string")
+    columns = ["lineage", "state", "function", "atom", "object", "start", "end", "may"]
+    want = rows(association.associate(flows, s).rows, *columns)
+    assert {x[-1] for x in want} == {0, 1} and ("L0", "VALUE", "c|z", "é", "", -1, -1, 0) in want
+    monkeypatch.setattr(association_queries, "_inputs", lambda spark, d: (flows, s))
+    monkeypatch.setattr(association, "associate", lambda *a: pytest.fail("walked in rounds"))
+    assert rows(association_queries.g5_rule_associations(spark, ""), *columns) == want
