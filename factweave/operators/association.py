@@ -42,7 +42,8 @@ class Flows:
     moves: function, atom, to_function, to_atom, mnemonic, site (operations, arguments and returns). merges: function,
     to_atom, atom (each input of a merge). loads: function, address_atom, atom, site. writes, reads: function, atom, object, start, end,
     may, site. outputs: function, atom (the value), caller, actual_atom, object, start, end, may, site. copies: source (an
-    object), function, atom, object, start, end, may, site. actuals: root (an object), function, atom, object, site.
+    object), function, atom, object, start, end, may, site. actuals: root (an object), function, atom, object, site. accesses: writes and reads with their edge_kind (WRITE or READ), where both
+    are of one table.
     """
 
     moves: DataFrame
@@ -53,6 +54,7 @@ class Flows:
     outputs: DataFrame
     copies: DataFrame
     actuals: DataFrame
+    accesses: DataFrame | None = None
 
 
 def _best(df: DataFrame) -> DataFrame:

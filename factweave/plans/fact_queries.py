@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,16 @@ FROM accesses WHERE edge_id IS NOT NULL) WHERE n = 1"""
 _ORDER = ["ingested_at", "exported_at", "site_id", "function_id", "object_id"]
 
 
-def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def delivered(spark: SparkSession, d: str, *columns: str, only: Callable[[DataFrame], DataFrame] = lambda a: a, repeated: bool = True) -> DataFrame:
     """The named columns of accesses with repeated deliveries removed, the latest kept, and keys normalised.
 
     The latest row is a maximum that combines map-side, so an id with very many deliveries is no single
-    task's. What isn't named isn't read, but for the columns of the order.
+    task's. What isn't named isn't read, but for the columns of the order. `only` takes some of the ids; where none of them is delivered
+    twice, repeated=False leaves the rows where they are.
     """
     wanted = list(dict.fromkeys(["edge_id", *_ORDER, *columns]))
-    a = table(spark, d, "accesses").select(*wanted).filter("edge_id IS NOT NULL")
-    last = agg.keep_by(a, ["edge_id"], F.struct(*_ORDER), last=True)
+    a = only(table(spark, d, "accesses").select(*wanted).filter("edge_id IS NOT NULL"))
+    last = agg.keep_by(a, ["edge_id"], F.struct(*_ORDER), last=True) if repeated else a
     for c in ("function_id", "binary_sha256"):
         if c in wanted:
             last = last.withColumn(c, key(F.col(c)))
