@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.association import UNKNOWN, Flows
-from factweave.operators.parts import _Steps
 
 #: Entries for which small parts are walked together; bytes of the bits of a slice; rows of the result, and states, that one row of a walk stands for, about; pairs of regions compared at once.
-CHUNK, BITS, BLOCK, STATES, PAIRS = 20_000, 1 << 23, 200_000, 20_000, 2_000_000
+CHUNK, BITS, BLOCK, STATES, PAIRS = 20_000, 1 << 24, 200_000, 20_000, 2_000_000
 #: What an entry is.
 WRITE, READ, VALUE, CONTENT = range(4)
 
@@ -143,14 +142,17 @@ class _Graph:
             pa.array(np.where(valued, none, start[rows])), pa.array(np.where(valued, none, end[rows])),
         ]
 
-        # searches of a part by where they begin, so that a slice's are near each other
+        # searches of a part by the region that they begin with or first store to, so that a slice's share what they reach
         begun = some(seed | (what == CONTENT))
         node = np.where(seed[begun], values[value[begun]], contents[content[begun]])
-        near = np.where(seed[begun], own.max() + 1 + node if len(own) else 0, own[begun])
+        stored = np.full(value.max() + 1 if len(value) else 0, -1)
+        stored[value[write]] = some(write)
+        via = np.where(seed[begun], stored[value[begun]], begun)
+        near, close = (np.where(via < 0, far, c[via]) for far, c in ((np.iinfo(np.int64).max, own), (node, region)))
         by = _numbered(part[begun], lineage[begun])
-        order = np.lexsort((near, by))
+        order = np.lexsort((close, near, by))
         first = order[np.concatenate([[True], by[order][1:] != by[order][:-1]])[: len(order)]]
-        ranked = np.lexsort((near[first], part[begun][first]))
+        ranked = np.lexsort((close[first], near[first], part[begun][first]))
         place = np.empty(len(first), np.int64)
         place[ranked] = np.arange(len(first))
         self.names = coded["lineage"].dictionary.take(pa.array(lineage[begun][first[ranked]]))
@@ -200,6 +202,25 @@ def _emitted(g: _Graph, low: int, level: int, bits: np.ndarray) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups)], names=["level", "groups"])
 
 
+class _Steps:
+    """Edges by where they lead from; a step takes the bits of some nodes along them, as (nodes, bits)."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, nodes: int) -> None:
+        order = np.argsort(src, kind="stable")
+        self.dst, self.first = dst[order], np.searchsorted(src[order], np.arange(nodes + 1))
+
+    def __call__(self, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.first[at + 1] - self.first[at]
+        left = np.repeat(np.arange(len(at)), n)
+        dst = self.dst[np.arange(len(left)) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)]
+        if not len(dst):
+            return dst, bits[:0]
+        order = np.argsort(dst, kind="stable")
+        dst = dst[order]
+        firsts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+        return dst[firsts], np.bitwise_or.reduceat(bits[left[order]], firsts, axis=0)
+
+
 def _walk(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
     g = _Graph(chunk)
     if not len(g.start):
@@ -215,10 +236,15 @@ def _walk(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
         np.bitwise_or.at(bits, (at, k // 8), (1 << (k % 8)).astype(np.uint8))
         seen = bits.view(np.uint64)
         for level, step in enumerate(steps):
-            front, before = seen, seen
-            while front.any():
-                front = step(front) & ~seen
-                seen = seen | front
+            before = seen.copy()
+            at = np.flatnonzero(seen.any(axis=1))
+            front = seen[at]
+            while len(at):
+                at, front = step(at, front)
+                front = front & ~seen[at]
+                new = front.any(axis=1)
+                at, front = at[new], front[new]
+                seen[at] |= front
             yield from _emitted(g, low, level, seen & ~before if level else seen)
 
 
